@@ -55,9 +55,11 @@ from groundwell.sources.documents import list_documents, read_table, spread
 from groundwell.sources.store import (
     append_chunks,
     merged_store,
+    read_cells,
     read_store,
     replaced_rows,
     store_audit,
+    write_cells,
 )
 from groundwell.streaming.ingest import start_ingest, watch_table
 
@@ -302,7 +304,11 @@ def _approximate(spark, sf_dir, breadth) -> DataFrame:
     store = frames.vector_store(spark, sf_dir)
     centroids = train_centroids(store, 16)
     asked = _filtered_questions(spark, sf_dir)
-    return approx_top_k(assign_cells(store, centroids), asked, centroids, breadth).select(*HIT_VIEW)
+    path = work_path(spark, "cells")
+    celled = assign_cells(store, centroids)
+    write_cells(celled, path)
+    stored = read_cells(spark, path, celled.schema)
+    return approx_top_k(stored, asked, centroids, breadth).select(*HIT_VIEW)
 
 
 def topk_approx(spark, sf_dir) -> DataFrame:

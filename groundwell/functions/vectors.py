@@ -28,9 +28,13 @@ def cosine_distance(a: Column, b: Column, norm_a: Column = None, norm_b: Column
 
 
 def similarity(distance: Column) -> Column:
-    """Distance to similarity within 0..1; NaN stays NaN instead of clamping to a match."""
+    """Distance to similarity within 0..1; NaN and null stay what they are, never a match.
+
+    (Spark's greatest and least skip nulls, which would make a null distance a perfect match.)
+    """
     raw = F.lit(1.0) - distance
-    return F.when(F.isnan(raw), raw).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    return F.when(raw.isNull() | F.isnan(raw), raw).otherwise(clamped)
 
 
 def passes_floor(score: Column, floor: Column) -> Column:

@@ -8,7 +8,7 @@ rows are then ranked exactly. With enough breadth to visit every cell the result
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,9 @@ def train_centroids(
     The sample is the rows with the lowest hash of their id, so it does not change between runs;
     a hash threshold thins the store before the ordered cut. K-means takes 64 rows per cell.
     """
+    width = store.select(F.size("embedding")).where(F.col("embedding").isNotNull()).first()
+    if width is not None and cells * width[0] * 4 > CENTROID_BYTES:
+        raise ValueError("the centroids would be over the broadcast bound; use fewer cells")
     draws = store.select(
         "embedding", F.md5(F.col("record_id").cast("string")).alias("draw")
     ).where(F.exists("embedding", lambda x: x != 0))
@@ -39,10 +42,14 @@ def train_centroids(
         draws = draws.where(F.col("draw") < f"{int(share * 16**8):08x}")
     if method == "kmeans":
         return _kmeans(draws, cells, seed)
-    number = F.row_number().over(Window.orderBy("draw")) - 1
-    return draws.orderBy("draw").limit(cells).select(
-        number.alias("cell"), F.col("embedding").alias("centroid")
-    )
+    drawn = draws.orderBy("draw").limit(cells).select("embedding").collect()
+    return _centroid_table(store, [row["embedding"] for row in drawn])
+
+
+def _centroid_table(store: DataFrame, vectors: list) -> DataFrame:
+    """At most `cells` vectors, numbered, as a local table."""
+    rows = [(cell, [float(x) for x in vector]) for cell, vector in enumerate(vectors)]
+    return store.sparkSession.createDataFrame(rows, "cell int, centroid array<float>")
 
 
 def _kmeans(draws: DataFrame, cells: int, seed: int) -> DataFrame:
@@ -51,8 +58,7 @@ def _kmeans(draws: DataFrame, cells: int, seed: int) -> DataFrame:
 
     features = draws.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f"))
     model = KMeans(k=cells, seed=seed, featuresCol="f", distanceMeasure="cosine").fit(features)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return draws.sparkSession.createDataFrame(centres, "cell int, centroid array<float>")
+    return _centroid_table(draws, model.clusterCenters())
 
 
 def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,8 @@ def _slices(text: Column, width: int) -> Column:
 
 def _atoms(text: Column, body_max: int) -> Column:
     """Lines, with lines over the limit cut at sentence ends and then at the limit."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    unified = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n"))
+    lines = F.split(F.coalesce(unified, text), "\n")
 
     def cut(line: Column) -> Column:
         sentences = F.split(line, SENTENCE_GAP)
@@ -43,13 +44,11 @@ def _atoms(text: Column, body_max: int) -> Column:
         )
         return F.when(F.length(line) <= body_max, F.array(line)).otherwise(F.flatten(pieces))
 
-    return F.filter(F.flatten(F.transform(lines, cut)), lambda atom: ~is_blank(atom))
+    return F.filter(F.flatten(F.transform(lines, cut)), lambda atom: atom.rlike(f"[^{WHITESPACE}]"))
 
 
 def _tail(body: Column, overlap: int) -> Column:
     """The last `overlap` characters, moved past a word that the cut would split."""
-    if overlap == 0:
-        return F.lit(None).cast("string")
     tail = F.substring(body, -overlap, overlap)
     edge = F.substring(body, -overlap - 1, 2)
     mid_word = (F.length(body) > overlap) & edge.rlike(f"^[^{WHITESPACE}]{{2}}$")
@@ -57,6 +56,36 @@ def _tail(body: Column, overlap: int) -> Column:
     return F.when(mid_word, F.regexp_replace(tail, first_word, "")).otherwise(tail)
 
 
+def _packed(atoms: Column, room: int) -> Column:
+    """Atoms joined left to right into bodies of at most `room` characters.
+
+    No atom is over the limit, so the greedy match that ends at a line break or at the end takes as
+    many whole atoms as fit.
+    """
+    pattern = f"(?s)(.{{1,{room}}})(?:\n|\\z)"
+    return F.regexp_extract_all(F.array_join(atoms, "\n"), F.lit(pattern), F.lit(1))
+
+
+def _packed_by(measure: Callable[[Column], Column], atoms: Column, room: int) -> Column:
+    """The same with lengths taken by `measure`, as a fold (which copies its state per atom)."""
+
+    def state(body: Column, done: Column) -> Column:
+        return F.struct(body.alias("body"), done.alias("done"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["body"].isNull(), acc["done"]).otherwise(
+            F.array_append(acc["done"], acc["body"])
+        )
+
+    def pack(acc: Column, atom: Column) -> Column:
+        joined = F.concat(acc["body"], F.lit("\n"), atom)
+        fits = F.coalesce(measure(joined) <= room, F.lit(False))
+        return F.when(fits, state(joined, acc["done"])).otherwise(state(atom, closed(acc)))
+
+    start = state(F.lit(None).cast("string"), F.array().cast("array<string>"))
+    return F.aggregate(atoms, start, pack, closed)
+
+
 def boundary_chunks(
     text: Column,
     max_chars: int = MAX_CHUNK_CHARS,
@@ -65,37 +94,30 @@ def boundary_chunks(
 ) -> Column:
     """TRF-1 as an expression: array of passages that keep to line and sentence boundaries.
 
-    Atoms are folded left to right into bodies of at most `max_chars` less the room for the
-    overlap; every passage but the first starts with the tail of the body before it.
+    Lines are packed into bodies of at most `max_chars` less the room for the overlap; every
+    passage but the first starts with the tail of the body before it.
     """
     _check_limits(max_chars, overlap)
-    body_max = max_chars - overlap - 1 if overlap else max_chars
-
-    def state(tail: Column, body: Column, chunks: Column) -> Column:
-        return F.struct(tail.alias("tail"), body.alias("body"), chunks.alias("chunks"))
-
-    def closed(acc: Column) -> Column:
-        whole = F.when(acc["tail"].isNull(), acc["body"]).otherwise(
-            F.concat(acc["tail"], F.lit("\n"), acc["body"])
-        )
-        return F.array_append(acc["chunks"], whole)
-
-    def pack(acc: Column, atom: Column) -> Column:
-        joined = F.concat(acc["body"], F.lit("\n"), atom)
-        return (
-            F.when(acc["body"].isNull(), state(acc["tail"], atom, acc["chunks"]))
-            .when(measure(joined) <= body_max, state(acc["tail"], joined, acc["chunks"]))
-            .otherwise(state(_tail(acc["body"], overlap), atom, closed(acc)))
+    room = max_chars - overlap - 1 if overlap else max_chars
+    atoms = _atoms(text, room)
+    bodies = _packed(atoms, room) if measure is F.length else _packed_by(measure, atoms, room)
+    if overlap == 0:
+        return bodies
+
+    def overlapped(all_bodies: Column) -> Column:
+        none = F.array(F.lit(None).cast("string"))
+        tails = F.concat(none, F.transform(all_bodies, lambda body: _tail(body, overlap)))
+        whole = F.zip_with(
+            tails,
+            all_bodies,
+            lambda tail, body: F.when(tail.isNull(), body).otherwise(
+                F.concat(tail, F.lit("\n"), body)
+            ),
         )
+        return F.filter(whole, lambda chunk: chunk.isNotNull())
 
-    nothing = F.lit(None).cast("string")
-    start = state(nothing, nothing, F.array().cast("array<string>"))
-    return F.aggregate(
-        _atoms(text, body_max),
-        start,
-        pack,
-        lambda acc: F.when(acc["body"].isNull(), acc["chunks"]).otherwise(closed(acc)),
-    )
+    # A one-element transform binds the bodies to a name, so that they are computed once.
+    return F.flatten(F.transform(F.array(bodies), overlapped))
 
 
 def fixed_chunks(

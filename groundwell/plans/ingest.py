@@ -17,6 +17,7 @@ from groundwell.schemas import (
     MAX_CHUNK_CHARS,
     MAX_FILE_BYTES,
     OVERLAP_CHARS,
+    STORE,
 )
 from groundwell.session import staged
 from groundwell.sources.documents import spread
@@ -82,14 +83,11 @@ def _rejected(frame: DataFrame, stage: str) -> DataFrame:
     )
 
 
-def prepare(
-    corpus: DataFrame,
-    settings: IngestSettings = IngestSettings(),
-    stage: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame,
-) -> Prepared:
+def prepare(corpus: DataFrame, settings: IngestSettings = IngestSettings()) -> Prepared:
     """Everything before the write. A failed check on one passage refuses its whole document.
 
-    `stage` cuts the plan behind the embedding step; the default leaves one lazy plan.
+    The embedded passages are written to the work folder once: the model runs once per passage,
+    and the checks, the counts and the merge all read the files.
     """
     corpus = spread(corpus.select("doc_id", "file_name", "category", "text"), "doc_id")
     documents, refused = split_admitted(check_corpus(corpus, settings))
@@ -104,17 +102,19 @@ def prepare(
         settings.max_chars,
         settings.measure,
     ).withColumnRenamed("error_code", "chunk_error")
-    vectors = check_embeddings(embed_chunks(chunks, settings), settings.width).withColumn(
-        "error_code", F.coalesce("chunk_error", "error_code")
-    )
-    vectors = stage(vectors.drop("chunk_error"), "vectors")
+    vectors = check_embeddings(embed_chunks(chunks, settings), settings.width)
+    code = F.coalesce("chunk_error", "error_code")
+    rows = store_rows(vectors.withColumn("error_code", code), settings.layout, ["error_code"])
+    rows = staged(rows, "passages")
     failed = (
-        vectors.where(F.col("error_code").isNotNull())
+        rows.where(F.col("error_code").isNotNull())
         .groupBy("doc_id")
         .agg(F.min_by("error_code", "chunk_index").alias("error_code"))
     )
-    empty = documents_without_chunks(documents, vectors)
-    passed = vectors.drop("error_code").join(failed.select("doc_id"), "doc_id", "left_anti")
+    passed = rows.drop("error_code")
+    if not failed.isEmpty():
+        passed = passed.join(failed.select("doc_id"), "doc_id", "left_anti").select(STORE.names)
+    empty = documents_without_chunks(documents, rows)
     rejects = [
         _rejected(refused, "admission"),
         _rejected(empty, "chunking"),
@@ -124,7 +124,7 @@ def prepare(
         documents.select(
             "doc_id", "file_name", "category", F.length("text").alias("character_count")
         ),
-        store_rows(passed, settings.layout),
+        passed,
         reduce(DataFrame.unionByName, rejects),
     )
 
@@ -142,13 +142,11 @@ def ingest(
 ) -> Ingested:
     """Runs a corpus (doc_id, file_name, category, text) into the store at `path`.
 
-    The embedded passages are staged once and serve the checks, the counts and the write; the
-    summary is staged before the write, since the files it is counted from may be replaced.
+    The summary is staged before the write, since the files it is counted from may be replaced.
     """
     spark = corpus.sparkSession
-    prepared = prepare(corpus, settings, staged)
-    chunks = staged(prepared.chunks, "chunks")
+    prepared = prepare(corpus, settings)
     store = read_store(spark, path, layout=settings.layout)
-    summary = staged(ingest_summary(prepared.documents, store, chunks), "summary")
-    saved = replace_and_insert(spark, path, chunks, settings.layout)
+    summary = staged(ingest_summary(prepared.documents, store, prepared.chunks), "summary")
+    saved = replace_and_insert(spark, path, prepared.chunks, settings.layout)
     return Ingested(saved, summary, prepared.rejects)

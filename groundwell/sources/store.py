@@ -52,8 +52,8 @@ def record_id(category: Column, doc_id: Column, chunk_index: Column, text: Colum
     return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("bigint")
 
 
-def store_rows(chunks: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """(category, doc_id, chunk_index, chunk_text, embedding) rows in store form."""
+def store_rows(chunks: DataFrame, layout: Layout = Layout(), extra=()) -> DataFrame:
+    """(category, doc_id, chunk_index, chunk_text, embedding) rows in store form, plus `extra`."""
     key = record_id(*(F.col(c) for c in ("category", "doc_id", "chunk_index", "chunk_text")))
     return (
         chunks.withColumn("record_id", key)
@@ -61,7 +61,7 @@ def store_rows(chunks: DataFrame, layout: Layout = Layout()) -> DataFrame:
         .withColumn("norm", l2_norm(F.col("embedding")))
         .withColumn("created_at", F.current_timestamp())
         .withColumn("bucket", layout.bucket(F.col("category"), F.col("text_key")))
-        .select(*STORE.names)
+        .select(*STORE.names, *extra)
     )
 
 
