@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from groundwell.functions.vectors import ROUND_RANK
 from groundwell.operators.similarity import top_k, unit_rows, with_defaults
 from groundwell.schemas import SEARCH_BREADTH
+from groundwell.session import broadcast_if_small
 
 # Bound of the broadcast centroid matrix, and of one block of centroid scores inside a task.
 CENTROID_BYTES = 256 * 1024 * 1024
@@ -106,16 +107,19 @@ def choose_cells(
 ) -> DataFrame:
     """Adds `cells`, the cells each question visits.
 
-    Cell sizes are counted per category as well, so the breadth of a filtered question counts only
-    rows it may return.
+    The breadth of a filtered question counts only rows it may return: cell sizes are counted for
+    the categories asked for as well.
     """
     asked = with_defaults(questions)
-    sizes = (
-        store.where(F.col("cell").isNotNull()).groupBy("category", "cell").agg(F.count("*").alias("n"))
-    )
-    overall = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    of_category = sizes.groupBy("category").agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("sizes")
+    placed = store.where(F.col("cell").isNotNull())
+    overall = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    named = broadcast_if_small(asked.select("category").where("category IS NOT NULL").distinct())
+    of_category = (
+        placed.join(named, "category", "left_semi")
+        .groupBy("category", "cell")
+        .agg(F.count("*").alias("n"))
+        .groupBy("category")
+        .agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("sizes"))
     )
     asked = asked.join(of_category, "category", "left")
     numbers, matrix = _centroid_matrix(centroids)
@@ -159,9 +163,11 @@ def approx_top_k(
     breadth: int = SEARCH_BREADTH,
     keys=("record_id",),
     plan: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """TOP-3: top-k over the visited cells of a store that has a `cell` column.
 
     On a store written by sources.store.write_cells the visited cells are a partition filter.
     """
-    return top_k(store, choose_cells(questions, store, centroids, breadth), keys, plan)
+    chosen = choose_cells(questions, store, centroids, breadth)
+    return top_k(store, chosen, keys, plan, tasks)

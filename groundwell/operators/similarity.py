@@ -32,6 +32,7 @@ from groundwell.functions.vectors import (
     similarity,
 )
 from groundwell.schemas import DEFAULT_MIN_SIMILARITY, DEFAULT_TOP_K
+from groundwell.session import broadcast_if_small
 
 # Bounds of what one broadcast or one tile may hold.
 BROADCAST_QUESTIONS = 8192
@@ -129,11 +130,12 @@ class QuestionBlock:
     def _meet(self, rows, keys, category, asked) -> None:
         self._score(rows, keys, asked[self.free[asked]])
         if category is not None and self.by_category:
+            present = np.zeros(len(self.ids), dtype=bool)
+            present[asked] = True
             for value, members in _members(category).items():
                 named = self.by_category.get(value)
                 if named is not None:
-                    named = np.intersect1d(named, asked, assume_unique=True)
-                    self._score(rows[members], keys[members], named)
+                    self._score(rows[members], keys[members], named[present[named]])
 
     def _score(self, rows, keys, asked) -> None:
         for q0 in range(0, len(asked), BLOCK_QUESTIONS):
@@ -201,7 +203,7 @@ def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
     block.meet(matrix, key_columns, values("category"), values("cell"))
 
 
-def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType) -> DataFrame:
+def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks) -> DataFrame:
     """Partial top-k per task over one broadcast block of questions."""
     names = list(keys) + ["embedding"]
     if block.column("category").null_count < block.num_rows:
@@ -218,7 +220,8 @@ def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType) -> Data
             _meet_batch(questions, batch, keys)
         yield questions.results(keys)
 
-    return store.select(*names).mapInArrow(search, schema)
+    part = store.select(*names)
+    return (part.coalesce(tasks) if tasks else part).mapInArrow(search, schema)
 
 
 def _tile_counts(frame: DataFrame, within: str, per_tile: int, name: str) -> DataFrame:
@@ -226,9 +229,12 @@ def _tile_counts(frame: DataFrame, within: str, per_tile: int, name: str) -> Dat
 
 
 def _dealt(frame: DataFrame, sizes: DataFrame, within: str, key: str, own: str, other: str):
-    """Puts each row into one of its group's own tiles, once for every tile of the other side."""
+    """Puts each row into one of its group's own tiles, once for every tile of the other side.
+
+    `sizes` has one row, or one per cell; the number of cells is bounded with the centroids.
+    """
     return (
-        frame.join(sizes, within)
+        frame.join(F.broadcast(sizes), within)
         .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
         .drop(f"{own}s", f"{other}s")
@@ -254,7 +260,8 @@ def _grid(store: DataFrame, questions: DataFrame, keys, schema: T.StructType) ->
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         block = QuestionBlock(asked, len(keys))
-        for batch in rows.drop_columns(["cell"] if within == "cell" else []).to_batches():
+        rows = rows.drop_columns(["cell"] if within == "cell" else [])
+        for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
             _meet_batch(block, batch, keys)
         return pa.Table.from_batches([block.results(keys)])
 
@@ -286,7 +293,11 @@ def merge_candidates(candidates: DataFrame, keys, most: int) -> DataFrame:
 
 
 def top_k(
-    store: DataFrame, questions: DataFrame, keys=("record_id",), plan: str | None = None
+    store: DataFrame,
+    questions: DataFrame,
+    keys=("record_id",),
+    plan: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """JN-1, TOP-1, TOP-2, FLT-5, FLT-6: (query_id, rank, *keys, similarity).
 
@@ -294,6 +305,8 @@ def top_k(
     meet only store rows of those cells (operators/cells.py).
     `keys`: integer columns naming a store row; the first breaks ties.
     `plan`: "scan" or "grid"; by default chosen by the measured size of the question set.
+    `tasks`: number of scan tasks, a few per core. A task hands on its lists once, so fewer and
+    longer tasks than one per file split mean less to merge.
     """
     asked = with_defaults(questions)
     fields = [("query_id", questions.schema["query_id"].dataType), ("top_k", T.IntegerType())]
@@ -303,7 +316,7 @@ def top_k(
         block = asked.limit(BROADCAST_QUESTIONS + 1).toArrow()
         if block.num_rows <= BROADCAST_QUESTIONS and block.nbytes <= BROADCAST_BYTES:
             most = pc.max(block.column("top_k")).as_py() or DEFAULT_TOP_K
-            return merge_candidates(_scan(store, block, keys, schema), keys, most)
+            return merge_candidates(_scan(store, block, keys, schema, tasks), keys, most)
         if plan == "scan":
             raise ValueError("the question set is over the broadcast bound; use the grid plan")
     most = asked.agg(F.max("top_k")).first()[0] or DEFAULT_TOP_K
@@ -346,8 +359,12 @@ def hit_text() -> dict[str, Column]:
 
 
 def attach_passages(hits: DataFrame, store: DataFrame, keys=("record_id",)) -> DataFrame:
-    """Late lookup of category and text for the few rows that won."""
+    """Late lookup of category and text for the few rows that won.
+
+    Counts the hits: where they fit one broadcast the store is scanned and not shuffled. Pass
+    staged hits, or the search runs once more for the count.
+    """
     passages = store.select(*keys, *(c.alias(n) for n, c in hit_text().items()))
-    return hits.join(passages, list(keys)).select(
+    return passages.join(broadcast_if_small(hits), list(keys)).select(
         "query_id", "rank", "record_id", "category", "chunk_text", "similarity"
     )

@@ -29,6 +29,7 @@ from groundwell.schemas import (
     MAX_OUTPUT_TOKENS,
     SEARCH_BREADTH,
 )
+from groundwell.session import staged
 
 HIT_KEYS = ("record_id", "doc_id", "chunk_index")
 
@@ -45,6 +46,7 @@ class SearchSettings(NamedTuple):
     batch_size: int = EMBED_BATCH_SIZE
     centroids: DataFrame | None = None
     breadth: int = SEARCH_BREADTH
+    scan_tasks: int | None = None
     max_context_chars: int = MAX_CONTEXT_CHARS
     generator: Callable | None = None
     max_output_tokens: int = MAX_OUTPUT_TOKENS
@@ -76,13 +78,20 @@ def embed_questions(questions: DataFrame, settings: SearchSettings) -> DataFrame
 def retrieve(
     store: DataFrame, requests: DataFrame, settings: SearchSettings = SearchSettings()
 ) -> Retrieved:
-    """PIP-2: admits (query_id, query, top_k, category, min_similarity) rows and finds their hits."""
+    """PIP-2: admits (query_id, query, top_k, category, min_similarity) rows and finds their hits.
+
+    Question vectors and ranked hits are staged: the model runs once per question, the search once.
+    """
     accepted, refused = split_admitted(check_requests(requests))
-    asked, unusable = split_admitted(embed_questions(accepted, settings))
+    embedded = staged(embed_questions(accepted, settings), "questions")
+    asked, unusable = split_admitted(embedded)
     if settings.centroids is None:
-        hits = top_k(store, asked, HIT_KEYS)
+        hits = top_k(store, asked, HIT_KEYS, tasks=settings.scan_tasks)
     else:
-        hits = approx_top_k(store, asked, settings.centroids, settings.breadth, HIT_KEYS)
+        hits = approx_top_k(
+            store, asked, settings.centroids, settings.breadth, HIT_KEYS, tasks=settings.scan_tasks
+        )
+    hits = staged(hits, "hits")
     rejects = refused.select("query_id", "error_code").unionByName(
         unusable.select("query_id", "error_code")
     )
@@ -105,6 +114,7 @@ def answer_questions(
         generated = generate_with(
             prompted, settings.generator, max_output_tokens=settings.max_output_tokens
         )
+        generated = staged(generated, "answers")
     normal = normalize_answers(generated).withColumn(
         "error_code", F.when(has_evidence(), F.col("error_code"))
     )

@@ -19,7 +19,7 @@ from groundwell.schemas import (
     OVERLAP_CHARS,
     STORE,
 )
-from groundwell.session import staged
+from groundwell.session import broadcast_if_small, staged
 from groundwell.sources.documents import spread
 from groundwell.sources.store import (
     Layout,
@@ -91,10 +91,11 @@ def prepare(corpus: DataFrame, settings: IngestSettings = IngestSettings()) -> P
     """
     corpus = spread(corpus.select("doc_id", "file_name", "category", "text"), "doc_id")
     documents, refused = split_admitted(check_corpus(corpus, settings))
+    documents = documents.withColumn("character_count", F.length("text"))
     chunks = check_chunks(
         chunk_documents(
             documents,
-            carry=("doc_id", "category"),
+            carry=("doc_id", "category", "file_name", "character_count"),
             max_chars=settings.max_chars,
             overlap=settings.overlap,
             measure=settings.measure,
@@ -104,35 +105,31 @@ def prepare(corpus: DataFrame, settings: IngestSettings = IngestSettings()) -> P
     ).withColumnRenamed("error_code", "chunk_error")
     vectors = check_embeddings(embed_chunks(chunks, settings), settings.width)
     code = F.coalesce("chunk_error", "error_code")
-    rows = store_rows(vectors.withColumn("error_code", code), settings.layout, ["error_code"])
+    about = ["file_name", "character_count", "error_code"]
+    rows = store_rows(vectors.withColumn("error_code", code), settings.layout, about)
     rows = staged(rows, "passages")
     failed = (
         rows.where(F.col("error_code").isNotNull())
         .groupBy("doc_id")
         .agg(F.min_by("error_code", "chunk_index").alias("error_code"))
     )
-    passed = rows.drop("error_code")
-    if not failed.isEmpty():
-        passed = passed.join(failed.select("doc_id"), "doc_id", "left_anti").select(STORE.names)
+    bad = failed.select("doc_id")
+    passed = rows if failed.isEmpty() else rows.join(broadcast_if_small(bad), "doc_id", "left_anti")
     empty = documents_without_chunks(documents, rows)
     rejects = [
         _rejected(refused, "admission"),
         _rejected(empty, "chunking"),
         _rejected(failed, "passages"),
     ]
-    return Prepared(
-        documents.select(
-            "doc_id", "file_name", "category", F.length("text").alias("character_count")
-        ),
-        passed,
-        reduce(DataFrame.unionByName, rejects),
+    admitted = passed.groupBy("doc_id", "category").agg(
+        *(F.any_value(c).alias(c) for c in ("file_name", "character_count"))
     )
+    return Prepared(admitted, passed.select(STORE.names), reduce(DataFrame.unionByName, rejects))
 
 
 def ingest_summary(documents: DataFrame, store: DataFrame, chunks: DataFrame) -> DataFrame:
     """AGG-1, PRJ-5: per document, characters, passages inserted and passages replaced."""
-    counts = save_counts(store, chunks).select("doc_id", "chunks_inserted", "chunks_replaced")
-    return documents.join(counts, "doc_id").select(
+    return documents.join(save_counts(store, chunks), ["doc_id", "category"]).select(
         "doc_id", "file_name", "category", "character_count", "chunks_inserted", "chunks_replaced"
     )
 

@@ -4,6 +4,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of narrow keys that one broadcast may hold.
+BROADCAST_ROWS = 1_000_000
 
 
 def build_session(master="local[*]", shuffle_partitions=8, driver_memory="8g", **conf):
@@ -44,3 +48,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """The frame with a broadcast hint when it counts at most `most` rows, else as it is.
+
+    Spark sizes a derived frame by its inputs, so without the count a handful of keys could make
+    it shuffle the large side of a join. For frames that are cheap to compute twice.
+    """
+    bound = BROADCAST_ROWS if most is None else most
+    return F.broadcast(keys) if keys.count() <= bound else keys

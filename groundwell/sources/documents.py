@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.text import allowed_extension, first_failure
 from groundwell.operators.admission import check_file_names, rejects_of, split_admitted
 from groundwell.schemas import ALLOWED_EXTENSIONS, MAX_FILE_BYTES
+from groundwell.session import broadcast_if_small, staged
 
 
 def _plain(path: Column) -> Column:
@@ -70,10 +71,11 @@ def document_id(file_name: Column) -> Column:
     return F.conv(F.substring(F.md5(file_name), 1, 15), 16, 10).cast("bigint")
 
 
-def with_text(files: DataFrame) -> DataFrame:
+def with_text(files: DataFrame, *carry: str) -> DataFrame:
     return files.select(
         document_id(F.col("file_name")).alias("doc_id"),
         "file_name",
+        *carry,
         as_text(F.col("content")).alias("text"),
     )
 
@@ -87,15 +89,18 @@ def read_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """SRC-2: (documents, rejects) for requested (file_name, category) rows, or the whole folder.
 
-    Sizes are checked on the listing, so the bytes of oversize files are never read. A file that
-    is listed but cannot be read becomes a reject and does not stop the job.
+    Sizes are checked on the listing, so the bytes of oversize files are never read. The texts are
+    staged as a table, once; a file that was listed but could not be read is missing there, becomes
+    a reject and does not stop the job.
     """
     listed = folder(spark, root).drop("content")
-    if requests is None:
-        requests = listed.where(allowed_extension(F.col("file_name"), allowed)).select(
+    if requests is not None:
+        wanted = requests.dropDuplicates(["file_name", "category"])
+    else:
+        wanted = listed.where(allowed_extension(F.col("file_name"), allowed)).select(
             "file_name", F.lit(None).cast("string").alias("category")
         )
-    named, bad_names = split_admitted(check_file_names(requests, allowed=allowed))
+    named, bad_names = split_admitted(check_file_names(wanted, allowed=allowed))
     found = named.join(listed, "file_name", "left").withColumn(
         "error_code",
         first_failure(
@@ -105,22 +110,24 @@ def read_documents(
         ),
     )
     admitted, refused = split_admitted(found)
-    contents = with_text(
-        folder(spark, root, ignoreCorruptFiles="true", ignoreMissingFiles="true").where(
-            F.col("size_bytes") <= max_bytes
-        )
+    contents = folder(spark, root, ignoreCorruptFiles="true", ignoreMissingFiles="true").where(
+        (F.col("size_bytes") <= max_bytes) & in_root(F.col("path"), root)
     )
-    documents = admitted.select("file_name", "category").join(contents, "file_name")
+    contents, _ = split_admitted(check_file_names(contents, allowed=allowed))
+    if requests is None:
+        documents = contents.withColumn("category", F.lit(None).cast("string"))
+    else:
+        documents = contents.join(
+            broadcast_if_small(admitted.select("file_name", "category")), "file_name"
+        )
+    documents = staged(with_text(documents, "category"), "documents")
     unread = (
         admitted.select("file_name")
-        .join(contents.select("file_name"), "file_name", "left_anti")
+        .join(documents.select("file_name"), "file_name", "left_anti")
         .withColumn("error_code", F.lit("document.read_failed"))
     )
     rejects = [rejects_of(r, "read", "file_name") for r in (bad_names, refused, unread)]
-    return (
-        documents.select("doc_id", "file_name", "category", "text"),
-        rejects[0].unionByName(rejects[1]).unionByName(rejects[2]),
-    )
+    return documents, rejects[0].unionByName(rejects[1]).unionByName(rejects[2])
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import l2_norm
 from groundwell.schemas import STORE
+from groundwell.session import broadcast_if_small
 
 MATCH = ["category", "text_key"]
 STORE_KEY = ("record_id", "doc_id", "chunk_index")
@@ -100,6 +101,11 @@ def append_chunks(rows: DataFrame, path: str) -> None:
     _write(rows, path, "append")
 
 
+def keys_of(incoming: DataFrame, *more: str) -> DataFrame:
+    """The distinct (category, passage) keys of a batch, for broadcast where few enough."""
+    return broadcast_if_small(incoming.select(*more, *MATCH).distinct())
+
+
 def last_requests(incoming: DataFrame) -> DataFrame:
     """What a batch leaves behind when its documents are saved one after another by doc_id.
 
@@ -114,7 +120,7 @@ def last_requests(incoming: DataFrame) -> DataFrame:
         .drop("first_doc")
     )
     return (
-        incoming.join(contested, MATCH, "left")
+        incoming.join(broadcast_if_small(contested), MATCH, "left")
         .where("last_doc IS NULL OR doc_id = last_doc")
         .drop("last_doc")
         .select(*incoming.columns)
@@ -123,15 +129,13 @@ def last_requests(incoming: DataFrame) -> DataFrame:
 
 def merged_store(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """SNK-2, JN-2, SET-1, SET-2 as a plan: stored rows that nothing replaces, plus the incoming."""
-    keys = incoming.select(*MATCH).distinct()
-    return store.join(keys, MATCH, "left_anti").select(*store.columns).unionByName(
-        last_requests(incoming)
-    )
+    kept = store.join(keys_of(incoming), MATCH, "left_anti").select(*store.columns)
+    return kept.unionByName(last_requests(incoming))
 
 
 def replaced_rows(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """JN-3: the stored rows an incoming batch replaces; every stored copy counts."""
-    return store.join(incoming.select(*MATCH).distinct(), MATCH, "left_semi")
+    return store.join(keys_of(incoming), MATCH, "left_semi")
 
 
 def save_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -183,18 +187,17 @@ def replace_and_insert(
     store = read_store(spark, path, layout=layout)
     matched = (
         store.select("bucket", *MATCH)
-        .join(incoming.select("bucket", *MATCH).distinct(), ["bucket", *MATCH], "left_semi")
+        .join(keys_of(incoming, "bucket"), ["bucket", *MATCH], "left_semi")
         .groupBy("bucket")
         .count()
         .collect()  # at most one row per bucket
     )
     touched = F.col("bucket").isin([r["bucket"] for r in matched])
-    written = total
     if matched:
         _write(merged_store(store.where(touched), incoming.where(touched)), path, "overwrite")
     _write(arriving.where(~touched), path, "append")
     overtaken = total - arriving.count()
-    return SaveResult(written, sum(r["count"] for r in matched) + overtaken)
+    return SaveResult(total, sum(r["count"] for r in matched) + overtaken)
 
 
 def store_audit(store: DataFrame) -> DataFrame:

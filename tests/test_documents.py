@@ -59,12 +59,13 @@ def test_reading_the_whole_folder(spark, folder):
 
 def test_requested_files(spark, folder):
     asked = spark.createDataFrame(
-        [("a.txt", "mine"), ("gone.txt", None), ("../docs-evil/x.txt", None), ("nested/d.txt", None),
+        [("a.txt", "mine"), ("a.txt", "mine"), ("a.txt", "ours"), ("gone.txt", None), ("../docs-evil/x.txt", None), ("nested/d.txt", None),
          ("c.exe", None), ("large.txt", None)],
         "file_name string, category string",
     )
     documents, rejects = read_documents(spark, folder, asked, max_bytes=100)
-    assert [(r["file_name"], r["category"]) for r in documents.collect()] == [("a.txt", "mine")]
+    found = sorted((r["file_name"], r["category"]) for r in documents.collect())
+    assert found == [("a.txt", "mine"), ("a.txt", "ours")]
     assert {r["row_key"]: r["error_code"] for r in rejects.collect()} == {
         "gone.txt": "document.not_found",
         "../docs-evil/x.txt": "file_name.not_a_bare_name",
