@@ -63,8 +63,9 @@ def embed_hashed(texts: DataFrame, text: str = "chunk_text", width: int = 64) ->
 
     Lower-case words hash into `width` counts, scaled to unit length. Works on whole Arrow batches:
     each distinct word of a batch is hashed once and one bincount builds the vectors. No shuffle.
+    Declared non-deterministic only so that no filter on the vector makes Spark compute it twice.
     """
-    hashed = F.arrow_udf(_hashed_counts(width), returnType=VECTOR)
+    hashed = F.arrow_udf(_hashed_counts(width), returnType=VECTOR).asNondeterministic()
     return texts.withColumn("embedding", hashed(F.col(text)))
 
 
