@@ -7,6 +7,7 @@ from groundwell.operators.chunking import chunk_documents
 from groundwell.operators.embedding import embed_hashed
 from groundwell.plans.answer import SearchSettings
 from groundwell.plans.ingest import IngestSettings, prepare
+from groundwell.session import work_path
 from groundwell.sources.documents import read_table, spread
 from groundwell.sources.store import Layout, last_requests
 
@@ -107,6 +108,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.unionByName(items).withColumns(absent)
 
 
+def document_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one .txt file per document (its text and a line break)."""
+    path = work_path(spark, "folder")
+    texts = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("record_id"), F.col("label").cast("string").alias("category"), "embedding"

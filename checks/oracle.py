@@ -315,6 +315,9 @@ ERROR_CLASS = """CASE WHEN error_code = 'document.not_found' THEN 'not_found'
   ELSE 'validation' END"""
 
 ORACLE = {
+    "document_sizes": "SELECT strlen(text) + 1 AS size_bytes FROM documents",
+    "document_read": f"""SELECT CASE WHEN strlen(text) < 4000 THEN text || {NL} END AS text,
+        CASE WHEN strlen(text) >= 4000 THEN 'document.too_large' END AS error_code FROM documents""",
     "chunk_store_scan": with_(STORE, embedded("store", "record_id", "chunk_text", "v"))
     + f""" SELECT {STORE_VIEW}, round(sqrt(list_sum(list_transform(embedding::DOUBLE[],
          lambda x: x * x))), 5) AS norm FROM store JOIN v ON v.id = record_id""",

@@ -51,7 +51,7 @@ from groundwell.operators.similarity import top_k
 from groundwell.plans.answer import answer_questions, retrieve
 from groundwell.plans.ingest import ingest, ingest_summary, prepare
 from groundwell.session import work_path
-from groundwell.sources.documents import list_documents, read_table, spread
+from groundwell.sources.documents import list_documents, read_documents, read_table, spread
 from groundwell.sources.store import (
     append_chunks,
     merged_store,
@@ -78,6 +78,21 @@ def document_listing(spark, sf_dir) -> DataFrame:
     return list_documents(spark, sf_dir, [".parquet"])
 
 
+def document_sizes(spark, sf_dir) -> DataFrame:
+    """The listing of a folder with one file per document."""
+    return list_documents(spark, frames.document_folder(spark, sf_dir)).select("size_bytes")
+
+
+def document_read(spark, sf_dir) -> DataFrame:
+    """The texts and the rejects of that folder, with a size cap that refuses some files."""
+    documents, rejects = read_documents(
+        spark, frames.document_folder(spark, sf_dir), max_bytes=4000
+    )
+    read = documents.select("text", F.lit(None).cast("string").alias("error_code"))
+    refused = rejects.select(F.lit(None).cast("string").alias("text"), "error_code")
+    return read.unionByName(refused)
+
+
 def chunk_store_scan(spark, sf_dir) -> DataFrame:
     return frames.store(spark, sf_dir).select(*STORE_VIEW, F.round("norm", 5).alias("norm"))
 
@@ -428,6 +443,8 @@ def public_answer_rows(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "document_listing": document_listing,
+    "document_sizes": document_sizes,
+    "document_read": document_read,
     "chunk_store_scan": chunk_store_scan,
     "chunk_store_append": chunk_store_append,
     "replace_and_insert": replace_and_insert,

@@ -224,43 +224,49 @@ def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks)
     return (part.coalesce(tasks) if tasks else part).mapInArrow(search, schema)
 
 
-def _tile_counts(frame: DataFrame, within: str, per_tile: int, name: str) -> DataFrame:
-    return frame.groupBy(within).agg(F.ceil(F.count("*") / per_tile).cast("int").alias(name))
+def _tiles(rows, per_tile: int):
+    """Tiles needed for a number of rows (a column or a plain number)."""
+    return F.greatest(F.ceil(rows / F.lit(per_tile)), F.lit(1)).cast("int")
 
 
-def _dealt(frame: DataFrame, sizes: DataFrame, within: str, key: str, own: str, other: str):
-    """Puts each row into one of its group's own tiles, once for every tile of the other side.
+def _tile_counts(store: DataFrame, questions: DataFrame) -> DataFrame:
+    """Tiles per cell and side; one row per cell, and the cells are bounded with the centroids."""
+    rows = store.groupBy("cell").agg(_tiles(F.count("*"), TILE_ROWS).alias("row_tiles"))
+    asks = questions.groupBy("cell").agg(_tiles(F.count("*"), TILE_QUESTIONS).alias("ask_tiles"))
+    return rows.join(asks, "cell")
 
-    `sizes` has one row, or one per cell; the number of cells is bounded with the centroids.
-    """
+
+def _dealt(sized: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """Puts each row into one of its own tiles, once for every tile of the other side."""
     return (
-        frame.join(F.broadcast(sizes), within)
-        .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        sized.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int") + 1)
+        .withColumn(other, F.explode(F.sequence(F.lit(1), F.col(f"{other}s"))))
         .drop(f"{own}s", f"{other}s")
     )
 
 
 def _grid(store: DataFrame, questions: DataFrame, keys, schema: T.StructType) -> DataFrame:
     """Partial top-k per pair of tiles; with cells, tiles pair up only within a cell."""
+    tile = ["row_tile", "ask_tile"]
     if "cells" in questions.columns:
-        within = "cell"
+        tile = ["cell", *tile]
+        store = store.select(*keys, "embedding", "category", "cell")
         questions = questions.withColumn("cell", F.explode("cells")).drop("cells")
+        sizes = F.broadcast(_tile_counts(store, questions))
+        store, questions = store.join(sizes, "cell"), questions.join(sizes, "cell")
     else:
-        within = "whole"
-        store = store.withColumn("whole", F.lit(0))
-        questions = questions.withColumn("whole", F.lit(0))
-    store = store.select(*keys, "embedding", "category", within)
-    sizes = _tile_counts(store, within, TILE_ROWS, "row_tiles").join(
-        _tile_counts(questions, within, TILE_QUESTIONS, "ask_tiles"), within
-    )
-    left = _dealt(store, sizes, within, keys[0], "row_tile", "ask_tile")
-    right = _dealt(questions, sizes, within, "query_id", "ask_tile", "row_tile")
-    tile = [within, "row_tile", "ask_tile"]
+        counts = {
+            "row_tiles": _tiles(F.lit(store.count()), TILE_ROWS),
+            "ask_tiles": _tiles(F.lit(questions.count()), TILE_QUESTIONS),
+        }
+        store = store.select(*keys, "embedding", "category").withColumns(counts)
+        questions = questions.withColumns(counts)
+    left = _dealt(store, keys[0], "row_tile", "ask_tile")
+    right = _dealt(questions, "query_id", "ask_tile", "row_tile")
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         block = QuestionBlock(asked, len(keys))
-        rows = rows.drop_columns(["cell"] if within == "cell" else [])
+        rows = rows.drop_columns([name for name in tile if name in rows.column_names])
         for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
             _meet_batch(block, batch, keys)
         return pa.Table.from_batches([block.results(keys)])
