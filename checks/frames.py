@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.operators.chunking import chunk_documents
-from groundwell.operators.embedding import embed_hashed
 from groundwell.plans.answer import SearchSettings
 from groundwell.plans.ingest import IngestSettings, prepare
 from groundwell.session import work_path
@@ -159,7 +158,3 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return chunk_documents(documents)
-
-
-def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_hashed(chunks(spark, sf_dir), width=WIDTH)

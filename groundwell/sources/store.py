@@ -111,7 +111,7 @@ def last_requests(incoming: DataFrame) -> DataFrame:
 
     A later document replaces every copy of a passage that an earlier one of the same category
     brought; copies within one document all stay. Only keys brought by several documents are
-    joined back, so the usual batch moves no rows.
+    joined back; a batch without any is returned as it is.
     """
     contested = (
         incoming.groupBy(*MATCH)
@@ -119,6 +119,8 @@ def last_requests(incoming: DataFrame) -> DataFrame:
         .where("first_doc < last_doc")
         .drop("first_doc")
     )
+    if contested.isEmpty():
+        return incoming
     return (
         incoming.join(broadcast_if_small(contested), MATCH, "left")
         .where("last_doc IS NULL OR doc_id = last_doc")
@@ -177,27 +179,27 @@ def replace_and_insert(
     """SNK-2 on disk. `incoming` holds store rows and is read several times: pass a staged table.
 
     Buckets where something is replaced are rewritten whole; everything else is appended, so a
-    batch of new documents rewrites nothing. One writer at a time. Running the same batch again
-    gives the same store, which is also how an interrupted run is completed.
+    batch of new documents rewrites nothing. What is collected is one count per bucket. One writer
+    at a time. Running the same batch again gives the same store, which is also how an interrupted
+    run is completed.
     """
-    total = incoming.count()
-    if total == 0:
+    sizes = {r["bucket"]: r["count"] for r in incoming.groupBy("bucket").count().collect()}
+    if not sizes:
         return SaveResult(0, 0)
     arriving = last_requests(incoming)
-    store = read_store(spark, path, layout=layout)
-    matched = (
-        store.select("bucket", *MATCH)
-        .join(keys_of(incoming, "bucket"), ["bucket", *MATCH], "left_semi")
-        .groupBy("bucket")
-        .count()
-        .collect()  # at most one row per bucket
-    )
-    touched = F.col("bucket").isin([r["bucket"] for r in matched])
-    if matched:
-        _write(merged_store(store.where(touched), incoming.where(touched)), path, "overwrite")
-    _write(arriving.where(~touched), path, "append")
-    overtaken = total - arriving.count()
-    return SaveResult(total, sum(r["count"] for r in matched) + overtaken)
+    keys = keys_of(incoming, "bucket")
+    store = read_store(spark, path, layout=layout).where(F.col("bucket").isin(list(sizes)))
+    replaced = store.select("bucket", *MATCH).join(keys, ["bucket", *MATCH], "left_semi")
+    touched = {r["bucket"]: r["count"] for r in replaced.groupBy("bucket").count().collect()}
+    in_touched = F.col("bucket").isin(list(touched))
+    total = sum(sizes.values())
+    overtaken = 0 if arriving is incoming else total - arriving.count()
+    if touched:
+        kept = store.where(in_touched).join(keys, ["bucket", *MATCH], "left_anti")
+        _write(kept.select(*store.columns).unionByName(arriving.where(in_touched)), path, "overwrite")
+    if sizes.keys() - touched.keys():
+        _write(arriving.where(~in_touched), path, "append")
+    return SaveResult(total, sum(touched.values()) + overtaken)
 
 
 def store_audit(store: DataFrame) -> DataFrame:

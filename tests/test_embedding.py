@@ -2,7 +2,6 @@ import math
 from hashlib import md5
 
 import numpy as np
-import pytest
 
 from groundwell.operators.embedding import (
     check_embeddings,
