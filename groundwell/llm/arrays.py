@@ -64,6 +64,21 @@ def words_in(buffer: np.ndarray, end: int, word_bytes: np.ndarray):
     return edges[0::2], edges[1::2] - edges[0::2]
 
 
+def flat_words(buffer: np.ndarray, starts: np.ndarray, word_bytes: np.ndarray):
+    """(flat, first, length, bounds): the slice in lower case with one space before, between and behind
+    its words and PAD zero bytes, the words' places in it, and for text k its words bounds[k] to
+    bounds[k + 1]."""
+    low = LOWER[buffer[: int(starts[-1])]]
+    inside = word_bytes[low]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    kept = low[keep]
+    kept[~inside[keep]] = 32
+    flat = np.concatenate((np.full(1, 32, np.uint8), kept, np.zeros(PAD, np.uint8)))
+    first, length = words_in(flat, len(kept) + 1, word_bytes)
+    return flat, first, length, np.searchsorted(first, np.concatenate(([0], np.cumsum(keep)))[starts] + 1)
+
+
 def lanes(buffer: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as one little-endian number."""
     return np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))

@@ -169,12 +169,11 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document row."""
     rows, names = identities(documents)
     named = staged(rows.join(names, "uid", "left"), "identities")
-    groups = (
-        named.filter("name IS NOT NULL")
-        .groupBy("width", "name")
-        .agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("n"))
-        .filter("n > 1")
-    )
+    groups = named.filter("name IS NOT NULL").groupBy("width", "name")
+    groups = groups.agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    # staged, so that the join does not take over the aggregation's partitioning and a group of a
+    # third of all rows can be split
+    groups = staged(groups, "groups")
     return named.join(groups, ["width", "name"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),

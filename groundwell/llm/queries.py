@@ -3,19 +3,57 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwell.llm.block_naming import exact_groups
+from groundwell.llm.histogram_packing import pack, packing_digest
+from groundwell.llm.hyperdimensional import language_of
 from groundwell.llm.positional_index import decontaminate
+from groundwell.llm.positive_unlabelled import score_toxicity
+from groundwell.llm.vantage_points import near_groups
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_positive_unlabelled(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_block_naming(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_points(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents")).drop("uid")
+
+
+def op7_hyperdimensional(spark, sf_dir):
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def op9_positional_index(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_block_naming, op9_positional_index)}
+def op10_histogram_packing(spark, sf_dir):
+    return packing_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_positive_unlabelled,
+        op4_block_naming,
+        op5_vantage_points,
+        op7_hyperdimensional,
+        op9_positional_index,
+        op10_histogram_packing,
+    )
+}
