@@ -38,24 +38,25 @@ def draw(share: float, salt: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 7):
-    """Weights and bias of the non-negative risk's minimum by Adam; logistic loss."""
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 100, batch: int = 1024, rate: float = 0.05, decay: float = 1e-5, seed: int = 7):
+    """Weights and bias of the non-negative risk's minimum by Adam; sigmoid loss, whose bound keeps
+    the difference of the two clean risks from drowning in far-off margins."""
     rng = np.random.default_rng(seed)
     n = positive.shape[1]
     w = np.zeros(n + 1)
     m, v, step = np.zeros(n + 1), np.zeros(n + 1), 0
-    w[n] = np.log(prior / (1 - prior))
-    rounds = max(4, -(-len(unlabelled) // batch))
+    w[n] = -1.0
+    rounds = max(2, -(-len(unlabelled) // batch))
     for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for p_rows, u_rows in zip(np.array_split(np.resize(p_order, max(len(p_order), rounds)), rounds), np.array_split(np.resize(u_order, max(len(u_order), rounds)), rounds)):
             p, u = positive[p_rows].astype(np.float32), unlabelled[u_rows].astype(np.float32)
             gp, gu = p @ w[:n] + w[n], u @ w[:n] + w[n]
             sp, su = 1 / (1 + np.exp(-np.clip(gp, -60, 60))), 1 / (1 + np.exp(-np.clip(gu, -60, 60)))
-            rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            rest = su.mean() - prior * sp.mean()
             # derivatives of the two terms by the margins
-            toxic = prior * (sp - 1) / len(p)
-            clean_p, clean_u = -prior * sp / len(p), su / len(u)
+            toxic = clean_p = -prior * sp * (1 - sp) / len(p)
+            clean_u = su * (1 - su) / len(u)
             if rest >= 0:
                 dp, du = toxic + clean_p, clean_u
             else:
