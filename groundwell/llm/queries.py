@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from groundwell.llm.block_naming import exact_groups
 from groundwell.llm.histogram_packing import pack, packing_digest
 from groundwell.llm.hyperdimensional import language_of
+from groundwell.llm.ngram_trie import score_documents
 from groundwell.llm.positional_index import decontaminate
 from groundwell.llm.positive_unlabelled import score_toxicity
 from groundwell.llm.vantage_points import near_groups
@@ -22,6 +23,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_ngram_trie(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_positive_unlabelled(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +54,7 @@ def op10_histogram_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_ngram_trie,
         op3_positive_unlabelled,
         op4_block_naming,
         op5_vantage_points,
