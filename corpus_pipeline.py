@@ -1,33 +1,77 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
+
+Every stage takes all rows its predecessor kept and decides per row. Where ids repeat or are null, rows get
+a number in the order of the ids first, so that decisions meet rows and not ids.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundwell.llm.block_naming import exact_groups
+from groundwell.llm.histogram_packing import pack
 from groundwell.llm.positional_index import decontaminate
+from groundwell.llm.positive_unlabelled import train
+from groundwell.llm.queries import tokenizer_path
+from groundwell.llm.vantage_points import near_groups
+from groundwell.llm.word_features import linear_scores
 from groundwell.session import staged
 
+# SQL cannot express the trained classifier; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
+def rows_where(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs for which decide(rows with a doc_id of their own) gives doc_id in `keep`."""
+    unsure = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if unsure.isEmpty():
+        rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    else:
+        ordered = docs.orderBy(F.col("doc_id").asc_nulls_first())
+        rows = staged(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    kept = decide(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go; without toxic training rows all stay."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
+    return rows_where(docs, lambda rows: linear_scores(rows, *model[:3]).filter("score < 0.5"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the row with the largest doc_id stays."""
+    return rows_where(docs, lambda rows: exact_groups(rows).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the row with the smallest doc_id stays."""
+    return rows_where(docs, lambda rows: near_groups(rows).filter("doc_id = component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    clean = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT contaminated")
-    return docs.join(clean.select("doc_id"), "doc_id", "left_semi")
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return rows_where(docs, lambda rows: decontaminate(rows, benchmark).filter("NOT contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens, with their ids."""
+    return pack(docs, tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = staged(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,10 +5,13 @@ from pyspark.sql import DataFrame, SparkSession
 from groundwell.llm.block_naming import exact_groups
 from groundwell.llm.histogram_packing import pack, packing_digest
 from groundwell.llm.hyperdimensional import language_of
+from groundwell.llm.kd_shards import metadata_shards
 from groundwell.llm.ngram_trie import score_documents
 from groundwell.llm.positional_index import decontaminate
 from groundwell.llm.positive_unlabelled import score_toxicity
+from groundwell.llm.sentence_rules import license_digest, license_scan
 from groundwell.llm.vantage_points import near_groups
+from groundwell.llm.weak_labels import score_quality
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_sentence_rules(spark, sf_dir):
+    return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op2_ngram_trie(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -39,10 +46,18 @@ def op5_vantage_points(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op6_kd_shards(spark, sf_dir):
+    return metadata_shards(table(spark, sf_dir, "documents"))
+
+
 def op7_hyperdimensional(spark, sf_dir):
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_labels(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op9_positional_index(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,11 +69,14 @@ def op10_histogram_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_sentence_rules,
         op2_ngram_trie,
         op3_positive_unlabelled,
         op4_block_naming,
         op5_vantage_points,
+        op6_kd_shards,
         op7_hyperdimensional,
+        op8_weak_labels,
         op9_positional_index,
         op10_histogram_packing,
     )
