@@ -41,6 +41,7 @@ MIN_CONTEXT = 2
 ORDER = 3
 WEIGHTS = {2: 60.0, 3: 4.0}
 FOLDS, HELD = 7, 2
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STEP = 0.03
 UNSEEN = 255
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,8 +129,7 @@ class Resolved:
         self.previous[doc_starts] = -1
         for level in range(2, max(answers, default=1) + 1):
             self.keys(level)
-            count, place = self.joined(answers[level])
-            code = self.codes(answers[level])
+            code, key_ids, key_counts = self.contexts_of(answers[level], np.array(model.shifts[level], np.int64))
             m = weights[level]
             own = self.asked[self.order]
             number = self.number
@@ -137,9 +137,7 @@ class Resolved:
             self.p[own] = seen[number] + m / (self.context_count[own] + m) * self.p[own]
             ids = np.full(len(self.tokens), -1, np.int64)
             counts = np.zeros(len(self.tokens), np.int64)
-            key_ids = place + np.array(model.shifts[level], np.int64)[self.key_shard]
-            ids[own] = np.where(count > 0, key_ids, -1)[number]
-            counts[own] = count[number]
+            ids[own], counts[own] = key_ids[number], key_counts[number]
             at = self.previous
             self.context = np.where(at >= 0, ids[at], -1)
             self.context_count = np.where(at >= 0, counts[at], 0)
@@ -158,31 +156,48 @@ class Resolved:
         spread = np.maximum(1, self.context_count[self.asked] // HOT_COUNT)
         part = mix(word.astype(np.uint64)) % spread.astype(np.uint64)
         shard = ((mix(context.astype(np.uint64)) + part) % np.uint64(self.model.shards)).astype(np.int64)
-        self.order = np.lexsort((word, context, shard))
-        shard, context, word = shard[self.order], context[self.order], word[self.order]
-        new = np.ones(len(shard), bool)
-        new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-        self.number = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
+        key = context * max(1, self.model.types) + word
+        order = np.argsort(key)
+        sorted_key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        first = order[new]
+        # the distinct keys by shard; tokens then by the number of their key
+        by_shard = np.argsort(shard[first], kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[by_shard] = np.arange(len(first))
+        self.order, self.number = order, place[np.cumsum(new) - 1]
+        first = first[by_shard]
         self.key_shard, self.key_context, self.key_word = shard[first], context[first], word[first]
-        self.key_context_count = self.context_count[self.asked][self.order][first]
-        self.key_count = np.bincount(self.number, self.train[self.asked][self.order], len(first)).astype(np.int64)
+        self.key_context_count = self.context_count[self.asked][first]
+        self.key_count = np.bincount(self.number, self.train[self.asked][order], len(first)).astype(np.int64)
 
     def joined(self, parts: list):
-        """(counts, places) of all keys from the shards' answers in order."""
-        parts = [p for p in sorted(parts)]
-        counts = np.concatenate([unpack_varints(p[1]) for p in parts] or [np.zeros(0, np.uint64)]).astype(np.int64)
-        places = np.zeros(len(counts), np.int64)
-        done = 0
-        for _, raw, gaps, _ in parts:
+        """(counts, places) of the words from the shards' answers in order."""
+        counts, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, raw, gaps, _ in sorted(parts):
             own = unpack_varints(raw).astype(np.int64)
-            places[done + np.flatnonzero(own > 0)] = np.cumsum(unpack_varints(gaps).astype(np.int64))
-            done += len(own)
-        return counts, places
+            place = np.zeros(len(own), np.int64)
+            place[own > 0] = np.cumsum(unpack_varints(gaps).astype(np.int64))
+            counts.append(own)
+            places.append(place)
+        return np.concatenate(counts), np.concatenate(places)
 
     @staticmethod
-    def codes(parts: list) -> np.ndarray:
-        return np.concatenate([np.frombuffer(p[3], np.uint8) for p in sorted(parts)] or [np.zeros(0, np.uint8)])
+    def contexts_of(parts: list, shifts: np.ndarray):
+        """(codes, ids, counts) of the keys; id -1 and count 0 for what is no context of the next level."""
+        codes, ids, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for shard, raw, gaps, own in sorted(parts):
+            code = np.frombuffer(own, np.uint8)
+            number, count = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
+            if raw:
+                kept, places = np.split(unpack_varints(gaps).astype(np.int64), 2)
+                slot = np.cumsum(kept)
+                number[slot], count[slot] = np.cumsum(places) + shifts[shard], unpack_varints(raw).astype(np.int64)
+            codes.append(code)
+            ids.append(number)
+            counts.append(count)
+        return np.concatenate(codes), np.concatenate(ids), np.concatenate(counts)
 
     def queries(self, level: int):
         """(shard, contexts, words, counts, context counts) for each shard that is asked."""
@@ -213,7 +228,7 @@ def runs(shard: np.ndarray):
 
 
 def read_query(raw: dict):
-    """(contexts, words, counts, context counts) of one query row, a value per key."""
+    """(contexts, keys of each, words, counts, context counts) of one query row."""
     numbers = unpack_varints(raw["contexts"]).astype(np.int64)
     n = int(numbers[1])
     context, sizes = np.cumsum(numbers[2 : 2 + n]), numbers[2 + n : 2 + 2 * n]
@@ -221,8 +236,7 @@ def read_query(raw: dict):
     total = np.cumsum(gaps)
     first = np.cumsum(sizes) - sizes
     word = total - np.repeat(total[first] - gaps[first], sizes)
-    counts = unpack_varints(raw["counts"]).astype(np.int64)
-    return np.repeat(context, sizes), word, counts, np.repeat(unpack_varints(raw["context_counts"]).astype(np.int64), sizes)
+    return context, sizes, word, unpack_varints(raw["counts"]).astype(np.int64), unpack_varints(raw["context_counts"]).astype(np.int64)
 
 
 ANSWERS = "shard int, segment long, level int, counts binary, places binary, codes binary, stats array<long>, trie binary"
@@ -245,7 +259,7 @@ def answers_frame(shard, level, rows, stats, trie):
     )
 
 
-def word_shard(table: pa.Table) -> pa.Table:
+def word_shard(table: pa.Table, keep: bool) -> pa.Table:
     """The first level of one shard: words by hash, with counts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
     hashes = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
@@ -261,7 +275,7 @@ def word_shard(table: pa.Table) -> pa.Table:
         c = total[k]
         answers.append((r["segment"], pack_varints(c), pack_varints(np.diff(rank[k][c > 0], prepend=0)), b""))
     stats = [len(known), int(total.sum()), int((total == 1).sum()), int((total == 2).sum())]
-    return answers_frame(rows[0]["shard"], 1, answers, stats, known.tobytes())
+    return answers_frame(rows[0]["shard"], 1, answers, stats, known.tobytes() if keep else None)
 
 
 class TrieShard:
@@ -287,19 +301,21 @@ class TrieShard:
         ]
         return np.array([*map(len, parts), words], "<i8").tobytes() + b"".join(parts)
 
-    def find(self, context, word) -> np.ndarray:
-        """The place of each pair, -1 where the trie has none."""
+    def find(self, context, sizes, word) -> np.ndarray:
+        """The place of sizes[k] words behind each context[k], -1 where the trie has none."""
         n = self.contexts.n
-        if not n or not len(context):
-            return np.full(len(context), -1, np.int64)
+        place = np.full(len(word), -1, np.int64)
+        if not n or not len(word):
+            return place
         zero = np.zeros(len(context), np.int64)
         slot = self.contexts.successor(zero, zero + n, context)
         there = slot < n
         there[there] = self.contexts.at(slot[there]) == context[there]
-        place = np.full(len(context), -1, np.int64)
-        own = np.flatnonzero(there)
-        a, b = self.pointers.at(slot[own]), self.pointers.at(slot[own] + 1)
-        wanted = slot[own] * self.words + word[own]
+        slot = np.where(there, slot, 0)
+        a, b = self.pointers.at(slot), self.pointers.at(slot + 1)
+        own = np.flatnonzero(np.repeat(there, sizes))
+        slot, a, b = (np.repeat(x, sizes)[own] for x in (slot, a, b))
+        wanted = slot * self.words + word[own]
         at = self.successors.successor(a, b, wanted)
         hit = at < b
         hit[hit] = self.successors.at(at[hit]) == wanted[hit]
@@ -307,48 +323,57 @@ class TrieShard:
         return place
 
 
-def gram_shard(table: pa.Table, level: int, weight: float, words: int) -> pa.Table:
+def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: bool, keep: bool) -> pa.Table:
     """A higher level's shard: built from the training counts, then asked for every segment's keys."""
     rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
     asked = [read_query(r) for r in rows]
-    context, word, count, context_count = (np.concatenate(c) for c in zip(*asked))
-    order = np.lexsort((word, context))
-    c, w, n, cc = context[order], word[order], count[order], context_count[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(n, first) if len(first) else n
-    kept = total > 0
-    c, w, cc, total = c[first][kept], w[first][kept], cc[first][kept], total[kept]
-    raw = TrieShard.build(c, w, total / (cc + weight), words)
+    key = np.concatenate([np.repeat(c, s) * words + w for c, s, w, _, _ in asked])
+    count = np.concatenate([n for _, _, _, n, _ in asked])
+    context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])
+    order = np.flatnonzero(count > 0)
+    order = order[np.argsort(key[order])]
+    key, count, context_count = key[order], count[order], context_count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+    total = np.add.reduceat(count, first) if len(first) else count
+    raw = TrieShard.build(key[first] // words, key[first] % words, total / (context_count[first] + weight), words)
     trie = TrieShard(raw)
     answers = []
-    for r, (context, word, _, _) in zip(rows, asked):
-        place = trie.find(context, word)
-        hit = place >= 0
-        counts = np.zeros(len(place), np.int64)
-        counts[hit] = total[place[hit]]
+    for r, (context, sizes, word, _, _) in zip(rows, asked):
+        place = trie.find(context, sizes, word)
+        hit = np.flatnonzero(place >= 0)
         codes = np.full(len(place), UNSEEN, np.uint8)
         codes[hit] = trie.codes[place[hit]]
-        # keys come in the order of the trie, so places only grow
-        answers.append((r["segment"], pack_varints(counts), pack_varints(np.diff(place[hit], prepend=0)), codes.tobytes()))
-    return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw)
-
-
-def score_documents(documents: DataFrame, order: int = ORDER, weights: dict = WEIGHTS, folds: int = FOLDS, held: int = HELD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document row."""
+        counts = gaps = b""
+        if not last:
+            # possible contexts of the next level; keys come in the order of the trie, so both only grow
+            hit = hit[total[place[hit]] >= MIN_CONTEXT]
+            counts = pack_varints(total[place[hit]])
+            gaps = pack_varints(np.concatenate((np.diff(hit, prepend=0), np.diff(place[hit], prepend=0))))
+        answers.append((r["segment"], counts, gaps, codes.tobytes()))
+    return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw if keep else None)
+
+
+def score_documents(documents: DataFrame, order: int = ORDER, weights: dict = WEIGHTS, folds: int = FOLDS, held: int = HELD, model_path: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document row. With
+    `model_path` the shards' flat buffers are kept there, as (level, shard, trie)."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), training_fold(F.col("doc_id"), folds, held).alias("held"), F.col("text").cast("string").alias("text"))
     name = f"segments_{uuid.uuid4().hex}"
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.mapInArrow(segment_rows, SEGMENTS).write.format("parquet").option("compression", "zstd").bucketBy(parts, "segment").saveAsTable(name)
     segments = spark.table(name)
+    # a segment is some tens of megabytes with its answers: one a batch
+    batch_rows = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, 1)
     try:
         size = segments.agg(F.coalesce(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
         model = Words(1 << max(0, math.ceil(math.log2(max(1, size * 6 / SHARD_BYTES)))))
         given = None
         for level in range(1, order + 1):
-            answered = staged(level_answers(segments, given, model, level, weights), f"level{level}")
+            answered = staged(level_answers(segments, given, model, level, weights, order, model_path is not None), f"level{level}")
+            if model_path is not None:
+                tries = answered.filter("stats IS NOT NULL").select("level", "shard", "trie")
+                tries.write.mode("overwrite" if level == 1 else "append").parquet(model_path)
             stats = {r["shard"]: r["stats"] for r in answered.filter("stats IS NOT NULL").select("shard", "stats").collect()}
             sizes = [stats.get(s, [0])[0] for s in range(model.shards)]
             model.shifts[level] = (np.cumsum(sizes) - sizes).tolist()
@@ -359,6 +384,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, weights: dict = WE
             given = own if given is None else given.unionByName(own)
         return staged(final_scores(segments, given, model, weights), "scores")
     finally:
+        spark.conf.set(BATCH_ROWS, batch_rows)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
@@ -381,7 +407,7 @@ def resolved_rows(batches, model: Words, weights: dict, levels: int):
             yield row, Resolved(row, answers, model, weights)
 
 
-def level_answers(segments: DataFrame, given: DataFrame | None, model: Words, level: int, weights: dict) -> DataFrame:
+def level_answers(segments: DataFrame, given: DataFrame | None, model: Words, level: int, weights: dict, levels: int, keep: bool) -> DataFrame:
     """Queries of one level from all segments to the shards, and the shards' answers."""
     schema = "shard int, segment long, contexts binary, words binary, counts binary, context_counts binary"
 
@@ -395,7 +421,10 @@ def level_answers(segments: DataFrame, given: DataFrame | None, model: Words, le
             )
 
     words, weight = max(1, model.types), weights.get(level, 0.0)
-    answer = word_shard if level == 1 else (lambda table: gram_shard(table, level, weight, words))
+    if level == 1:
+        answer = lambda table: word_shard(table, keep)
+    else:
+        answer = lambda table: gram_shard(table, level, weight, words, level == levels, keep)
     queries = with_answers(segments, given).mapInArrow(asked, schema)
     return queries.groupBy("shard").applyInArrow(answer, ANSWERS)
 
