@@ -14,6 +14,7 @@ one token; repeated rows are packed each; an empty table gives no rows.
 """
 
 import bisect
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,37 @@ PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+# ASCII letters, and marks that a pre-tokenizer parts from a letter before them. Marks that occur in
+# special tokens or contractions are not among them.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?#$%&*)"]] = True
+_LATIN = np.zeros(256, bool)  # second bytes of letters behind 0xC3
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+SEPARATOR = "\x01"
+
+
+def parted(buffer: np.ndarray):
+    """(buffer, places): a space between each letter and a mark behind it, and where each byte went."""
+    letter = _LETTER[buffer]
+    letter[1:] |= _LATIN[buffer[1:]] & (buffer[:-1] == 0xC3)
+    cut = np.zeros(len(buffer), bool)
+    cut[1:] = letter[:-1] & _MARK[buffer[1:]]
+    places = np.arange(len(buffer)) + np.cumsum(cut)
+    out = np.full(int(places[-1]) + 1, 32, np.uint8)
+    out[places] = buffer
+    return out, places
+
+
 class Encoder:
     """Token ids by words between ASCII white space, each distinct word encoded once.
 
-    For tokenizers that drop white space and never join tokens across it, so that a text's ids
-    are its words' ids in order. Holds at most CACHED_WORDS words.
+    For tokenizers that drop white space and never join tokens across it, so that a text's ids are its
+    words' ids in order. New words are encoded a thousand at a time, parted by a separator. Holds at most
+    CACHED_WORDS words.
     """
 
     def __init__(self, path: str):
@@ -49,6 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
     def clear(self):
@@ -58,11 +86,26 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
         self.filled = 0
 
+    def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words, none of which has the separator's character."""
+        if len(self.separator) != 1:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([t for x in found for t in x], np.int64), np.array([len(x) for x in found], np.int64)
+        joined = [f" {SEPARATOR} ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        found = self.tokenizer.encode_batch_fast([f"{x} {SEPARATOR}" for x in joined], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in found])
+        ends = np.flatnonzero(flat == self.separator[0])
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
     def learn(self, words: list[bytes]):
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        size = np.array([len(x) for x in lists], np.int32)
-        flat = np.fromiter((t for x in lists for t in x), self.ids.dtype, int(size.sum()))
+        plain = [w for w in words if b"\x01" not in w]
+        self.add(plain, *self.lists([w.decode() for w in plain]))
+        for w in words:
+            if b"\x01" in w:
+                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+                self.add([w], np.array(ids), np.array([len(ids)]))
+
+    def add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray):
         n, m = len(self.number), len(words)
         while n + m > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
@@ -78,13 +121,15 @@ class Encoder:
         split = [t.split() for t in texts]
         counts = np.array([len(w) for w in split])
         words = [w for s in split for w in s]
-        new = [w for w in set(words) if w not in self.number]
-        if len(self.number) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(set(words))
-        if new:
+        slot = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(slot < 0)
+        if missed.size:
+            new = list({words[k] for k in missed.tolist()})
+            if len(self.number) + len(new) > CACHED_WORDS:
+                self.clear()
+                new, missed = list(set(words)), np.arange(len(words))
             self.learn(new)
-        slot = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            slot[missed] = np.fromiter((self.number[words[k]] for k in missed.tolist()), np.int64, len(missed))
         size = self.size[slot].astype(np.int64)
         ids = self.ids[ranges(self.first[slot], size)] if len(slot) else self.ids[:0]
         word_ends = np.concatenate(([0], np.cumsum(size)))
@@ -108,8 +153,9 @@ def token_pieces(documents: DataFrame, tokenizer: str, limit: int = SEQUENCE) ->
         own = encoder(tokenizer)
         for batch in batches:
             for i, j, buffer, starts in text_slices(batch, "text", 1 << 20):
-                raw = buffer.tobytes()
-                texts = [raw[a : b - 1] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                spaced, places = parted(buffer)
+                raw, at = spaced.tobytes(), places[starts].tolist()
+                texts = [raw[a : b - 1] for a, b in zip(at[:-1], at[1:])]
                 rows = []
                 for doc_id, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), own.encode(texts)):
                     ids = np.append(ids, ids.dtype.type(END_TOKEN))
