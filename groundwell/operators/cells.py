@@ -20,16 +20,21 @@ from groundwell.session import broadcast_if_small
 # Bound of the broadcast centroid matrix, and of one block of centroid scores inside a task.
 CENTROID_BYTES = 256 * 1024 * 1024
 SCORE_CELLS = 4 * 1024 * 1024
-SAMPLE_MARGIN = 8
+KMEANS_ROWS = 64
 
 
 def train_centroids(
-    store: DataFrame, cells: int, method: str = "sample", seed: int = 7
+    store: DataFrame,
+    cells: int,
+    method: str = "sample",
+    seed: int = 7,
+    rows_per_cell: int = KMEANS_ROWS,
 ) -> DataFrame:
     """(cell, centroid): `cells` sampled store vectors, or k-means centres over a sample.
 
-    The sample is the rows with the lowest hash of their id, so it does not change between runs;
-    a hash threshold thins the store before the ordered cut. K-means takes 64 rows per cell.
+    The sample is the usable rows with the lowest hash of their id, so it does not change between
+    runs; each task keeps `cells` rows of the ordered cut at most. K-means takes about
+    `rows_per_cell` usable rows per cell. A store without a usable vector raises ValueError.
     """
     width = store.select(F.size("embedding")).where(F.col("embedding").isNotNull()).first()
     if width is not None and cells * width[0] * 4 > CENTROID_BYTES:
@@ -37,13 +42,14 @@ def train_centroids(
     draws = store.select(
         "embedding", F.md5(F.col("record_id").cast("string")).alias("draw")
     ).where(F.exists("embedding", lambda x: x != 0))
-    margin = SAMPLE_MARGIN if method == "sample" else 64
-    share = margin * cells / max(store.count(), 1)
-    if share < 1.0:
-        draws = draws.where(F.col("draw") < f"{int(share * 16**8):08x}")
     if method == "kmeans":
+        share = rows_per_cell * cells / max(draws.count(), 1)
+        if share < 1.0:
+            draws = draws.where(F.col("draw") < f"{int(share * 16**8):08x}")
         return _kmeans(draws, cells, seed)
     drawn = draws.orderBy("draw").limit(cells).select("embedding").collect()
+    if not drawn:
+        raise ValueError("the store has no usable vector to take centroids from")
     return _centroid_table(store, [row["embedding"] for row in drawn])
 
 

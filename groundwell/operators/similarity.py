@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundwell.functions.text import blank_to_null
 from groundwell.functions.vectors import (
     ROUND_OUT,
     ROUND_RANK,
@@ -43,6 +44,8 @@ TILE_QUESTIONS = 4096
 BLOCK_ROWS = 8192
 BLOCK_QUESTIONS = 512
 MERGE_SLICES = 64
+# Pairs that wait before the lists are cut; ties and low floors cannot hold more than a block above.
+PENDING_PAIRS = 1_000_000
 
 
 def with_defaults(questions: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def with_defaults(questions: DataFrame) -> DataFrame:
         "query_id",
         "vector",
         F.coalesce(given("top_k", "int"), F.lit(DEFAULT_TOP_K)).alias("top_k"),
-        given("category", "string").alias("category"),
+        blank_to_null(given("category", "string")).alias("category"),
         F.coalesce(given("min_similarity", "double"), F.lit(DEFAULT_MIN_SIMILARITY)).alias(
             "min_similarity"
         ),
@@ -144,11 +147,13 @@ class QuestionBlock:
             for r0 in range(0, len(rows), BLOCK_ROWS):
                 scores = rows[r0 : r0 + BLOCK_ROWS] @ right
                 self._keep(scores, keys[r0 : r0 + BLOCK_ROWS], some)
+                if sum(len(p[0]) for p in self.pending) > PENDING_PAIRS:
+                    self._settle()
 
     def _keep(self, scores, keys, asked) -> None:
         slack = 10.0**-ROUND_RANK
         most = int(self.top_k[asked].max())
-        if len(scores) > most and np.isinf(self.bar[asked]).any():
+        if len(scores) > most:
             # The k-th best score of these rows alone bounds the k-th best overall from below.
             kth = np.partition(scores, -most, axis=0)[-most]
             self.bar[asked] = np.maximum(self.bar[asked], kth - slack)

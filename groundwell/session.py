@@ -27,13 +27,15 @@ def build_session(master="local[*]", shuffle_partitions=8, driver_memory="8g", *
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by spark.checkpoint.dir.
+    """A fresh path in the checkpoint folder: the one the caller set, else spark.checkpoint.dir.
 
-    Only where neither the setting nor a checkpoint folder exists (a local test session) is a
-    temporary folder made and set.
+    Only a local session without either gets a temporary folder; on a cluster its executors would
+    not see the driver's.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="groundwell-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

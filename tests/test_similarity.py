@@ -167,3 +167,34 @@ def test_expressions(spark):
         passes_floor(F.lit(float("nan")), F.lit(0.0)).alias("p"),
     ).first()
     assert nan["s"] != nan["s"] and nan["p"] is False
+
+
+def test_category_is_trimmed_and_blank_means_none(spark):
+    store = spark.createDataFrame(HAND, STORE)
+    asked = [(1, [2.0, 0.0], 50, "a", None), (2, [2.0, 0.0], 50, " a ", None), (3, [2.0, 0.0], 50, None, None), (4, [2.0, 0.0], 50, " ", None)]
+    rows = ranked(top_k(store, spark.createDataFrame(asked, QUESTIONS)))
+    lists = {q: [r[1:] for r in rows if r[0] == q] for q in range(1, 5)}
+    assert lists[1] and lists[1] == lists[2]
+    assert lists[3] and lists[3] == lists[4]
+
+
+def test_a_floor_keeps_few_pairs_waiting():
+    import pyarrow as pa
+
+    table = pa.table(
+        {
+            "query_id": pa.array(range(64), pa.int64()),
+            "vector": [[1.0, 0.0]] * 64,
+            "top_k": pa.array([5] * 64, pa.int32()),
+            "min_similarity": [0.2] * 64,
+            "category": pa.array([None] * 64, pa.string()),
+        }
+    )
+    block = S.QuestionBlock(table, 1)
+    angle = np.linspace(0, 1, 20_000)
+    rows = np.stack([np.cos(angle), np.sin(angle)], 1)
+    block.meet(rows, np.arange(20_000)[:, None])
+    assert len(block.found[0]) == 64 * 5
+    same = np.tile([[1.0, 0.0]], (40_000, 1))
+    block._score(same, np.arange(40_000)[:, None], np.arange(64))
+    assert sum(len(p[0]) for p in block.pending) <= S.PENDING_PAIRS
