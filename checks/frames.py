@@ -69,7 +69,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as search requests of eight kinds, five of them admissible."""
+    """User turns as search requests of eight kinds, three of them admissible."""
     kind = (F.col("conv_id") * 7 + F.col("turn")) % 8
     return (
         read_table(spark, sf_dir, "conversations")
@@ -89,6 +89,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns as valid search requests: other counts, a category, a blank one, a floor."""
+    kind = (F.col("conv_id") * 7 + F.col("turn")) % 8
+    return (
+        read_table(spark, sf_dir, "conversations")
+        .where("role = 'user'")
+        .select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+            F.concat(F.lit(" "), "text", F.lit("\n")).alias("query"),
+            F.when(kind == 1, 3).when(kind == 2, 1).when(kind == 3, 50).alias("top_k"),
+            F.when(kind == 1, F.concat(F.lit(" src"), F.col("conv_id") % 20))
+            .when(kind == 0, "")
+            .alias("category"),
+            F.when(kind == 4, 0.7).when(kind == 5, 1.0).cast("double").alias("min_similarity"),
+        )
+    )
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All user turns and all benchmark passages as plain questions."""
     turns = (

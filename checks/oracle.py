@@ -124,6 +124,13 @@ REQUESTS = """requests AS (
     CASE k WHEN 4 THEN 0.7::DOUBLE WHEN 5 THEN 1.5::DOUBLE END AS min_similarity
   FROM (SELECT *, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE role = 'user'))"""
 
+SEARCHES = """requests AS (
+  SELECT conv_id * 1000 + turn AS query_id, ' ' || text || chr(10) AS query,
+    CASE k WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 50 END AS top_k,
+    CASE k WHEN 1 THEN ' src' || (conv_id % 20) WHEN 0 THEN '' END AS category,
+    CASE k WHEN 4 THEN 0.7::DOUBLE WHEN 5 THEN 1.0::DOUBLE END AS min_similarity
+  FROM (SELECT *, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE role = 'user'))"""
+
 CHECKED = f"""checked AS (
   SELECT query_id, {strip('query')} AS query, coalesce(top_k, 5) AS top_k,
     nullif({strip('category')}, '') AS category,
@@ -225,7 +232,7 @@ TEXT_VECTORS = ",\n".join(
         hits("s"),
     ]
 )
-SEARCH = ",\n".join([STORE, REQUESTS, CHECKED, ASKED, TEXT_VECTORS])
+SEARCH = ",\n".join([STORE, SEARCHES, CHECKED, ASKED, TEXT_VECTORS])
 PLAIN_SEARCH = ",\n".join([STORE, PLAIN_QUESTIONS, TEXT_VECTORS])
 
 
@@ -314,6 +321,15 @@ ERROR_CLASS = """CASE WHEN error_code = 'document.not_found' THEN 'not_found'
     OR error_code IN ('document.read_failed', 'document.no_chunks_produced') THEN 'upstream'
   ELSE 'validation' END"""
 
+GENERATED = f""" SELECT a.query_id, CASE WHEN count(c.label) > 0 THEN 'Seen [' ||
+        string_agg('S' || c.label, ', ' ORDER BY c.label) || '].' END AS raw_answer,
+      CASE WHEN count(c.label) > 0 THEN 'stop' END AS finish_reason,
+      CASE WHEN count(c.label) > 0 THEN 18 + 10 + any_value(length(a.query)) +
+        sum(length({strip('c.text')}) + 5 + length(c.label::VARCHAR) + 1) END::INTEGER
+        AS input_tokens,
+      CASE WHEN count(c.label) > 0 THEN count(c.label) END::INTEGER AS output_tokens
+        FROM asked a LEFT JOIN context c USING (query_id) GROUP BY a.query_id"""
+
 ORACLE = {
     "document_sizes": "SELECT strlen(text) + 1 AS size_bytes FROM documents",
     "document_read": f"""SELECT CASE WHEN strlen(text) < 4000 THEN text || {NL} END AS text,
@@ -321,6 +337,7 @@ ORACLE = {
     "chunk_store_scan": with_(STORE, embedded("store", "record_id", "chunk_text", "v"))
     + f""" SELECT {STORE_VIEW}, round(sqrt(list_sum(list_transform(embedding::DOUBLE[],
          lambda x: x * x))), 5) AS norm FROM store JOIN v ON v.id = record_id""",
+    "chunk_store_category": with_(STORE) + f" SELECT {STORE_VIEW} FROM store WHERE category = 'src1'",
     "chunk_store_append": with_(STORE) + f" SELECT {STORE_VIEW} FROM store_all",
     "replace_and_insert": with_(STORE, INCOMING, MERGED) + f" SELECT {STORE_VIEW} FROM merged",
     "replace_and_insert_on_disk": with_(STORE, INCOMING, MERGED)
@@ -350,6 +367,9 @@ ORACLE = {
     "embed_hashed": with_(embedded("documents", "doc_id", "text", "v"))
     + """ SELECT * FROM (SELECT id AS doc_id, unnest(range(64))::INTEGER AS position,
           round(unnest(embedding)::DOUBLE, 6) AS weight FROM v) WHERE weight > 0""",
+    "embed_unavailable": with_(chunked("documents", ""))
+    + """ SELECT doc_id, chunk_index,
+        CASE WHEN length(chunk_text) % 7 = 0 THEN 'embedding.unavailable' END AS error_code FROM chunks""",
     "embed_chunks": with_(
         chunked("documents", ""),
         "keyed AS (SELECT *, doc_id * 1000000 + chunk_index AS id FROM chunks)",
@@ -420,15 +440,11 @@ ORACLE = {
     "generate_extractive": with_(SEARCH, answered(2000))
     + """ SELECT query_id, raw_answer, CASE WHEN raw_answer IS NOT NULL THEN 'stop' END
           AS finish_reason FROM spoken""",
-    "generate_answers": with_(SEARCH, answered(2000))
-    + f""" SELECT a.query_id, CASE WHEN count(c.label) > 0 THEN 'Seen [' ||
-            string_agg('S' || c.label, ', ' ORDER BY c.label) || '].' END AS raw_answer,
-          CASE WHEN count(c.label) > 0 THEN 'stop' END AS finish_reason,
-          CASE WHEN count(c.label) > 0 THEN 18 + 10 + any_value(length(a.query)) +
-            sum(length({strip('c.text')}) + 5 + length(c.label::VARCHAR) + 1) END::INTEGER
-            AS input_tokens,
-          CASE WHEN count(c.label) > 0 THEN count(c.label) END::INTEGER AS output_tokens
-        FROM asked a LEFT JOIN context c USING (query_id) GROUP BY a.query_id""",
+    "generate_answers": with_(SEARCH, answered(2000)) + GENERATED,
+    "generate_unavailable": with_(SEARCH, answered(2000), f"generated AS ({GENERATED})")
+    + """ SELECT query_id, CASE WHEN input_tokens % 3 <> 0 THEN raw_answer END AS answer,
+          CASE WHEN input_tokens % 3 = 0 THEN 'answer.unavailable' END AS error_code
+        FROM generated WHERE raw_answer IS NOT NULL""",
     "no_hit_short_circuit": with_(SEARCH)
     + """ SELECT a.query_id, CASE WHEN h.query_id IS NULL THEN
           'The indexed documents do not contain anything relevant to that question.'

@@ -74,10 +74,6 @@ def _joined(column: str) -> Column:
 # Sources and sinks
 
 
-def document_listing(spark, sf_dir) -> DataFrame:
-    return list_documents(spark, sf_dir, [".parquet"])
-
-
 def document_sizes(spark, sf_dir) -> DataFrame:
     """The listing of a folder with one file per document."""
     return list_documents(spark, frames.document_folder(spark, sf_dir)).select("size_bytes")
@@ -94,7 +90,17 @@ def document_read(spark, sf_dir) -> DataFrame:
 
 
 def chunk_store_scan(spark, sf_dir) -> DataFrame:
-    return frames.store(spark, sf_dir).select(*STORE_VIEW, F.round("norm", 5).alias("norm"))
+    path = work_path(spark, "store")
+    append_chunks(frames.store(spark, sf_dir), path)
+    scanned = read_store(spark, path, layout=LAYOUT)
+    return scanned.select(*STORE_VIEW, F.round("norm", 5).alias("norm"))
+
+
+def chunk_store_category(spark, sf_dir) -> DataFrame:
+    """The passages of one category, read from the written store with the filter pushed down."""
+    path = work_path(spark, "store")
+    append_chunks(frames.store(spark, sf_dir), path)
+    return read_store(spark, path, " src1 ", LAYOUT).select(*STORE_VIEW)
 
 
 def chunk_store_append(spark, sf_dir) -> DataFrame:
@@ -124,7 +130,8 @@ def incremental_ingest(spark, sf_dir) -> DataFrame:
         F.when(F.col("doc_id") % 4 != 3, F.col("source")).alias("category"),
         "text",
     )
-    start_ingest(arriving, path, work_path(spark, "stream"), frames.INGEST).awaitTermination()
+    point, rejects = work_path(spark, "stream"), work_path(spark, "rejects")
+    start_ingest(arriving, path, point, rejects, frames.INGEST).awaitTermination()
     return read_store(spark, path, layout=LAYOUT).select(*STORE_VIEW)
 
 
@@ -224,6 +231,18 @@ def embed_chunks(spark, sf_dir) -> DataFrame:
     )
 
 
+def embed_unavailable(spark, sf_dir) -> DataFrame:
+    """Passages refused because the model fails on texts of a length divisible by seven."""
+
+    def model(texts):
+        if any(len(text) % 7 == 0 for text in texts):
+            raise ConnectionError("no model")
+        return hashing_model(texts)
+
+    vectors = embed_with(frames.chunks(spark, sf_dir), model, width=WIDTH, batch_size=1)
+    return check_embeddings(vectors, WIDTH).select("doc_id", "chunk_index", "error_code")
+
+
 def embedding_audit(spark, sf_dir) -> DataFrame:
     """Defects per label, the vectors of three labels being cut short beforehand."""
     table = read_table(spark, sf_dir, "embeddings")
@@ -340,12 +359,12 @@ def topk_approx_every_cell(spark, sf_dir) -> DataFrame:
 
 def batch_retrieval(spark, sf_dir) -> DataFrame:
     return retrieve(
-        frames.store(spark, sf_dir), frames.requests(spark, sf_dir), SEARCH
+        frames.store(spark, sf_dir), frames.searches(spark, sf_dir), SEARCH
     ).hits
 
 
 def _gathered(spark, sf_dir) -> DataFrame:
-    found = retrieve(frames.store(spark, sf_dir), frames.requests(spark, sf_dir), SEARCH)
+    found = retrieve(frames.store(spark, sf_dir), frames.searches(spark, sf_dir), SEARCH)
     return with_hits(found.questions, found.hits)
 
 
@@ -392,6 +411,19 @@ def generate_answers(spark, sf_dir) -> DataFrame:
     )
 
 
+def generate_unavailable(spark, sf_dir) -> DataFrame:
+    """Answers of a model that fails on prompts of a length divisible by three."""
+
+    def model(instructions, prompts, max_output_tokens):
+        if any(len(prompt) % 3 == 0 for prompt in prompts):
+            raise ConnectionError("no model")
+        return list(prompt_model(instructions, prompts, max_output_tokens))
+
+    prompted = build_prompts(select_context(_gathered(spark, sf_dir), 2000))
+    generated = generate_with(prompted.where(has_evidence()), model, batch_size=1)
+    return normalize_answers(generated).select("query_id", "answer", "error_code")
+
+
 def no_hit_short_circuit(spark, sf_dir) -> DataFrame:
     gathered = _gathered(spark, sf_dir).withColumns(
         {"answer": F.lit("pending"), "answered": F.lit(None).cast("boolean")}
@@ -424,7 +456,7 @@ def grounding_report_query(spark, sf_dir) -> DataFrame:
 def grounded_answers(spark, sf_dir) -> DataFrame:
     """The flagship: the corpus becomes a store, every request an answer with its evidence."""
     answers = answer_questions(
-        frames.store(spark, sf_dir), frames.requests(spark, sf_dir), SEARCH
+        frames.store(spark, sf_dir), frames.searches(spark, sf_dir), SEARCH
     ).answers
     return answers.select(
         "query_id", "query", "answer", "answered",
@@ -442,10 +474,10 @@ def public_answer_rows(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "document_listing": document_listing,
     "document_sizes": document_sizes,
     "document_read": document_read,
     "chunk_store_scan": chunk_store_scan,
+    "chunk_store_category": chunk_store_category,
     "chunk_store_append": chunk_store_append,
     "replace_and_insert": replace_and_insert,
     "replace_and_insert_on_disk": replace_and_insert_on_disk,
@@ -460,6 +492,7 @@ QUERIES = {
     "chunk_budget_audit": chunk_budget_audit,
     "embed_hashed": embed_hashed_query,
     "embed_chunks": embed_chunks,
+    "embed_unavailable": embed_unavailable,
     "embedding_audit": embedding_audit,
     "pair_vectors": pair_vectors_query,
     "ingest_summary": ingest_summary_query,
@@ -478,6 +511,7 @@ QUERIES = {
     "prompt_assembly": prompt_assembly,
     "generate_extractive": generate_extractive_query,
     "generate_answers": generate_answers,
+    "generate_unavailable": generate_unavailable,
     "no_hit_short_circuit": no_hit_short_circuit,
     "answer_normalize": answer_normalize,
     "citations": citations,

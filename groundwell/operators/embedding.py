@@ -80,12 +80,16 @@ def embed_with(
 
     The key columns travel with the text, so pairing does not depend on order. A call that returns
     another number of vectors than it got texts, or vectors of another width, gives those rows a
-    null embedding and an `error_code` in place of vectors paired by guess.
+    null embedding and an `error_code` in place of vectors paired by guess. A call that raises costs
+    its own rows only: they get `embedding.unavailable`.
     """
     schema = T.StructType(list(texts.schema.fields)).add("embedding", VECTOR).add("error_code", "string")
 
     def call(batch: list) -> tuple[list, list]:
-        vectors = embedder(batch)
+        try:
+            vectors = embedder(batch)
+        except Exception:
+            return [None] * len(batch), ["embedding.unavailable"] * len(batch)
         if len(vectors) != len(batch):
             return [None] * len(batch), ["embedding.batch_count_mismatch"] * len(batch)
         fits = [v is not None and len(v) == width for v in vectors]

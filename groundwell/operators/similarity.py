@@ -83,13 +83,15 @@ def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray,
     return rows[usable], matrix[usable] / norms[usable, None]
 
 
-def _members(values) -> dict:
+def _members(values: pa.Array) -> dict:
     """Value -> positions, nulls left out."""
-    found = {}
-    for position, value in enumerate(values):
-        if value is not None:
-            found.setdefault(value, []).append(position)
-    return {value: np.array(positions) for value, positions in found.items()}
+    coded = values.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    present, starts = np.unique(codes[order], return_index=True)
+    known = coded.dictionary.to_pylist()
+    groups = zip(present.tolist(), np.split(order, starts[1:]))
+    return {known[code]: positions for code, positions in groups if code >= 0}
 
 
 class QuestionBlock:
@@ -101,8 +103,8 @@ class QuestionBlock:
         self.ids = table.column("query_id").combine_chunks()
         self.top_k = table.column("top_k").to_numpy()
         self.floor = table.column("min_similarity").to_numpy()
-        categories = table.column("category").to_pylist()
-        self.free = np.array([c is None for c in categories], dtype=bool)
+        categories = table.column("category").combine_chunks()
+        self.free = categories.is_null().to_numpy(zero_copy_only=False)
         self.by_category = _members(categories)
         self.by_cell = None
         if "cells" in table.column_names:
@@ -124,7 +126,7 @@ class QuestionBlock:
             for value, members in _members(cell).items():
                 asked = self.by_cell.get(value)
                 if asked is not None:
-                    part = None if category is None else category[members]
+                    part = None if category is None else category.take(pa.array(members))
                     self._meet(rows[members], keys[members], part, asked)
         else:
             self._meet(rows, keys, category, np.arange(len(self.ids)))
@@ -191,6 +193,15 @@ class QuestionBlock:
         )
 
 
+def question_blocks(table: pa.Table, keys: int) -> list[QuestionBlock]:
+    """One block per vector width, so that a question meets the rows of its own width whatever
+    other questions share its broadcast or tile."""
+    widths = table.column("vector").combine_chunks().value_lengths()
+    known = [width for width in pc.unique(widths).to_pylist() if width]
+    parts = [table.filter(pc.equal(widths, width)) for width in known]
+    return [QuestionBlock(part, keys) for part in parts or [table.slice(0, 0)]]
+
+
 def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
     if not len(block.ids):
         return
@@ -203,7 +214,7 @@ def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
     def values(name):
         if name not in named:
             return None
-        return np.array(batch.column(name).to_pylist(), dtype=object)[rows]
+        return batch.column(name).take(pa.array(rows))
 
     block.meet(matrix, key_columns, values("category"), values("cell"))
 
@@ -213,6 +224,9 @@ def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks)
     names = list(keys) + ["embedding"]
     if block.column("category").null_count < block.num_rows:
         names.append("category")
+    if not block.column("category").null_count:
+        named = pc.unique(block.column("category")).to_pylist()
+        store = store.where(F.col("category").isin(named))
     if "cells" in block.column_names:
         names.append("cell")
         probed = pc.unique(block.column("cells").combine_chunks().flatten()).to_pylist()
@@ -220,10 +234,12 @@ def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks)
     shared = store.sparkSession.sparkContext.broadcast(block)
 
     def search(batches):
-        questions = QuestionBlock(shared.value, len(keys))
+        blocks = question_blocks(shared.value, len(keys))
         for batch in batches:
-            _meet_batch(questions, batch, keys)
-        yield questions.results(keys)
+            for block in blocks:
+                _meet_batch(block, batch, keys)
+        for block in blocks:
+            yield block.results(keys)
 
     part = store.select(*names)
     return (part.coalesce(tasks) if tasks else part).mapInArrow(search, schema)
@@ -270,11 +286,12 @@ def _grid(store: DataFrame, questions: DataFrame, keys, schema: T.StructType) ->
     right = _dealt(questions, "query_id", "ask_tile", "row_tile")
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        block = QuestionBlock(asked, len(keys))
+        blocks = question_blocks(asked, len(keys))
         rows = rows.drop_columns([name for name in tile if name in rows.column_names])
         for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
-            _meet_batch(block, batch, keys)
-        return pa.Table.from_batches([block.results(keys)])
+            for block in blocks:
+                _meet_batch(block, batch, keys)
+        return pa.Table.from_batches([block.results(keys) for block in blocks])
 
     return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(search, schema)
 

@@ -58,10 +58,15 @@ class Ingested(NamedTuple):
 
 
 def check_corpus(corpus: DataFrame, settings: IngestSettings = IngestSettings()) -> DataFrame:
-    """FLT-1, FLT-3, FLT-4, PRJ-1 in request order, in one pass over the corpus."""
+    """FLT-1, FLT-3, FLT-4, PRJ-1 in request order, in one pass over the corpus.
+
+    The size is that of the file (`size_bytes`) where the corpus carries one, else of the text.
+    """
+    known = [F.col("size_bytes")] if "size_bytes" in corpus.columns else []
+    size = F.coalesce(*known, F.octet_length("text"))
     name = file_name_rules(F.col("file_name"), settings.allowed)
     content = [
-        ("document.too_large", F.octet_length("text") > settings.max_bytes),
+        ("document.too_large", size > settings.max_bytes),
         ("document.empty", is_blank(F.col("text"))),
     ]
     resolved = assign_category(corpus)
@@ -89,7 +94,8 @@ def prepare(corpus: DataFrame, settings: IngestSettings = IngestSettings()) -> P
     The embedded passages are written to the work folder once: the model runs once per passage,
     and the checks, the counts and the merge all read the files.
     """
-    corpus = spread(corpus.select("doc_id", "file_name", "category", "text"), "doc_id")
+    size = ["size_bytes"] if "size_bytes" in corpus.columns else []
+    corpus = spread(corpus.select("doc_id", "file_name", "category", "text", *size), "doc_id")
     documents, refused = split_admitted(check_corpus(corpus, settings))
     documents = documents.withColumn("character_count", F.length("text"))
     chunks = check_chunks(

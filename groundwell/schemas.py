@@ -14,6 +14,7 @@ MAX_CONTEXT_CHARS = 12000
 MAX_OUTPUT_TOKENS = 800
 EMBEDDING_WIDTH = 1536
 EMBED_BATCH_SIZE = 64
+GENERATE_BATCH_SIZE = 16
 SEARCH_BREADTH = 40
 ALLOWED_EXTENSIONS = (".txt", ".md")
 

@@ -120,7 +120,7 @@ def read_documents(
         documents = contents.join(
             broadcast_if_small(admitted.select("file_name", "category")), "file_name"
         )
-    documents = staged(with_text(documents, "category"), "documents")
+    documents = staged(with_text(documents, "category", "size_bytes"), "documents")
     unread = (
         admitted.select("file_name")
         .join(documents.select("file_name"), "file_name", "left_anti")

@@ -18,7 +18,7 @@ BINARY_FILE = T.StructType(
 
 
 def watch_folder(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (doc_id, file_name, category, text), one row per file new in the folder."""
+    """A stream of (doc_id, file_name, category, text, size_bytes), one row per file new in the folder."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -31,6 +31,7 @@ def watch_folder(spark: SparkSession, root: str, files_per_batch: int = 1000) ->
         name.alias("file_name"),
         F.lit(None).cast("string").alias("category"),
         as_text(F.col("content")).alias("text"),
+        F.col("length").alias("size_bytes"),
     )
 
 
@@ -54,8 +55,8 @@ def start_ingest(
     documents: DataFrame,
     store: str,
     checkpoint: str,
+    rejects: str,
     settings: IngestSettings = IngestSettings(),
-    rejects: str | None = None,
     once: bool = True,
 ):
     """Starts the stream; with `once` it stops when everything there has been ingested.
@@ -67,8 +68,7 @@ def start_ingest(
 
     def save(batch: DataFrame, number: int) -> None:
         done = ingest(batch, store, settings)
-        if rejects is not None:
-            done.rejects.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        done.rejects.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
     writer = documents.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

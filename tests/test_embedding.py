@@ -78,3 +78,14 @@ def test_audit_and_pairing(spark):
 def test_built_in_passes_its_width_check(spark):
     frame = spark.range(5).selectExpr("id", "concat('w', id) as chunk_text")
     assert check_embeddings(embed_hashed(frame, width=64), 64).where("error_code is not null").count() == 0
+
+
+def test_a_failing_model_costs_its_own_calls_only(spark):
+    def model(texts):
+        if "b" in texts:
+            raise ConnectionError("no model")
+        return [[1.0, 2.0] for _ in texts]
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, chunk_text string").coalesce(1)
+    rows = check_embeddings(embed_with(frame, model, width=2, batch_size=1), 2).collect()
+    assert {r["doc_id"]: r["error_code"] for r in rows} == {1: None, 2: "embedding.unavailable", 3: None}

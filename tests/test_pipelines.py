@@ -159,6 +159,16 @@ def test_folder_to_store(spark, tmp_path):
     assert done.summary.first()["category"] == "plan"
 
 
+def test_the_size_of_the_file_counts(spark, tmp_path):
+    """Bad bytes grow when they are decoded; the cap is on the bytes of the file."""
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "plan.md").write_bytes(b"word " + b"\xff " * 1000)
+    documents, rejects = read_documents(spark, str(root), max_bytes=3000)
+    done = ingest(documents, str(tmp_path / "store"), SETTINGS._replace(max_bytes=3000))
+    assert done.saved.inserted > 0 and rejects.count() == 0 and done.rejects.count() == 0
+
+
 def test_stream_of_files(spark, tmp_path):
     root, store, point = tmp_path / "docs", str(tmp_path / "store"), str(tmp_path / "point")
     rejects = str(tmp_path / "rejects")
@@ -167,7 +177,7 @@ def test_stream_of_files(spark, tmp_path):
     (root / "blank.md").write_text(" \n")
 
     def run():
-        start_ingest(watch_folder(spark, str(root)), store, point, SETTINGS, rejects).awaitTermination()
+        start_ingest(watch_folder(spark, str(root)), store, point, rejects, SETTINGS).awaitTermination()
         return read_store(spark, store, layout=LAYOUT)
 
     first = run().count()
@@ -182,7 +192,8 @@ def test_stream_of_tables_in_several_batches(spark, corpus, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
     corpus.repartition(3, "doc_id").write.parquet(source)
     stream = watch_table(spark, source, corpus.schema, files_per_batch=1)
-    start_ingest(stream, store, str(tmp_path / "point"), SETTINGS).awaitTermination()
+    point, rejects = str(tmp_path / "point"), str(tmp_path / "rejects")
+    start_ingest(stream, store, point, rejects, SETTINGS).awaitTermination()
     ingest(corpus, str(tmp_path / "once"), SETTINGS)
     texts = lambda p: sorted((r["category"], r["chunk_text"]) for r in read_store(spark, p, layout=LAYOUT).collect())
     assert texts(store) == texts(str(tmp_path / "once"))

@@ -198,3 +198,19 @@ def test_a_floor_keeps_few_pairs_waiting():
     same = np.tile([[1.0, 0.0]], (40_000, 1))
     block._score(same, np.arange(40_000)[:, None], np.arange(64))
     assert sum(len(p[0]) for p in block.pending) <= S.PENDING_PAIRS
+
+
+def test_questions_of_other_widths_do_not_matter(spark):
+    store = spark.createDataFrame([(1, None, [1.0, 0.0])], "record_id long, category string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "query_id int, vector array<float>")
+    for plan in ("scan", "grid"):
+        assert [r["query_id"] for r in S.top_k(store, asked, plan=plan).collect()] == [1], plan
+
+
+def test_named_categories_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.range(10).selectExpr("id AS record_id", "CAST(id % 5 AS STRING) AS category", "array(1f, 0f) AS embedding").write.parquet(path)
+    asked = spark.createDataFrame([(1, [1.0, 0.0], " 3 ")], "query_id int, vector array<float>, category string")
+    found = S.top_k(spark.read.parquet(path), asked)
+    assert [r["record_id"] for r in found.collect()] == [3, 8]
+    assert "EqualTo(category,3)" in found._jdf.queryExecution().toString().replace("In(category, [3])", "EqualTo(category,3)")
