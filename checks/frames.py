@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from groundwell.operators.chunking import chunk_documents
 from groundwell.plans.answer import SearchSettings
-from groundwell.plans.ingest import IngestSettings, prepare
+from groundwell.plans.ingest import IngestSettings, ingest, prepare
 from groundwell.session import work_path
 from groundwell.sources.documents import read_table, spread
-from groundwell.sources.store import Layout, last_requests
+from groundwell.sources.store import Layout, last_requests, read_store
 
 WIDTH = 64
 LAYOUT = Layout(category_slots=4, text_slots=2)
@@ -48,6 +48,14 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_requests(arriving(corpus(spark, sf_dir)))
 
 
+def saved_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store on disk after ingesting the corpus, and once more the same corpus."""
+    path = work_path(spark, "store")
+    for _ in range(2):
+        ingest(corpus(spark, sf_dir), path, INGEST)
+    return read_store(spark, path, layout=LAYOUT)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of ten kinds, by document."""
     doc = F.col("doc_id")

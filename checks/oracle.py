@@ -420,6 +420,12 @@ ORACLE = {
     )
     + " " + HIT_VIEW,
     "topk_approx_every_cell": with_(VECTOR_STORE, FILTERED, hits("s")) + " " + HIT_VIEW,
+    "topk_single": """WITH first AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1),
+        scored AS (SELECT e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[],
+            first.embedding::DOUBLE[]) AS score FROM embeddings e JOIN first USING (label))
+        SELECT vec_id AS record_id, label::VARCHAR AS category, '' AS chunk_text,
+          round(greatest(0, least(1, score)), 6) AS similarity
+        FROM scored WHERE score >= 0.01 ORDER BY round(score, 9) DESC, vec_id LIMIT 20""",
     "batch_retrieval": with_(SEARCH)
     + """ SELECT query_id, rank, h.record_id, s.category, s.chunk_text, similarity
         FROM hits h JOIN store s USING (record_id)""",
@@ -473,3 +479,9 @@ ORACLE = {
     "public_answers": with_(PLAIN_SEARCH, answered(12000))
     + " SELECT query_id, query, answer, answered FROM final",
 }
+# The same rows by other ways through the library.
+ORACLE |= {
+    "retrieval_on_disk": ORACLE["batch_retrieval"],
+    "retrieval_every_cell": ORACLE["batch_retrieval"],
+    "answers_on_disk": ORACLE["public_answers"],
+}

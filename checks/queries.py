@@ -47,7 +47,7 @@ from groundwell.operators.embedding import (
     pair_vectors,
 )
 from groundwell.operators.reports import grounding_report, search_usage
-from groundwell.operators.similarity import top_k
+from groundwell.operators.similarity import top_k, top_k_single
 from groundwell.plans.answer import answer_questions, retrieve
 from groundwell.plans.ingest import ingest, ingest_summary, prepare
 from groundwell.session import work_path
@@ -56,6 +56,7 @@ from groundwell.sources.store import (
     append_chunks,
     merged_store,
     read_cells,
+    read_population,
     read_store,
     replaced_rows,
     store_audit,
@@ -325,8 +326,18 @@ def topk_by_category(spark, sf_dir) -> DataFrame:
 
 
 def topk_grid(spark, sf_dir) -> DataFrame:
-    store = frames.vector_store(spark, sf_dir)
-    return top_k(store, _filtered_questions(spark, sf_dir), plan="grid").select(*HIT_VIEW)
+    """The same questions dealt into several passes, about a third of them in each."""
+    store, asked = frames.vector_store(spark, sf_dir), _filtered_questions(spark, sf_dir)
+    found = top_k(store, asked, pass_questions=max(1, asked.count() // 3))
+    return found.select(*HIT_VIEW)
+
+
+def topk_single_query(spark, sf_dir) -> DataFrame:
+    """One question, the first vector, against its own category."""
+    store = frames.vector_store(spark, sf_dir).withColumn("chunk_text", F.lit(None).cast("string"))
+    first = store.orderBy("record_id").first()
+    found = top_k_single(store, first["embedding"], 20, f" {first['category']} ", 0.01)
+    return found.select("record_id", "category", "chunk_text", "similarity")
 
 
 def topk_with_floor(spark, sf_dir) -> DataFrame:
@@ -341,8 +352,9 @@ def _approximate(spark, sf_dir, breadth) -> DataFrame:
     path = work_path(spark, "cells")
     celled = assign_cells(store, centroids)
     write_cells(celled, path)
-    stored = read_cells(spark, path, celled.schema)
-    return approx_top_k(stored, asked, centroids, breadth).select(*HIT_VIEW)
+    stored, population = read_cells(spark, path, celled.schema), read_population(spark, path)
+    found = approx_top_k(stored, asked, centroids, breadth, population=population)
+    return found.select(*HIT_VIEW)
 
 
 def topk_approx(spark, sf_dir) -> DataFrame:
@@ -363,6 +375,25 @@ def batch_retrieval(spark, sf_dir) -> DataFrame:
     ).hits
 
 
+def retrieval_on_disk(spark, sf_dir) -> DataFrame:
+    """The same hits from a store that was saved, saved again and read back."""
+    store = frames.saved_store(spark, sf_dir)
+    return retrieve(store, frames.searches(spark, sf_dir), SEARCH).hits
+
+
+def retrieval_every_cell(spark, sf_dir) -> DataFrame:
+    """The same hits from the cells of a saved store, every cell visited."""
+    store, path = frames.saved_store(spark, sf_dir), work_path(spark, "cells")
+    centroids = train_centroids(store, 8)
+    celled = assign_cells(store, centroids)
+    write_cells(celled, path)
+    settings = SEARCH._replace(
+        centroids=centroids, breadth=2**31 - 1, population=read_population(spark, path)
+    )
+    stored = read_cells(spark, path, celled.schema)
+    return retrieve(stored, frames.searches(spark, sf_dir), settings).hits
+
+
 def _gathered(spark, sf_dir) -> DataFrame:
     found = retrieve(frames.store(spark, sf_dir), frames.searches(spark, sf_dir), SEARCH)
     return with_hits(found.questions, found.hits)
@@ -465,6 +496,12 @@ def grounded_answers(spark, sf_dir) -> DataFrame:
     )
 
 
+def answers_on_disk(spark, sf_dir) -> DataFrame:
+    """All user turns and benchmark passages, answered from a saved store."""
+    store = frames.saved_store(spark, sf_dir)
+    return public_answers(answer_questions(store, frames.questions(spark, sf_dir), SEARCH).answers)
+
+
 def public_answer_rows(spark, sf_dir) -> DataFrame:
     """All user turns and benchmark passages, answered from the corpus, in the caller's form."""
     answers = answer_questions(
@@ -502,10 +539,13 @@ QUERIES = {
     "topk_exact": topk_exact,
     "topk_by_category": topk_by_category,
     "topk_grid": topk_grid,
+    "topk_single": topk_single_query,
     "topk_with_floor": topk_with_floor,
     "topk_approx": topk_approx,
     "topk_approx_every_cell": topk_approx_every_cell,
     "batch_retrieval": batch_retrieval,
+    "retrieval_on_disk": retrieval_on_disk,
+    "retrieval_every_cell": retrieval_every_cell,
     "context_budget": context_budget,
     "search_usage": search_usage_query,
     "prompt_assembly": prompt_assembly,
@@ -518,4 +558,5 @@ QUERIES = {
     "grounding_report": grounding_report_query,
     "grounded_answers": grounded_answers,
     "public_answers": public_answer_rows,
+    "answers_on_disk": answers_on_disk,
 }

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwell.functions.vectors import ROUND_RANK
-from groundwell.operators.similarity import top_k, unit_rows, with_defaults
+from groundwell.operators.similarity import PASS_QUESTIONS, top_k, unit_rows, with_defaults
 from groundwell.schemas import SEARCH_BREADTH
-from groundwell.session import broadcast_if_small
+from groundwell.session import broadcast_if_small, staged
 
 # Bound of the broadcast centroid matrix, and of one block of centroid scores inside a task.
 CENTROID_BYTES = 256 * 1024 * 1024
@@ -108,29 +108,36 @@ def assign_cells(store: DataFrame, centroids: DataFrame) -> DataFrame:
     return store.mapInArrow(assign, schema)
 
 
+def cell_population(store: DataFrame) -> DataFrame:
+    """(cell, category, n): the rows of each cell by category, kept beside the cells by write_cells."""
+    placed = store.where(F.col("cell").isNotNull())
+    return placed.groupBy("cell", "category").agg(F.count("*").alias("n"))
+
+
 def choose_cells(
-    questions: DataFrame, store: DataFrame, centroids: DataFrame, breadth: int = SEARCH_BREADTH
+    questions: DataFrame, population: DataFrame, centroids: DataFrame, breadth: int = SEARCH_BREADTH
 ) -> DataFrame:
-    """Adds `cells`, the cells each question visits.
+    """Adds `cells`, the cells each question visits; reads the population and not the store.
 
     The breadth of a filtered question counts only rows it may return: cell sizes are counted for
     the categories asked for as well.
     """
     asked = with_defaults(questions)
-    placed = store.where(F.col("cell").isNotNull())
-    overall = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    totals = population.groupBy("cell").agg(F.sum("n").alias("n"))
+    overall = {r["cell"]: r["n"] for r in totals.collect()}
     named = broadcast_if_small(asked.select("category").where("category IS NOT NULL").distinct())
     of_category = (
-        placed.join(named, "category", "left_semi")
-        .groupBy("category", "cell")
-        .agg(F.count("*").alias("n"))
+        population.join(named, "category", "left_semi")
         .groupBy("category")
         .agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("sizes"))
     )
-    asked = asked.join(of_category, "category", "left")
+    # Questions without a category stay out of the join, where they would all meet in one task.
+    free = asked.where("category IS NULL").withColumn("sizes", F.lit(None).cast("map<int,bigint>"))
+    filtered = asked.where("category IS NOT NULL").join(of_category, "category", "left")
+    asked = free.unionByName(filtered)
     numbers, matrix = _centroid_matrix(centroids)
     totals = np.array([overall.get(int(c), 0) for c in numbers])
-    shared = store.sparkSession.sparkContext.broadcast((numbers, matrix, totals))
+    shared = asked.sparkSession.sparkContext.broadcast((numbers, matrix, totals))
 
     def choose(batches):
         numbers, matrix, totals = shared.value
@@ -168,12 +175,17 @@ def approx_top_k(
     centroids: DataFrame,
     breadth: int = SEARCH_BREADTH,
     keys=("record_id",),
-    plan: str | None = None,
     tasks: int | None = None,
+    population: DataFrame | None = None,
+    pass_questions: int = PASS_QUESTIONS,
 ) -> DataFrame:
     """TOP-3: top-k over the visited cells of a store that has a `cell` column.
 
-    On a store written by sources.store.write_cells the visited cells are a partition filter.
+    On a store written by sources.store.write_cells the visited cells are a partition filter, and
+    `population` (read_population) spares the count of the store's rows by cell. Chosen cells are
+    staged: they are measured before they are sent out.
     """
-    chosen = choose_cells(questions, store, centroids, breadth)
-    return top_k(store, chosen, keys, plan, tasks)
+    if population is None:
+        population = staged(cell_population(store), "population")
+    chosen = staged(choose_cells(questions, population, centroids, breadth), "chosen")
+    return top_k(store, chosen, keys, tasks, pass_questions)

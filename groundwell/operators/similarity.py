@@ -3,17 +3,12 @@
 Store:     record_id, category, embedding (plus any payload).
 Questions: query_id, vector, and optionally top_k, category, min_similarity.
 
-Two plans give the same rows:
-
-* `scan` - the question vectors, checked to be under a size bound, are broadcast; every task reads
-  its part of the store once, scores it block by block and hands on at most k rows per question.
-  The store is not shuffled.
-* `grid` - for any number of questions. Store and questions are dealt into tiles of bounded size,
-  an equi-join on the tile numbers brings each pair of tiles together once, and the same scoring
-  runs per pair.
-
-Both merge the partial lists in two steps (per slice of a question's rows, then per question), so
-no task sees more than a slice of one question's candidates.
+The question set, whatever its size, is dealt by a hash of `query_id` into passes of bounded size.
+For each pass its questions are broadcast and every task reads its part of the store once, in place,
+scores it block by block and hands on at most k rows per question. The store is never shuffled.
+The partial lists are merged in two steps (per slice of a question's rows, then per question), so
+no task sees more than a slice of one question's candidates. A question is in one pass only, so
+the number of passes does not change the rows.
 """
 
 import numpy as np
@@ -33,13 +28,13 @@ from groundwell.functions.vectors import (
     similarity,
 )
 from groundwell.schemas import DEFAULT_MIN_SIMILARITY, DEFAULT_TOP_K
-from groundwell.session import broadcast_if_small
+from groundwell.session import broadcast_if_small, staged, work_path
 
-# Bounds of what one broadcast or one tile may hold.
-BROADCAST_QUESTIONS = 8192
-BROADCAST_BYTES = 128 * 1024 * 1024
-TILE_ROWS = 32768
-TILE_QUESTIONS = 4096
+# About what one pass over the store broadcasts at most.
+PASS_QUESTIONS = 32768
+PASS_BYTES = 64 * 1024 * 1024
+# Scan tasks for each core of the session, where the caller names no number.
+TASKS_PER_CORE = 4
 # Rows and questions scored by one matrix product inside a task.
 BLOCK_ROWS = 8192
 BLOCK_QUESTIONS = 512
@@ -195,7 +190,7 @@ class QuestionBlock:
 
 def question_blocks(table: pa.Table, keys: int) -> list[QuestionBlock]:
     """One block per vector width, so that a question meets the rows of its own width whatever
-    other questions share its broadcast or tile."""
+    other questions share its pass."""
     widths = table.column("vector").combine_chunks().value_lengths()
     known = [width for width in pc.unique(widths).to_pylist() if width]
     parts = [table.filter(pc.equal(widths, width)) for width in known]
@@ -219,8 +214,8 @@ def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
     block.meet(matrix, key_columns, values("category"), values("cell"))
 
 
-def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks) -> DataFrame:
-    """Partial top-k per task over one broadcast block of questions."""
+def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks):
+    """(partial top-k per task, the broadcast) of the questions of one pass."""
     names = list(keys) + ["embedding"]
     if block.column("category").null_count < block.num_rows:
         names.append("category")
@@ -241,59 +236,15 @@ def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks)
         for block in blocks:
             yield block.results(keys)
 
-    part = store.select(*names)
-    return (part.coalesce(tasks) if tasks else part).mapInArrow(search, schema)
-
-
-def _tiles(rows, per_tile: int):
-    """Tiles needed for a number of rows (a column or a plain number)."""
-    return F.greatest(F.ceil(rows / F.lit(per_tile)), F.lit(1)).cast("int")
-
-
-def _tile_counts(store: DataFrame, questions: DataFrame) -> DataFrame:
-    """Tiles per cell and side; one row per cell, and the cells are bounded with the centroids."""
-    rows = store.groupBy("cell").agg(_tiles(F.count("*"), TILE_ROWS).alias("row_tiles"))
-    asks = questions.groupBy("cell").agg(_tiles(F.count("*"), TILE_QUESTIONS).alias("ask_tiles"))
-    return rows.join(asks, "cell")
-
+    tasks = tasks or TASKS_PER_CORE * store.sparkSession.sparkContext.defaultParallelism
+    return store.select(*names).coalesce(tasks).mapInArrow(search, schema), shared
 
-def _dealt(sized: DataFrame, key: str, own: str, other: str) -> DataFrame:
-    """Puts each row into one of its own tiles, once for every tile of the other side."""
-    return (
-        sized.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int") + 1)
-        .withColumn(other, F.explode(F.sequence(F.lit(1), F.col(f"{other}s"))))
-        .drop(f"{own}s", f"{other}s")
-    )
-
-
-def _grid(store: DataFrame, questions: DataFrame, keys, schema: T.StructType) -> DataFrame:
-    """Partial top-k per pair of tiles; with cells, tiles pair up only within a cell."""
-    tile = ["row_tile", "ask_tile"]
-    if "cells" in questions.columns:
-        tile = ["cell", *tile]
-        store = store.select(*keys, "embedding", "category", "cell")
-        questions = questions.withColumn("cell", F.explode("cells")).drop("cells")
-        sizes = F.broadcast(_tile_counts(store, questions))
-        store, questions = store.join(sizes, "cell"), questions.join(sizes, "cell")
-    else:
-        counts = {
-            "row_tiles": _tiles(F.lit(store.count()), TILE_ROWS),
-            "ask_tiles": _tiles(F.lit(questions.count()), TILE_QUESTIONS),
-        }
-        store = store.select(*keys, "embedding", "category").withColumns(counts)
-        questions = questions.withColumns(counts)
-    left = _dealt(store, keys[0], "row_tile", "ask_tile")
-    right = _dealt(questions, "query_id", "ask_tile", "row_tile")
-
-    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        blocks = question_blocks(asked, len(keys))
-        rows = rows.drop_columns([name for name in tile if name in rows.column_names])
-        for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
-            for block in blocks:
-                _meet_batch(block, batch, keys)
-        return pa.Table.from_batches([block.results(keys) for block in blocks])
 
-    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(search, schema)
+def _row_bytes(asked: DataFrame) -> Column:
+    """About what a question takes in a broadcast."""
+    held = [F.size(name) for name in ("vector", "cells") if name in asked.columns]
+    sizes = [F.coalesce(size, F.lit(0)).cast("long") * 8 for size in held]
+    return sum(sizes, F.lit(64) + F.coalesce(F.octet_length("category"), F.lit(0)))
 
 
 def merge_candidates(candidates: DataFrame, keys, most: int) -> DataFrame:
@@ -324,31 +275,42 @@ def top_k(
     store: DataFrame,
     questions: DataFrame,
     keys=("record_id",),
-    plan: str | None = None,
     tasks: int | None = None,
+    pass_questions: int = PASS_QUESTIONS,
 ) -> DataFrame:
     """JN-1, TOP-1, TOP-2, FLT-5, FLT-6: (query_id, rank, *keys, similarity).
 
     A question with a category meets only rows of that category. Questions with a `cells` array
     meet only store rows of those cells (operators/cells.py).
     `keys`: integer columns naming a store row; the first breaks ties.
-    `plan`: "scan" or "grid"; by default chosen by the measured size of the question set.
-    `tasks`: number of scan tasks, a few per core. A task hands on its lists once, so fewer and
-    longer tasks than one per file split mean less to merge.
+    `tasks`: number of scan tasks at most, a few per core by default. A task hands on its lists
+    once, so fewer and longer tasks than one per file split mean less to merge.
+    `pass_questions`: about how many questions one scan of the store takes. The questions are
+    measured first; where they need several passes, these run one after another, each writes its
+    lists to the work folder and gives its broadcast back.
     """
     asked = with_defaults(questions)
     fields = [("query_id", questions.schema["query_id"].dataType), ("top_k", T.IntegerType())]
     fields += [(key, T.LongType()) for key in keys] + [("score", T.DoubleType())]
     schema = T.StructType([T.StructField(*field) for field in fields])
-    if plan != "grid":
-        block = asked.limit(BROADCAST_QUESTIONS + 1).toArrow()
-        if block.num_rows <= BROADCAST_QUESTIONS and block.nbytes <= BROADCAST_BYTES:
-            most = pc.max(block.column("top_k")).as_py() or DEFAULT_TOP_K
-            return merge_candidates(_scan(store, block, keys, schema, tasks), keys, most)
-        if plan == "scan":
-            raise ValueError("the question set is over the broadcast bound; use the grid plan")
-    most = asked.agg(F.max("top_k")).first()[0] or DEFAULT_TOP_K
-    return merge_candidates(_grid(store, asked, keys, schema), keys, most)
+    n, held, most = asked.agg(
+        F.count("*"), F.coalesce(F.sum(_row_bytes(asked)), F.lit(0)), F.max("top_k")
+    ).first()
+    most = most or DEFAULT_TOP_K
+    passes = max(1, -(-n // pass_questions), -(-held // PASS_BYTES))
+    if passes == 1:
+        part, _ = _scan(store, asked.toArrow(), keys, schema, tasks)
+        return merge_candidates(part, keys, most)
+    dealt = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    dealt = staged(dealt, "asked")
+    path = work_path(store.sparkSession, "passes")
+    for number in range(passes):
+        block = dealt.where(F.col("pass") == number).drop("pass").toArrow()
+        part, shared = _scan(store, block, keys, schema, tasks)
+        found = merge_candidates(part, keys, most)
+        found.write.parquet(f"{path}/pass={number}")
+        shared.destroy()
+    return store.sparkSession.read.schema(found.schema).parquet(path).select(*found.columns)
 
 
 def top_k_single(
@@ -389,9 +351,14 @@ def hit_text() -> dict[str, Column]:
 def attach_passages(hits: DataFrame, store: DataFrame, keys=("record_id",)) -> DataFrame:
     """Late lookup of category and text for the few rows that won.
 
-    Counts the hits: where they fit one broadcast the store is scanned and not shuffled. Pass
-    staged hits, or the search runs once more for the count.
+    With `bucket` among the keys only the buckets that hold hits are read. Counts the hits: where
+    they fit one broadcast the store is scanned and not shuffled. Pass staged hits, or the search
+    runs once more for the count.
     """
+    if "bucket" in keys:
+        # at most one row per bucket of the layout
+        buckets = [row["bucket"] for row in hits.select("bucket").distinct().collect()]
+        store = store.where(F.col("bucket").isin(buckets))
     passages = store.select(*keys, *(c.alias(n) for n, c in hit_text().items()))
     return passages.join(broadcast_if_small(hits), list(keys)).select(
         "query_id", "rank", "record_id", "category", "chunk_text", "similarity"

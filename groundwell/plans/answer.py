@@ -46,6 +46,7 @@ class SearchSettings(NamedTuple):
     batch_size: int = EMBED_BATCH_SIZE
     centroids: DataFrame | None = None
     breadth: int = SEARCH_BREADTH
+    population: DataFrame | None = None
     scan_tasks: int | None = None
     max_context_chars: int = MAX_CONTEXT_CHARS
     generator: Callable | None = None
@@ -81,21 +82,30 @@ def retrieve(
     """PIP-2: admits (query_id, query, top_k, category, min_similarity) rows and finds their hits.
 
     Question vectors and ranked hits are staged: the model runs once per question, the search once.
+    Hits carry their bucket, so the texts are looked up in the buckets of the hits only.
+    With centroids, `settings.population` spares the count of the store's cells.
     """
+    keys = HIT_KEYS + (("bucket",) if "bucket" in store.columns else ())
     accepted, refused = split_admitted(check_requests(requests))
     embedded = staged(embed_questions(accepted, settings), "questions")
     asked, unusable = split_admitted(embedded)
     if settings.centroids is None:
-        hits = top_k(store, asked, HIT_KEYS, tasks=settings.scan_tasks)
+        hits = top_k(store, asked, keys, settings.scan_tasks)
     else:
         hits = approx_top_k(
-            store, asked, settings.centroids, settings.breadth, HIT_KEYS, tasks=settings.scan_tasks
+            store,
+            asked,
+            settings.centroids,
+            settings.breadth,
+            keys,
+            settings.scan_tasks,
+            settings.population,
         )
     hits = staged(hits, "hits")
     rejects = refused.select("query_id", "error_code").unionByName(
         unusable.select("query_id", "error_code")
     )
-    return Retrieved(asked.drop("vector"), attach_passages(hits, store, HIT_KEYS), rejects)
+    return Retrieved(asked.drop("vector"), attach_passages(hits, store, keys), rejects)
 
 
 def answer_questions(

@@ -24,6 +24,7 @@ from groundwell.sources.documents import spread
 from groundwell.sources.store import (
     Layout,
     SaveResult,
+    bucket_sizes,
     read_store,
     replace_and_insert,
     save_counts,
@@ -145,11 +146,14 @@ def ingest(
 ) -> Ingested:
     """Runs a corpus (doc_id, file_name, category, text) into the store at `path`.
 
-    The summary is staged before the write, since the files it is counted from may be replaced.
+    Only the buckets of the batch are read from the store. The summary is staged before the write,
+    since the files it is counted from may be replaced.
     """
     spark = corpus.sparkSession
     prepared = prepare(corpus, settings)
+    sizes = bucket_sizes(prepared.chunks)
     store = read_store(spark, path, layout=settings.layout)
+    store = store.where(F.col("bucket").isin(list(sizes)))
     summary = staged(ingest_summary(prepared.documents, store, prepared.chunks), "summary")
-    saved = replace_and_insert(spark, path, prepared.chunks, settings.layout)
+    saved = replace_and_insert(spark, path, prepared.chunks, settings.layout, sizes)
     return Ingested(saved, summary, prepared.rejects)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import l2_norm
+from groundwell.operators.cells import cell_population
 from groundwell.schemas import STORE
 from groundwell.session import broadcast_if_small
 
@@ -145,13 +146,15 @@ def save_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A document replaces the copies of the document before it that brought the same passage in
     the same category, or else the stored copies. The document before is found in two steps,
-    within a slice of the id range and then between slices, so a passage shared by a third of
-    all documents is never sorted in one task. Only keys and counts are shuffled.
+    within a slice of the documents and then between slices, so a passage shared by a third of
+    all documents is never sorted in one task. The slices are quantiles of the ids, so that one
+    outlying id leaves them even. Only keys and counts are shuffled.
     """
     brought = incoming.groupBy(*MATCH, "doc_id").agg(F.count("*").alias("n"))
-    low, high = incoming.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if low is None else (high - low) // REQUEST_SLICES + 1
-    part = F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("int")
+    shares = [i / REQUEST_SLICES for i in range(1, REQUEST_SLICES)]
+    ends = incoming.agg(F.percentile_approx("doc_id", shares)).first()[0] or []
+    bounds = F.array(*(F.lit(end) for end in sorted(set(ends)))).cast("array<bigint>")
+    part = F.size(F.filter(bounds, lambda end: end < F.col("doc_id")))
     brought = brought.withColumn("part", part)
     in_part = Window.partitionBy(*MATCH, "part").orderBy("doc_id")
     stored = replaced_rows(store, incoming).groupBy(*MATCH).agg(F.count("*").alias("n"))
@@ -173,17 +176,26 @@ def save_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def bucket_sizes(incoming: DataFrame) -> dict[int, int]:
+    """Rows per bucket of a batch, at most one entry per bucket of the layout."""
+    return {r["bucket"]: r["count"] for r in incoming.groupBy("bucket").count().collect()}
+
+
 def replace_and_insert(
-    spark: SparkSession, path: str, incoming: DataFrame, layout: Layout = Layout()
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    layout: Layout = Layout(),
+    sizes: dict[int, int] | None = None,
 ) -> SaveResult:
     """SNK-2 on disk. `incoming` holds store rows and is read several times: pass a staged table.
 
     Buckets where something is replaced are rewritten whole; everything else is appended, so a
     batch of new documents rewrites nothing. What is collected is one count per bucket. One writer
     at a time. Running the same batch again gives the same store, which is also how an interrupted
-    run is completed.
+    run is completed. `sizes` are the bucket_sizes of the batch, where they are known.
     """
-    sizes = {r["bucket"]: r["count"] for r in incoming.groupBy("bucket").count().collect()}
+    sizes = bucket_sizes(incoming) if sizes is None else sizes
     if not sizes:
         return SaveResult(0, 0)
     arriving = last_requests(incoming)
@@ -222,9 +234,17 @@ def write_cells(rows: DataFrame, path: str) -> None:
     """Writes rows that have a `cell` column as an inverted-file layout, one directory per cell.
 
     Large cells become several files. Rows without a cell (no usable vector) are written too, in
-    Spark's default directory, and never visited by a search.
+    Spark's default directory, and never visited by a search. The rows of each cell by category
+    are counted from what was written, into a table beside it.
     """
     rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    written = read_cells(rows.sparkSession, path, rows.schema)
+    cell_population(written).write.mode("overwrite").parquet(f"{path.rstrip('/')}-population")
+
+
+def read_population(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, category, n) of the cells written to `path`."""
+    return spark.read.parquet(f"{path.rstrip('/')}-population")
 
 
 def read_cells(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -2,10 +2,15 @@ import numpy as np
 import pytest
 
 from groundwell.operators import cells as C
-from groundwell.operators import similarity as S
-from groundwell.operators.cells import approx_top_k, assign_cells, choose_cells, train_centroids
+from groundwell.operators.cells import (
+    approx_top_k,
+    assign_cells,
+    cell_population,
+    choose_cells,
+    train_centroids,
+)
 from groundwell.operators.similarity import top_k
-from groundwell.sources.store import read_cells, write_cells
+from groundwell.sources.store import read_cells, read_population, write_cells
 from tests.conftest import SMALL, plan_of
 
 
@@ -27,13 +32,13 @@ def rows(frame):
 
 
 @pytest.mark.parametrize("method", ["sample", "kmeans"])
-@pytest.mark.parametrize("plan", ["scan", "grid"])
-def test_every_cell_is_exact(spark, frames, method, plan, monkeypatch):
-    monkeypatch.setattr(S, "TILE_ROWS", 40)
+@pytest.mark.parametrize("most", [30, 1000])
+def test_every_cell_is_exact(spark, frames, method, most):
     store, asked = frames
     centroids = train_centroids(store, 12, method)
     celled = assign_cells(store, centroids).cache()
-    assert rows(approx_top_k(celled, asked, centroids, 10**9, plan=plan)) == rows(top_k(store, asked))
+    found = approx_top_k(celled, asked, centroids, 10**9, pass_questions=most)
+    assert rows(found) == rows(top_k(store, asked))
 
 
 def test_recall_grows_and_lists_are_full(spark, frames):
@@ -81,21 +86,31 @@ def test_unusable_vectors_get_no_cell(spark):
     assert celled[2] is None and celled[3] is None and {celled[1], celled[4]} == {0, 1}
 
 
-def test_hot_cell_is_split_in_the_grid(spark, monkeypatch):
+def test_hot_cell_in_several_passes(spark):
     """Two thirds of the rows in one cell, and every question visits it."""
-    monkeypatch.setattr(S, "TILE_ROWS", 20)
-    monkeypatch.setattr(S, "TILE_QUESTIONS", 10)
     rng = np.random.default_rng(1)
     data = [(i, "a", ([1.0, 0.0] if i % 3 else rng.normal(size=2).tolist())) for i in range(300)]
     store = spark.createDataFrame(data, "record_id long, category string, embedding array<float>")
     asked = store.limit(60).selectExpr("record_id as query_id", "embedding as vector", "7 as top_k")
     centroids = train_centroids(store, 4)
     celled = assign_cells(store, centroids).cache()
-    assert rows(approx_top_k(celled, asked, centroids, 50, plan="grid")) == rows(
-        approx_top_k(celled, asked, centroids, 50, plan="scan")
+    assert rows(approx_top_k(celled, asked, centroids, 50, pass_questions=10)) == rows(
+        approx_top_k(celled, asked, centroids, 50)
     )
 
 
+def test_the_written_population_spares_the_count(spark, frames, tmp_path, monkeypatch):
+    store, asked = frames
+    centroids = train_centroids(store, 12)
+    celled, path = assign_cells(store, centroids), str(tmp_path / "cells")
+    write_cells(celled, path)
+    stored = read_cells(spark, path, celled.schema)
+    counted = rows(approx_top_k(stored, asked, centroids, 30))
+    monkeypatch.setattr(C, "cell_population", None)
+    known = read_population(spark, path)
+    assert rows(approx_top_k(stored, asked, centroids, 30, population=known)) == counted
+
+
 def test_centroids_over_the_bound_are_refused(spark, frames, monkeypatch):
     monkeypatch.setattr(C, "CENTROID_BYTES", 100)
     with pytest.raises(ValueError):
@@ -107,7 +122,7 @@ def test_breadth_counts_the_category_only(spark, frames):
     centroids = train_centroids(store, 12)
     celled = assign_cells(store, centroids).cache()
     sizes = {(r["category"], r["cell"]): r["count"] for r in celled.groupBy("category", "cell").count().collect()}
-    for r in choose_cells(asked, celled, centroids, 30).where("category is not null").collect():
+    for r in choose_cells(asked, cell_population(celled), centroids, 30).where("category is not null").collect():
         own = sum(sizes.get((r["category"], c), 0) for c in r["cells"])
         total = sum(n for (cat, _), n in sizes.items() if cat == r["category"])
         assert own >= min(max(30, r["top_k"]), total)

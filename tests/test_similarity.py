@@ -25,8 +25,8 @@ def ranked(frame):
     return [tuple(r) for r in frame.orderBy("query_id", "rank").collect()]
 
 
-@pytest.mark.parametrize("plan", ["scan", "grid"])
-def test_hand_made(spark, plan):
+@pytest.mark.parametrize("most", [2, 1000])
+def test_hand_made(spark, most):
     store = spark.createDataFrame(HAND, STORE)
     asked = spark.createDataFrame(
         [
@@ -40,7 +40,7 @@ def test_hand_made(spark, plan):
         QUESTIONS,
     )
     root = round(0.5**0.5, 6)
-    assert ranked(top_k(store, asked, plan=plan)) == [
+    assert ranked(top_k(store, asked, pass_questions=most)) == [
         (1, 1, 1, 1.0), (1, 2, 7, 1.0), (1, 3, 5, root), (1, 4, 2, 0.0), (1, 5, 3, 0.0),
         (2, 1, 7, 1.0), (2, 2, 3, 0.0),
         (3, 1, 1, 1.0), (3, 2, 7, 1.0), (3, 3, 5, root),
@@ -90,35 +90,50 @@ def skewed():
     return rows, asked
 
 
-@pytest.mark.parametrize("plan", ["scan", "grid"])
-def test_skewed_store_against_brute_force(spark, skewed, plan, monkeypatch):
-    monkeypatch.setattr(S, "TILE_ROWS", 100)
-    monkeypatch.setattr(S, "TILE_QUESTIONS", 30)
+@pytest.mark.parametrize("most", [30, 1000])
+def test_skewed_store_against_brute_force(spark, skewed, most, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 64)
     monkeypatch.setattr(S, "BLOCK_QUESTIONS", 16)
     rows, asked = skewed
     store = spark.createDataFrame(rows, STORE).repartition(5)
-    got = ranked(top_k(store, spark.createDataFrame(asked, QUESTIONS), plan=plan))
+    got = ranked(top_k(store, spark.createDataFrame(asked, QUESTIONS), pass_questions=most))
     assert got == brute_force(rows, asked)
 
 
-def test_question_sets_over_the_bound_take_the_grid(spark, skewed, monkeypatch):
+def test_question_sets_over_the_byte_bound_take_several_passes(spark, skewed, monkeypatch):
     rows, asked = skewed
     store, questions = spark.createDataFrame(rows, STORE), spark.createDataFrame(asked, QUESTIONS)
     small = ranked(top_k(store, questions))
-    monkeypatch.setattr(S, "BROADCAST_QUESTIONS", 50)
-    assert "FlatMapCoGroupsInArrow" in plan_of(top_k(store, questions))
+    sizes, scan = [], S._scan
+    monkeypatch.setattr(S, "PASS_BYTES", 4000)
+    monkeypatch.setattr(S, "_scan", lambda *a: sizes.append(a[1].num_rows) or scan(*a))
     assert ranked(top_k(store, questions)) == small
-    with pytest.raises(ValueError):
-        top_k(store, questions, plan="scan")
+    assert len(sizes) >= 4 and sum(sizes) == len(asked) and max(sizes) < len(asked) / 2
 
 
 def test_plan_prunes_before_each_shuffle(spark, skewed):
     rows, asked = skewed
     store, questions = spark.createDataFrame(rows, STORE), spark.createDataFrame(asked, QUESTIONS)
-    plan = plan_of(top_k(store, questions, plan="scan"))
+    plan = plan_of(top_k(store, questions))
     assert plan.count("WindowGroupLimit") >= 2
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+    # the store itself is not shuffled: only lists found in the scan are
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below
+
+
+def test_texts_are_read_from_the_buckets_of_the_hits(spark, tmp_path):
+    path = str(tmp_path / "store")
+    data = [(i, "a", f"t{i}", [1.0, float(i)], i % 4) for i in range(40)]
+    frame = spark.createDataFrame(data, STORE + ", bucket int")
+    frame.write.partitionBy("bucket").parquet(path)
+    store = spark.read.parquet(path)
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 1, None, None)], QUESTIONS)
+    hits = top_k(store, asked, ("record_id", "bucket"))
+    found = attach_passages(hits, store, ("record_id", "bucket"))
+    assert [(r["record_id"], r["chunk_text"]) for r in found.collect()] == [(0, "t0")]
+    parts = plan_of(found).split("PartitionFilters: [")[1:]
+    assert any(part.split("]")[0].strip() for part in parts)
 
 
 def test_store_scan_reads_no_text(spark, tmp_path):
@@ -144,9 +159,8 @@ def test_empty_sides(spark):
     store = spark.createDataFrame(HAND, STORE)
     none = spark.createDataFrame([], QUESTIONS)
     asked = spark.createDataFrame([(1, [1.0, 0.0], 5, None, None)], QUESTIONS)
-    for plan in ("scan", "grid"):
-        assert top_k(store, none, plan=plan).count() == 0
-        assert top_k(store.limit(0), asked, plan=plan).count() == 0
+    assert top_k(store, none).count() == 0
+    assert top_k(store.limit(0), asked).count() == 0
 
 
 def test_string_question_ids(spark):
@@ -203,8 +217,8 @@ def test_a_floor_keeps_few_pairs_waiting():
 def test_questions_of_other_widths_do_not_matter(spark):
     store = spark.createDataFrame([(1, None, [1.0, 0.0])], "record_id long, category string, embedding array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "query_id int, vector array<float>")
-    for plan in ("scan", "grid"):
-        assert [r["query_id"] for r in S.top_k(store, asked, plan=plan).collect()] == [1], plan
+    for most in (1, 2):
+        assert [r["query_id"] for r in S.top_k(store, asked, pass_questions=most).collect()] == [1], most
 
 
 def test_named_categories_reach_the_scan(spark, tmp_path):

@@ -163,3 +163,11 @@ def test_audit(spark):
     got = {(r["scope"], r["category"]): r[2:] for r in store_audit(holed).collect()}
     assert got == {("category", "a"): (2, 1), ("category", "b"): (1, 1), ("store", None): (3, 2)}
     assert store_audit(rows.limit(0)).collect()[0][2:] == (0, 0)
+
+
+def test_one_outlying_id_leaves_the_slices_even(spark, tmp_path):
+    """Every document brings the same passage, one of them under a far larger id."""
+    docs = [*range(1, 100), 2**59]
+    incoming = rows_of(spark, [(doc, "a", ["same"]) for doc in docs])
+    counts = save_counts(rows_of(spark, []), incoming).collect()
+    assert {r["doc_id"]: r["chunks_replaced"] for r in counts} == {d: int(d != 1) for d in docs}
