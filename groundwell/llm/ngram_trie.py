@@ -2,8 +2,8 @@
 
 The trie is cut into shards. A shard of level k holds the k-grams of some contexts: the contexts' ids, pointers to
 their successors, and the successors' word ids shifted by the context's number times the
-vocabulary, so that each sequence is monotone and kept in Elias-Fano form, with an 8-bit code of
-the smoothed probability for each k-gram. A k-gram is looked up by its context and then by successor search within
+vocabulary, so that each sequence is monotone and kept in Elias-Fano form, with a 16-bit code of
+the smoothed probability for each k-gram: steps of STEP (log10) down to any probability that counts give. A k-gram is looked up by its context and then by successor search within
 the context's range. Its place in the shard, shifted by the sizes of earlier shards, is its
 id as a context of the next level.
 
@@ -14,7 +14,7 @@ answers are shuffled to the segments. A context with more than HOT_COUNT tokens
 several shards by the following word.
 
 Probabilities are hierarchical Dirichlet: P(w | context) = (c(context w) + m P(w | shorter context)) / (c(context) + m);
-words by absolute discounting, whose mass goes to one unknown word. Contexts of two words are used from
+words by absolute discounting, uncoded as their counts are sent, whose mass goes to one unknown word. Contexts of two words are used from
 MIN_CONTEXT occurrences on; counts are never cut. A word is a 64-bit hash.
 
 Defined results: null text is empty and has the end token alone; documents without an id train; with nothing to
@@ -43,7 +43,7 @@ WEIGHTS = {2: 60.0, 3: 4.0}
 FOLDS, HELD = 7, 2
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STEP = 0.03
-UNSEEN = 255
+UNSEEN = 0
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SEGMENTS = "segment long, doc_ids array<long>, held array<boolean>, doc_tokens array<int>, words binary, tokens binary, counts binary"
@@ -93,12 +93,27 @@ class Words:
         if not self.n:
             return np.ones(len(counts))
         unknown = self.discount * self.types / self.n
-        return np.where(counts > 0, 10.0 ** (-STEP * quantised((counts - self.discount) / self.n)), unknown)
+        return np.where(counts > 0, (counts - self.discount) / self.n, unknown)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """-log10 of probabilities in steps, as 0 .. UNSEEN - 1."""
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP), 0, UNSEEN - 1)
+    """-log10 of probabilities in steps, from UNSEEN + 1 for probability one; 1e-300 is code 10001."""
+    return (np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP) + (UNSEEN + 1)).astype(np.uint16)
+
+
+def probability(codes: np.ndarray) -> np.ndarray:
+    """The probabilities of codes, 0 for UNSEEN."""
+    return np.where(codes != UNSEEN, 10.0 ** (-STEP * (codes.astype(float) - (UNSEEN + 1))), 0.0)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """All low bytes, then all high bytes, which are mostly zero and compress away."""
+    return codes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack_codes(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(raw, np.uint8).reshape(2, -1).astype(np.uint16)
+    return low | high << np.uint16(8)
 
 
 class Resolved:
@@ -133,7 +148,7 @@ class Resolved:
             m = weights[level]
             own = self.asked[self.order]
             number = self.number
-            seen = np.where(code != UNSEEN, 10.0 ** (-STEP * code.astype(float)), 0.0)
+            seen = probability(code)
             self.p[own] = seen[number] + m / (self.context_count[own] + m) * self.p[own]
             ids = np.full(len(self.tokens), -1, np.int64)
             counts = np.zeros(len(self.tokens), np.int64)
@@ -186,9 +201,9 @@ class Resolved:
     @staticmethod
     def contexts_of(parts: list, shifts: np.ndarray):
         """(codes, ids, counts) of the keys; id -1 and count 0 for what is no context of the next level."""
-        codes, ids, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        codes, ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for shard, raw, gaps, own in sorted(parts):
-            code = np.frombuffer(own, np.uint8)
+            code = unpack_codes(own)
             number, count = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
             if raw:
                 kept, places = np.split(unpack_varints(gaps).astype(np.int64), 2)
@@ -286,7 +301,7 @@ class TrieShard:
         self.words = int(sizes[4])
         ends = 40 + np.cumsum(sizes[:4])
         self.contexts, self.pointers, self.successors = (EliasFano(raw[ends[k] - sizes[k] : ends[k]]) for k in range(3))
-        self.codes = np.frombuffer(raw[ends[2] : ends[3]], np.uint8)
+        self.codes = np.frombuffer(raw[ends[2] : ends[3]], "<u2")
 
     @staticmethod
     def build(context, word, p, words: int) -> bytes:
@@ -297,7 +312,7 @@ class TrieShard:
             EliasFano.encode(names, int(names[-1]) + 1 if len(names) else 1),
             EliasFano.encode(np.append(first, len(context)), len(context) + 1),
             EliasFano.encode(number * words + word, max(1, len(names)) * words),
-            quantised(p).astype(np.uint8).tobytes(),
+            quantised(p).astype("<u2").tobytes(),
         ]
         return np.array([*map(len, parts), words], "<i8").tobytes() + b"".join(parts)
 
@@ -341,7 +356,7 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
     for r, (context, sizes, word, _, _) in zip(rows, asked):
         place = trie.find(context, sizes, word)
         hit = np.flatnonzero(place >= 0)
-        codes = np.full(len(place), UNSEEN, np.uint8)
+        codes = np.full(len(place), UNSEEN, np.uint16)
         codes[hit] = trie.codes[place[hit]]
         counts = gaps = b""
         if not last:
@@ -349,7 +364,7 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
             hit = hit[total[place[hit]] >= MIN_CONTEXT]
             counts = pack_varints(total[place[hit]])
             gaps = pack_varints(np.concatenate((np.diff(hit, prepend=0), np.diff(place[hit], prepend=0))))
-        answers.append((r["segment"], counts, gaps, codes.tobytes()))
+        answers.append((r["segment"], counts, gaps, pack_codes(codes)))
     return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw if keep else None)
 
 
