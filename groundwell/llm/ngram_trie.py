@@ -150,6 +150,9 @@ class Resolved:
             number = self.number
             seen = probability(code)
             self.p[own] = seen[number] + m / (self.context_count[own] + m) * self.p[own]
+            # an unknown word has no key, its context is known all the same
+            off = np.flatnonzero((self.context >= 0) & (self.word_id < 0))
+            self.p[off] *= m / (self.context_count[off] + m)
             ids = np.full(len(self.tokens), -1, np.int64)
             counts = np.zeros(len(self.tokens), np.int64)
             ids[own], counts[own] = key_ids[number], key_counts[number]

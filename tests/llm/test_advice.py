@@ -1,10 +1,58 @@
 """Cases that earlier versions of the dealt operators cut."""
 
+import collections
+import math
+import zlib
+
 import numpy as np
 
 from groundwell.llm import ngram_trie
 
 
+def scores_by_formula(texts, weights):
+    """doc_id to (log10 score, tokens), by the docstring of ngram_trie: every context seen in training counts,
+    and a word without a count backs off like any other."""
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
+    grams = [collections.Counter() for _ in range(3)]
+    after = [collections.Counter() for _ in range(3)]
+    padded = {i: [None, *text.split(), None] for i, text in texts}
+    for i, y in padded.items():
+        for k in range(1, len(y) if not held[i] else 0):
+            for order in range(min(3, k + 1)):
+                grams[order][tuple(y[k - order : k + 1])] += 1
+                after[order][tuple(y[k - order : k])] += 1
+    n, types = sum(grams[0].values()), len(grams[0])
+    once, twice = (sum(c == k for c in grams[0].values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    out = {}
+    for i, y in padded.items():
+        score = 0.0
+        for k in range(1, len(y)):
+            c = grams[0][(y[k],)]
+            p = (c - d) / n if c else d * types / n
+            for order in range(1, min(3, k + 1)):
+                m, context = weights[order + 1], tuple(y[k - order : k])
+                p = (grams[order][tuple(y[k - order : k + 1])] + m * p) / (after[order][context] + m)
+            score += math.log10(p)
+        out[i] = (score, len(y) - 1)
+    return out
+
+
+def folds(n):
+    """The first n ids that train, the first n that are held out."""
+    held = [i for i in range(40 * n) if zlib.crc32(str(i).encode()) % 7 == 2]
+    return [i for i in range(40 * n) if i not in held][:n], held[:n]
+
+
+def check_scores(spark, texts):
+    wanted = scores_by_formula(texts, ngram_trie.WEIGHTS)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram_trie.score_documents(docs).collect()}
+    assert got.keys() == wanted.keys()
+    for i, (score, tokens) in wanted.items():
+        assert abs(got[i] - score) <= 0.016 * tokens, (i, got[i], score)
+
+
 def test_codes_reach_the_rarest_words_and_ngrams():
     """Counts of a corpus of billions of tokens: no floor, no mass over one."""
     model = ngram_trie.Words(1)
@@ -25,3 +73,11 @@ def test_codes_reach_the_rarest_words_and_ngrams():
     held = ngram_trie.probability(ngram_trie.TrieShard(raw).codes)
     assert (np.abs(np.log10(held) - np.log10([1e-12, 0.5, 3e-9])) <= half).all()
     assert len(ngram_trie.unpack_codes(b"")) == 0 and ngram_trie.probability(np.array([ngram_trie.UNSEEN])) == 0
+
+
+def test_unknown_words_back_off(spark):
+    train, held = folds(6)
+    # each training text stands twice, so every context does
+    texts = list(zip(train, ["a " * 300 + "b c"] * 2 + ["b c d a"] * 2 + ["c a b"] * 2))
+    texts += list(zip(held, ["a new", "b c new other d", "new", "new a a new b c", "", "a b c d"]))
+    check_scores(spark, texts)
