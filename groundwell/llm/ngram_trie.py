@@ -14,8 +14,8 @@ answers are shuffled to the segments. A context with more than HOT_COUNT tokens
 several shards by the following word.
 
 Probabilities are hierarchical Dirichlet: P(w | context) = (c(context w) + m P(w | shorter context)) / (c(context) + m);
-words by absolute discounting, uncoded as their counts are sent, whose mass goes to one unknown word. Contexts of two words are used from
-MIN_CONTEXT occurrences on; counts are never cut. A word is a 64-bit hash.
+words by absolute discounting, uncoded as their counts are sent, whose mass goes to one unknown word. Contexts are used from
+one occurrence on; counts are never cut. A word is a 64-bit hash.
 
 Defined results: null text is empty and has the end token alone; documents without an id train; with nothing to
 learn from all probabilities are one; repeated rows count each.
@@ -37,7 +37,6 @@ from groundwell.session import staged
 SEGMENT_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
 HOT_COUNT = 200_000
-MIN_CONTEXT = 2
 ORDER = 3
 WEIGHTS = {2: 60.0, 3: 4.0}
 FOLDS, HELD = 7, 2
@@ -143,7 +142,7 @@ class Resolved:
         self.previous = np.concatenate(([-1], np.arange(len(self.tokens) - 1)))
         self.previous[doc_starts] = -1
         for level in range(2, max(answers, default=1) + 1):
-            self.keys(level)
+            self.keys()
             code, key_ids, key_counts = self.contexts_of(answers[level], np.array(model.shifts[level], np.int64))
             m = weights[level]
             own = self.asked[self.order]
@@ -166,10 +165,9 @@ class Resolved:
     def bits(self) -> int:
         return int(math.log2(self.model.shards))
 
-    def keys(self, level: int):
+    def keys(self):
         """The distinct (shard, context, word) of the tokens that this level asks for."""
-        least = 1 if level == 2 else MIN_CONTEXT
-        self.asked = np.flatnonzero((self.context >= 0) & (self.word_id >= 0) & (self.context_count >= least))
+        self.asked = np.flatnonzero((self.context >= 0) & (self.word_id >= 0))
         context, word = self.context[self.asked], self.word_id[self.asked]
         spread = np.maximum(1, self.context_count[self.asked] // HOT_COUNT)
         part = mix(word.astype(np.uint64)) % spread.astype(np.uint64)
@@ -209,9 +207,8 @@ class Resolved:
             code = unpack_codes(own)
             number, count = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
             if raw:
-                kept, places = np.split(unpack_varints(gaps).astype(np.int64), 2)
-                slot = np.cumsum(kept)
-                number[slot], count[slot] = np.cumsum(places) + shifts[shard], unpack_varints(raw).astype(np.int64)
+                slot = np.flatnonzero(code != UNSEEN)
+                number[slot], count[slot] = np.cumsum(unpack_varints(gaps).astype(np.int64)) + shifts[shard], unpack_varints(raw).astype(np.int64)
             codes.append(code)
             ids.append(number)
             counts.append(count)
@@ -225,7 +222,7 @@ class Resolved:
             for s, a, b in runs(shard):
                 yield s, self.words[a:b].tobytes(), b"", pack_varints(counts[a:b]), b""
             return
-        self.keys(level)
+        self.keys()
         for s, a, b in runs(self.key_shard):
             context, word = self.key_context[a:b], self.key_word[a:b]
             new = np.ones(b - a, bool)
@@ -363,10 +360,9 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
         codes[hit] = trie.codes[place[hit]]
         counts = gaps = b""
         if not last:
-            # possible contexts of the next level; keys come in the order of the trie, so both only grow
-            hit = hit[total[place[hit]] >= MIN_CONTEXT]
+            # contexts of the next level, those with a code; keys come in the order of the trie, so places only grow
             counts = pack_varints(total[place[hit]])
-            gaps = pack_varints(np.concatenate((np.diff(hit, prepend=0), np.diff(place[hit], prepend=0))))
+            gaps = pack_varints(np.diff(place[hit], prepend=0))
         answers.append((r["segment"], counts, gaps, pack_codes(codes)))
     return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw if keep else None)
 

@@ -81,3 +81,10 @@ def test_unknown_words_back_off(spark):
     texts = list(zip(train, ["a " * 300 + "b c"] * 2 + ["b c d a"] * 2 + ["c a b"] * 2))
     texts += list(zip(held, ["a new", "b c new other d", "new", "new a a new b c", "", "a b c d"]))
     check_scores(spark, texts)
+
+
+def test_contexts_seen_once_count(spark):
+    train, held = folds(4)
+    texts = list(zip(train, ["one passage stands here only once", "other words stand here twice", "once only here", ""]))
+    texts += list(zip(held, ["a passage stands here only once", "passage stands here twice", "one passage", "here only new once"]))
+    check_scores(spark, texts)
