@@ -9,7 +9,8 @@ Sentences that speak of a license but are not known get the identifier Unknown.
 Sentences end at . ! ? ; or : before white space and at the text's end; they are taken both with every
 line end as an end and with blank lines only, so wrapped notices and bare lines are both found. Words are
 hashed a slice at a time, and a sentence's hash only selects candidates: its words are compared before
-it gets an identifier.
+it gets an identifier. A `*` in a known sentence stands for one or more words. A sentence that speaks of a license
+and is not known is tried together with the next one, as tags are cut at their colon.
 
 Defined results: null and empty texts have no sentences and the empty license list; repeated rows are
 reported each.
@@ -27,11 +28,12 @@ SENTENCES = {
     "ApacheRef": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
     "ApacheComply": ["you may not use this file except in compliance with the license"],
     "ApacheCopy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at"],
+    "ApacheUrl": ["http www apache org licenses license 2 0", "https www apache org licenses license 2 0"],
     "ApacheAsIs": [
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
     ],
     "ApacheSee": ["see the license for the specific language governing permissions and limitations under the license"],
-    "MitRef": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "the mit license", "mit license"],
+    "MitRef": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "the mit license", "mit license", "the mit license mit"],
     "MitGrant": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
     ],
@@ -54,10 +56,24 @@ SENTENCES = {
     "Gpl2OrLater": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
     ],
+    "GplFree": ["this program is free software"],
+    "GplTerms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "Gpl3Terms": [
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "Gpl2Terms": [
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
+    ],
+    "Gpl3Later": ["either version 3 of the license or at your option any later version"],
+    "Gpl2Later": ["either version 2 of the license or at your option any later version"],
     "GplHope": [
+        "this program is distributed in the hope that it will be useful but without any warranty",
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     ],
+    "GplImplied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "GplSee": ["see the gnu general public license for more details"],
+    "GplCopy": ["you should have received a copy of the gnu general public license along with this program"],
+    "GplUrl": ["if not see http www gnu org licenses", "if not see https www gnu org licenses"],
     "CcByRef": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "CcBySaRef": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "CcByNcRef": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
@@ -67,7 +83,8 @@ SENTENCES = {
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
     ],
     "BsdNames": [
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+        "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
     "SpdxApache": ["spdx license identifier apache 2 0"],
     "SpdxMit": ["spdx license identifier mit"],
@@ -78,8 +95,13 @@ SENTENCES = {
 
 UNKNOWN = "Unknown"
 
+# What may follow the first sentences of a GPL notice; the second sentence of the hope stands behind a semicolon.
+GPL_TAILS = [[], *([*hope, *rest] for hope in (["GplHope"], ["GplHope", "GplImplied"]) for rest in (["GplSee"], ["GplSee", "GplCopy"], ["GplSee", "GplCopy", "GplUrl"]))]
+
 # Rules in words of identifiers; longer ones first when matching.
 RULES = [
+    ("Apache-2.0", ["ApacheRef", "ApacheComply", "ApacheCopy", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheRef", "ApacheComply", "ApacheCopy", "ApacheUrl"]),
     ("Apache-2.0", ["ApacheRef", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef", "ApacheComply", "ApacheCopy"]),
     ("Apache-2.0", ["ApacheRef"]),
@@ -89,16 +111,20 @@ RULES = [
     ("MIT", ["MitGrant", "MitNotice", "AsIsWarranty"]),
     ("MIT", ["MitRef"]),
     ("MIT", ["SpdxMit"]),
-    ("GPL-3.0-or-later", ["Gpl3OrLater", "GplHope", "GplSee"]),
-    ("GPL-3.0-or-later", ["Gpl3OrLater"]),
-    ("GPL-2.0-or-later", ["Gpl2OrLater", "GplHope", "GplSee"]),
-    ("GPL-2.0-or-later", ["Gpl2OrLater"]),
+    *(
+        (f"GPL-{v}.0-or-later", [*head, *tail])
+        for v in "32"
+        for head in ([f"Gpl{v}OrLater"], ["GplFree", f"Gpl{v}Terms"], [f"Gpl{v}Terms"], ["GplFree", "GplTerms", f"Gpl{v}Later"], ["GplTerms", f"Gpl{v}Later"])
+        for tail in GPL_TAILS
+    ),
     ("GPL-3.0-only", ["Gpl3Ref"]),
     ("GPL-3.0-only", ["SpdxGpl3"]),
     ("GPL-2.0-only", ["Gpl2Ref"]),
     ("CC-BY-4.0", ["CcByRef"]),
     ("CC-BY-SA-4.0", ["CcBySaRef"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
+    ("BSD-3-Clause", ["AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdNames"]),
+    ("BSD-2-Clause", ["AllRights", "BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdNames"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["SpdxBsd3"]),
@@ -131,15 +157,26 @@ def match_rules(found: list[tuple[int, str]], rules=RULES) -> list[tuple[str, in
 class Scanner:
     def __init__(self, sentences: dict = SENTENCES, rules: list = RULES):
         self.rules = rules
-        self.identifier = {s.encode(): name for name, group in sentences.items() for s in group}
+        self.identifier = {s.encode(): name for name, group in sentences.items() for s in group if "*" not in s}
+        self.open = [(*s.encode().split(b"*"), name) for name, group in sentences.items() for s in group if "*" in s]
         texts = pa.RecordBatch.from_arrays([pa.array([s.decode() for s in self.identifier])], ["text"])
         (_, _, buffer, starts), = text_slices(texts, "text", 1 << 62)
         low, at, length, hashes, bounds = self.words(buffer, starts)
         first = np.searchsorted(at, starts[:-1])
         self.known = np.sort(self.sums(hashes, first)[0])
-        flat = np.frombuffer(b" ".join(w.encode() for w in LICENSE_WORDS) + bytes(40), np.uint8)
-        size = np.array([len(w) for w in LICENSE_WORDS])
-        self.speaks = hash_words(flat, np.cumsum(size + 1) - size - 1, size)
+        self.speaks = self.hashes_of([w.encode() for w in LICENSE_WORDS])
+        self.heads = self.hashes_of(sorted({head.split()[0] for head, _, _ in self.open}))
+
+    @staticmethod
+    def hashes_of(names: list) -> np.ndarray:
+        flat = np.frombuffer(b" ".join(names) + bytes(40), np.uint8)
+        size = np.array([len(w) for w in names], np.int64)
+        return hash_words(flat, np.cumsum(size + 1) - size - 1, size)
+
+    def name_of(self, words: bytes):
+        """The identifier of a known sentence."""
+        whole = self.identifier.get(words)
+        return whole or next((name for head, tail, name in self.open if words.startswith(head) and words.endswith(tail) and len(words) > len(head) + len(tail)), None)
 
     @staticmethod
     def words(buffer, starts):
@@ -179,13 +216,25 @@ class Scanner:
             slot = np.searchsorted(self.known, sums)
             slot[slot == len(self.known)] = 0
             speaks = np.add.reduceat(np.isin(hashes, self.speaks), first, dtype=np.int64) > 0
-            for k in np.flatnonzero((self.known[slot] == sums) | speaks).tolist():
-                own = slice(first[k], first[k] + counts[k])
-                words = b" ".join(low[a : a + m].tobytes() for a, m in zip(at[own].tolist(), length[own].tolist()))
-                name = self.identifier.get(words, UNKNOWN if speaks[k] else None)
+            longest = max(map(len, self.identifier))
+
+            def words_of(k, most=None):
+                own = slice(first[k], first[k] + (counts[k] if most is None else min(counts[k], most)))
+                return b" ".join(low[a : a + m].tobytes() for a, m in zip(at[own].tolist(), length[own].tolist()))
+
+            for k in np.flatnonzero((self.known[slot] == sums) | speaks | np.isin(hashes[first], self.heads)).tolist():
+                words, size = words_of(k), int(counts[k])
+                name = self.name_of(words)
+                if name is None and speaks[k]:
+                    name = UNKNOWN
+                    if len(words) < longest and k + 1 < len(first) and owner[k + 1] == owner[k]:
+                        # known sentences are far shorter than a long text without ends
+                        whole = self.identifier.get(words + b" " + words_of(k + 1, longest))
+                        if whole:
+                            name, size = whole, size + int(counts[k + 1])
                 if name:
                     place = int(first[k] - bounds[owner[k]])
-                    found[owner[k]].setdefault((name == UNKNOWN, place), (place, int(counts[k]), name))
+                    found[owner[k]].setdefault((name == UNKNOWN, place), (place, size, name))
         out = []
         for total, own in zip(totals.tolist(), found):
             sure = sorted(v for (unknown, _), v in own.items() if not unknown)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 
 from groundwell.llm import ngram_trie
+from groundwell.llm.sentence_rules import license_digest, license_scan
 
 
 def scores_by_formula(texts, weights):
@@ -88,3 +89,80 @@ def test_contexts_seen_once_count(spark):
     texts = list(zip(train, ["one passage stands here only once", "other words stand here twice", "once only here", ""]))
     texts += list(zip(held, ["a passage stands here only once", "passage stands here twice", "one passage", "here only new once"]))
     check_scores(spark, texts)
+
+
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %d of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL_3 = """
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL_2 = """
+    You should have received a copy of the GNU General Public License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD = """Copyright (c) 2001, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+NOTICES = [
+    (GPL % (":", ",", 3) + GPL_3, "GPL-3.0-or-later"),
+    (GPL % (":", ",", 3), "GPL-3.0-or-later"),
+    (GPL % (";", ";", 2) + GPL_2, "GPL-2.0-or-later"),
+    (GPL % (";", ";", 3) + GPL_3, "GPL-3.0-or-later"),
+    (GPL % (":", ",", 2) + GPL_3, "GPL-2.0-or-later"),
+    ((GPL % (":", ",", 3)).split("\n\n")[0], "GPL-3.0-or-later"),
+    (GPL.replace("This program is free", "Frob is free") % (":", ",", 3) + GPL_3, "GPL-3.0-or-later"),
+    (APACHE, "Apache-2.0"),
+    (BSD, "BSD-2-Clause"),
+    *((BSD + NAMES % party, "BSD-3-Clause") for party in ("the copyright holder", "the University of Somewhere, its schools", "Frob Inc.", "Frob")),
+    ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT\n", "MIT"),
+    ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0-only"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("SPDX-License-Identifier: Frob-1.0", "Unknown"),
+    ("Neither the name of Frob is known.\nMit\nWithout a license: mit", "Unknown"),
+]
+
+
+def test_published_notices(spark):
+    texts = [(k, text) for k, (text, _) in enumerate(NOTICES)] + [(100 + k, f"Some text.\n\n{text}\nMore text.") for k, (text, _) in enumerate(NOTICES)]
+    got = {r["doc_id"]: r for r in license_digest(license_scan(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    for k, (text, wanted) in enumerate(NOTICES):
+        for at in (k, 100 + k):
+            assert (got[at]["licenses"], got[at]["n_spans"]) == (wanted, 1), (text, got[at])
