@@ -1,6 +1,6 @@
 """Sharding by a k-d tree over document metadata.
 
-Metadata columns are brought to 24-bit numbers over their whole range. A node of the tree splits the
+Metadata columns are brought to 24-bit numbers over their whole range, strings by the rank among their distinct values. A node of the tree splits the
 dimension in which its rows spread widest, at the weighted median of the rows' bytes (or at the share
 of leaves that its left side is to have); rows of one value are told apart by a hash, so a value that
 a third of all rows share is split too. Medians are found exactly for all nodes of a level at once: a pass
@@ -19,15 +19,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.ranks import numbered_rows, slices_for, with_group_ranks
+from groundwell.session import broadcast_if_small, staged
 
 KEY_BITS = 24
 PASS_BITS = 12
-
-
-def text_code(column: str):
-    """The first six bytes as a number, in the order of the strings."""
-    head = F.rpad(F.hex(F.substring(F.col(column).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+BROADCAST_VALUES = 200_000
+
+
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with the strings of a column replaced by their ranks among its distinct values; null stays null."""
+    values = rows.select(F.col(column).alias("__value")).filter("__value IS NOT NULL").distinct().orderBy("__value")
+    values = staged(values.withColumn("__at", F.monotonically_increasing_id()), "values")
+    # the number within a task's part of the order, shifted by the sizes of the parts before
+    part = F.shiftright("__at", 33)
+    sizes = sorted(tuple(r) for r in values.groupBy(part.alias("part")).count().collect())
+    shifts, before = [], 0
+    for number, size in sizes:
+        shifts += [(number, before)]
+        before += size
+    shift = values.sparkSession.createDataFrame(shifts, "__part long, __shift long")
+    values = values.withColumn("__part", part).join(F.broadcast(shift), "__part")
+    values = values.select("__value", (F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__shift")).cast("double").alias("__rank"))
+    found = rows.join(broadcast_if_small(values, BROADCAST_VALUES), F.col(column) == F.col("__value"), "left")
+    return found.withColumn(column, F.col("__rank")).select(*rows.columns)
 
 
 class Tree:
@@ -147,7 +161,7 @@ def grow(rows: DataFrame, dims: list[str], leaves: int) -> Tree:
 def kd_shards(documents: DataFrame, dims: dict, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document row.
 
-    `dims` names numeric expressions over documents. The number of leaves is given, or what brings
+    `dims` names numeric or string expressions over documents. The number of leaves is given, or what brings
     them to `target_bytes`.
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -155,10 +169,13 @@ def kd_shards(documents: DataFrame, dims: dict, leaves: int | None = None, targe
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("weight"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        *(e.cast("double").alias(f"__{n}") for n, e in dims.items()),
+        *(e.alias(f"__{n}") for n, e in dims.items()),
     )
-    rows = numbered_rows(rows, "metadata")
     names = [f"__{n}" for n in dims]
+    for name in [n for n in names if rows.schema[n].dataType.typeName() == "string"]:
+        rows = ranked(rows, name)
+    rows = rows.withColumns({n: F.col(n).cast("double") for n in names})
+    rows = numbered_rows(rows, "metadata")
     bounds = rows.agg(F.sum("weight"), F.count("*"), *(f(c) for c in names for f in (F.min, F.max))).first()
     if leaves is None:
         leaves = max(1, math.ceil((bounds[0] or 0) / target_bytes))
@@ -187,7 +204,7 @@ def kd_shards(documents: DataFrame, dims: dict, leaves: int | None = None, targe
 
 def metadata_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
     """The given documents in shards of near equal bytes, by language, source, length and id."""
-    dims = {"lang": text_code("lang"), "source": text_code("source"), "chars": F.log1p("n_chars"), "id": F.col("doc_id")}
+    dims = {"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "chars": F.log1p("n_chars"), "id": F.col("doc_id")}
     placed = kd_shards(documents, dims, leaves=shards)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -5,8 +5,10 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
-from groundwell.llm import ngram_trie
+from groundwell.llm import kd_shards, ngram_trie
+from groundwell.llm.kd_shards import metadata_shards
 from groundwell.llm.sentence_rules import license_digest, license_scan
 
 
@@ -166,3 +168,17 @@ def test_published_notices(spark):
     for k, (text, wanted) in enumerate(NOTICES):
         for at in (k, 100 + k):
             assert (got[at]["licenses"], got[at]["n_spans"]) == (wanted, 1), (text, got[at])
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_sources_of_one_prefix_part(spark, monkeypatch, most):
+    """Sources that differ far behind their sixth byte split the rows, in their order."""
+    monkeypatch.setattr(kd_shards, "BROADCAST_VALUES", most)
+    docs = spark.range(1600).selectExpr("id AS doc_id", "'same text' AS text", "'en' AS lang", "concat('https://example.org/', lpad(pmod(id * 7, 1600), 5, '0')) AS source", "9L AS n_chars")
+    one = docs.withColumn("doc_id", docs["doc_id"] * 0)
+    got = metadata_shards(one.withColumn("text", docs["source"]), 8).collect()
+    shard = {r["text_crc32"]: r["shard"] for r in got}
+    in_order = [shard[zlib.crc32(f"https://example.org/{k:05d}".encode())] for k in range(1600)]
+    assert len(got) == 1600 and in_order == sorted(in_order)
+    assert set(collections.Counter(in_order)) == set(range(8))
+    assert metadata_shards(docs.withColumn("source", docs["source"].substr(99, 1)), 8).count() == 1600
