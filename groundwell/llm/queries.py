@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from groundwell.llm.block_naming import exact_groups
 from groundwell.llm.histogram_packing import pack, packing_digest
 from groundwell.llm.hyperdimensional import language_of
+from groundwell.llm.importance_resampling import resample, resampling_digest
 from groundwell.llm.kd_shards import metadata_shards
 from groundwell.llm.ngram_trie import score_documents
 from groundwell.llm.positional_index import decontaminate
@@ -66,6 +67,10 @@ def op10_histogram_packing(spark, sf_dir):
     return packing_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op13_importance_resampling(spark, sf_dir):
+    return resampling_digest(resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,5 +84,6 @@ QUERIES = {
         op8_weak_labels,
         op9_positional_index,
         op10_histogram_packing,
+        op13_importance_resampling,
     )
 }
