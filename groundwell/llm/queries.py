@@ -11,20 +11,23 @@ from groundwell.llm.ngram_trie import score_documents
 from groundwell.llm.positional_index import decontaminate
 from groundwell.llm.positive_unlabelled import score_toxicity
 from groundwell.llm.sentence_rules import license_digest, license_scan
+from groundwell.llm.swap_packing import pack as pack_by_swaps
+from groundwell.llm.swap_packing import packing_digest as swap_digest
 from groundwell.llm.vantage_points import near_groups
 from groundwell.llm.weak_labels import score_quality
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_sentence_rules(spark, sf_dir):
@@ -67,6 +70,10 @@ def op10_histogram_packing(spark, sf_dir):
     return packing_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_swap_packing(spark, sf_dir):
+    return swap_digest(pack_by_swaps(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER)))
+
+
 def op13_importance_resampling(spark, sf_dir):
     return resampling_digest(resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -84,6 +91,7 @@ QUERIES = {
         op8_weak_labels,
         op9_positional_index,
         op10_histogram_packing,
+        op12_swap_packing,
         op13_importance_resampling,
     )
 }
