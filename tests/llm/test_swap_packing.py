@@ -127,7 +127,6 @@ def test_search_keeps_documents_and_saves_bins(seed):
     "bins, wanted",
     [
         ([[5, 4], [6, 3], [1, 1]], 2),  # moves
-        ([[7, 2], [5, 4], [2]], 2),
         ([[6, 2], [8, 1], [3]], 2),  # 3 for 2, then a move
         ([[4, 4], [5, 3, 1], [3, 0 + 2], [1]], 2),  # two for one
     ],
