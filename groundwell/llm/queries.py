@@ -8,6 +8,7 @@ from groundwell.llm.hyperdimensional import language_of
 from groundwell.llm.importance_resampling import resample, resampling_digest
 from groundwell.llm.kd_shards import metadata_shards
 from groundwell.llm.ngram_trie import score_documents
+from groundwell.llm.periodic_runs import find_runs, runs_digest
 from groundwell.llm.positional_index import decontaminate
 from groundwell.llm.positive_unlabelled import score_toxicity
 from groundwell.llm.sentence_rules import license_digest, license_scan
@@ -70,6 +71,10 @@ def op10_histogram_packing(spark, sf_dir):
     return packing_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_suffix_runs(spark, sf_dir):
+    return runs_digest(find_runs(table(spark, sf_dir, "documents"), tails=True))
+
+
 def op12_swap_packing(spark, sf_dir):
     return swap_digest(pack_by_swaps(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER)))
 
@@ -91,6 +96,7 @@ QUERIES = {
         op8_weak_labels,
         op9_positional_index,
         op10_histogram_packing,
+        op11_suffix_runs,
         op12_swap_packing,
         op13_importance_resampling,
     )
