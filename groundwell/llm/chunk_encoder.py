@@ -2,12 +2,12 @@
 
 Such a tokenizer first parts a text into runs of letters, of digits, of other signs and of white space, a single space
 going with the run behind it, and never joins ids across two of these. A chunk here begins only where such a run must begin
-whatever stands around it: at white space behind a sign that is none, at a change between ASCII letters, digits and marks (not
-behind an apostrophe, which can begin a contraction). So a text's ids are its chunks' ids in order. Texts with a special token are
+whatever stands around it: at white space behind a sign that is none, behind a single tab or line break, at a change
+between letters, ASCII digits and marks (not behind an apostrophe, which can begin a contraction). So a text's ids are its chunks' ids in order. Texts with a special token are
 encoded whole.
 
 A slice's chunks are told apart by a 64-bit hash and then by their bytes; those not yet held are encoded. Holds at most CACHED
-chunks of at most CACHED_BYTES bytes each.
+chunks of at most CACHED_BYTES bytes each; when these no longer serve most of a slice, they give way to others.
 """
 
 from itertools import repeat
@@ -16,21 +16,22 @@ import numpy as np
 
 from groundwell.llm.arrays import LANE_MASK, hash_words, lanes, ranges
 
-CACHED = 1_000_000
+CACHED = 400_000
 CACHED_BYTES = 64
 JOINED = 1000
 
-_SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(6)
+_SPACE, _BREAK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(7)
 KIND = np.full(256, _OTHER, np.uint8)
 KIND[0x21:0x7F] = _MARK
-KIND[[0x20, 9, 10, 11, 12, 13]] = _SPACE
+KIND[0x20], KIND[9:14] = _SPACE, _BREAK
 KIND[0x30:0x3A] = _DIGIT
 KIND[0x41:0x5B] = KIND[0x61:0x7B] = _LETTER
 KIND[0x27] = _APOSTROPHE
 
 # STARTS[a, b]: a chunk begins at a byte of kind b behind one of kind a.
-STARTS = np.zeros((6, 6), bool)
+STARTS = np.zeros((7, 7), bool)
 STARTS[[_LETTER, _DIGIT, _MARK, _APOSTROPHE], _SPACE] = True
+STARTS[[_LETTER, _DIGIT, _MARK, _APOSTROPHE], _BREAK] = True
 STARTS[_LETTER, [_DIGIT, _MARK, _APOSTROPHE]] = True
 STARTS[_DIGIT, [_LETTER, _MARK, _APOSTROPHE]] = True
 STARTS[_MARK, [_LETTER, _DIGIT]] = True
@@ -44,10 +45,15 @@ def chunk_starts(buffer: np.ndarray, starts: np.ndarray):
     opens = np.zeros(end, bool)
     opens[1:] = STARTS[kind[:-1], kind[1:]]
     # white space behind the last byte of a character from U+00C0 to U+07FF or from U+4000 on: none of these is white space
-    space = kind == _SPACE
+    space = kind <= _BREAK
     for size, low, high in ((2, 0xC3, 0xDF), (3, 0xE4, 0xEF), (4, 0xF0, 0xF4)):
         if end > size:
             opens[size:] |= space[size:] & (data[:-size] >= low) & (data[:-size] <= high)
+    # marks behind letters from U+00C0 to U+00FF
+    latin = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    opens[2:] |= latin & ((kind[2:] == _MARK) | (kind[2:] == _APOSTROPHE))
+    # a single tab or line break: of several in a row the last may go apart
+    opens[1:] |= opens[:-1] & (kind[:-1] == _BREAK) & (kind[1:] > _BREAK) & (kind[1:] < _OTHER)
     opens[0] = True
     opens[starts[:-1]] = True
     opens[starts[1:] - 1] = True
@@ -90,7 +96,9 @@ class ChunkEncoder:
         self.ids_used = self.data_used = 0
 
     def encoded(self, texts: list[bytes]):
-        """(ids side by side, how many of each); texts with a special token in none or in all."""
+        """(ids side by side, how many of each)."""
+        if not texts:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
         if not self.special or any(mark in t for t in texts for mark in self.special):
             found = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
@@ -117,6 +125,26 @@ class ChunkEncoder:
         self.ids_used += len(ids)
         self.data_used += total
 
+    def slots(self, keys: list[int], buffer, at, size) -> np.ndarray:
+        """The place of each distinct chunk among those held, which the new ones join as long as there is room; else -1."""
+        slot = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        known = np.flatnonzero(slot >= 0)
+        held = slot[known]
+        right = equal_spans(buffer, at[known], size[known], self.data, self.at[held], self.length[held])
+        slot[known[~right]] = -2  # the hash of another chunk
+        fresh = np.flatnonzero((slot == -1) & (size <= CACHED_BYTES))
+        if len(self.slot) + len(fresh) > CACHED:
+            if 2 * len(fresh) < len(keys):
+                return slot  # what is held still serves most
+            self.clear()
+            slot[:] = -1
+            fresh = np.flatnonzero(size <= CACHED_BYTES)[:CACHED]
+        n = len(self.slot)
+        texts = [buffer[a : a + m].tobytes() for a, m in zip(at[fresh].tolist(), size[fresh].tolist())]
+        self.hold([keys[k] for k in fresh.tolist()], buffer, at[fresh], size[fresh], *self.encoded(texts))
+        slot[fresh] = np.arange(n, n + len(fresh))
+        return slot
+
     def slice_ids(self, buffer: np.ndarray, starts: np.ndarray):
         """(ids of all texts of a slice side by side, the texts' bounds in them)."""
         places, bounds = chunk_starts(buffer, starts)
@@ -127,34 +155,22 @@ class ChunkEncoder:
         places = places[inner]
         bounds = np.searchsorted(places, starts)
         names, one, number = np.unique(hash_words(buffer, places, length), return_index=True, return_inverse=True)
-        same = equal_spans(buffer, places, length, buffer, places[one][number], length[one][number])
-        keys = names.tolist()
-        slot = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
-        known = np.flatnonzero(slot >= 0)
-        held = slot[known]
-        right = equal_spans(buffer, places[one[known]], length[one[known]], self.data, self.at[held], self.length[held])
-        slot[known[~right]] = -2  # the hash of another chunk
-        fresh = np.flatnonzero((slot == -1) & (length[one] <= CACHED_BYTES))
-        if len(self.slot) + len(fresh) > CACHED:
-            self.clear()
-            slot[:] = -1
-            fresh = np.flatnonzero(length[one] <= CACHED_BYTES)
-        if fresh.size:
-            at, size = places[one[fresh]], length[one[fresh]]
-            texts = [buffer[a : a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())]
-            n = len(self.slot)
-            self.hold([keys[k] for k in fresh.tolist()], buffer, at, size, *self.encoded(texts))
-            slot[fresh] = np.arange(n, n + len(fresh))
-        # chunks that are not held: long ones, and those of a hash that another has
-        found = slot[number]
-        found[~same] = -2
-        loose = np.flatnonzero(found < 0)
-        first, size, ids = self.first[np.maximum(found, 0)], self.size[np.maximum(found, 0)], self.ids
-        if loose.size:
-            texts = [buffer[a : a + n].tobytes() for a, n in zip(places[loose].tolist(), length[loose].tolist())]
-            extra, own = self.encoded(texts)
-            first[loose], size[loose] = self.ids_used + np.cumsum(own) - own, own
-            ids = np.concatenate((self.ids[: self.ids_used], extra))
+        at, size = places[one], length[one]  # the distinct chunks
+        slot = self.slots(names.tolist(), buffer, at, size)
+        # ids of the distinct chunks, those not held behind those that are
+        loose = np.flatnonzero(slot < 0)
+        held = np.maximum(slot, 0)
+        first, ids_of = self.first[held], self.size[held]
+        extra, own = self.encoded([buffer[a : a + n].tobytes() for a, n in zip(at[loose].tolist(), size[loose].tolist())])
+        first[loose], ids_of[loose] = self.ids_used + np.cumsum(own) - own, own
+        ids = np.concatenate((self.ids[: self.ids_used], extra)) if loose.size else self.ids
+        first, size = first[number], ids_of[number]
+        same = equal_spans(buffer, places, length, buffer, at[number], length[one][number])
+        apart = np.flatnonzero(~same)
+        if apart.size:  # other chunks of one hash
+            more, own = self.encoded([buffer[a : a + n].tobytes() for a, n in zip(places[apart].tolist(), length[apart].tolist())])
+            first[apart], size[apart] = len(ids) + np.cumsum(own) - own, own
+            ids = np.concatenate((ids, more))
         out = ids[ranges(first, size)]
         ends = np.concatenate(([0], np.cumsum(size)))[bounds]
         if any(mark in buffer.tobytes() for mark in self.special):
