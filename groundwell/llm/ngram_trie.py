@@ -115,49 +115,57 @@ def unpack_codes(raw: bytes) -> np.ndarray:
     return low | high << np.uint16(8)
 
 
+def joint(context: np.ndarray, word: np.ndarray, types: int) -> np.ndarray:
+    """One number for each (context, word), in their order; contexts are renumbered where the product would not fit."""
+    if len(context) and int(context.max()) >= (1 << 63) // max(1, types) - 1:
+        context = np.unique(context, return_inverse=True)[1]
+    return context * max(1, types) + word
+
+
 class Resolved:
-    """A segment with the answers of the levels so far: per token the probability and the context."""
+    """A segment with the answers of the levels so far: per token the probability and, unless these were `last`, the context."""
 
-    def __init__(self, row: dict, answers: dict, model: Words, weights: dict):
+    def __init__(self, row: dict, answers: dict, model: Words, weights: dict, last: bool = False):
         self.row, self.model = row, model
         self.doc_tokens = np.array(row["doc_tokens"], np.int64)
         held = np.array(row["held"], bool)
         self.train = np.repeat(~held, self.doc_tokens)
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = np.frombuffer(row["tokens"], "<u4")
         if 1 not in answers:
             return
         shard = self.shard_of_words()
-        self.counts, rank = self.joined(answers[1])
+        self.counts, rank = self.joined(answers.pop(1))
         ids = rank + np.array(model.shifts[1], np.int64)[shard]
-        self.word_id = np.where(self.counts > 0, ids, -1)[self.tokens]
-        self.count = self.counts[self.tokens]
+        ids = np.where(self.counts > 0, ids, -1).astype(np.int32 if model.types < 1 << 31 else np.int64)
+        self.word_id = ids[self.tokens]
         self.p = model.unigram(self.counts)[self.tokens]
         # what stands before each token: the word before it, or the end token at a text's start
         doc_starts = np.cumsum(self.doc_tokens) - self.doc_tokens
-        before = np.concatenate(([0], self.tokens[:-1]))
+        before = np.concatenate((np.zeros(1, np.uint32), self.tokens[:-1]))
         before[doc_starts] = len(self.words) - 1
-        self.context = np.where(self.counts > 0, ids, -1)[before]
+        self.context = ids[before].astype(np.int64)
         self.context_count = self.counts[before]
-        self.previous = np.concatenate(([-1], np.arange(len(self.tokens) - 1)))
-        self.previous[doc_starts] = -1
-        for level in range(2, max(answers, default=1) + 1):
-            self.keys()
-            code, key_ids, key_counts = self.contexts_of(answers[level], np.array(model.shifts[level], np.int64))
+        del before, ids
+        for level in sorted(answers):
+            own, number = self.numbered()
+            code, key_ids, key_counts = self.contexts_of(answers.pop(level), np.array(model.shifts[level], np.int64))
             m = weights[level]
-            own = self.asked[self.order]
-            number = self.number
-            seen = probability(code)
-            self.p[own] = seen[number] + m / (self.context_count[own] + m) * self.p[own]
             # an unknown word has no key, its context is known all the same
-            off = np.flatnonzero((self.context >= 0) & (self.word_id < 0))
-            self.p[off] *= m / (self.context_count[off] + m)
-            ids = np.full(len(self.tokens), -1, np.int64)
-            counts = np.zeros(len(self.tokens), np.int64)
-            ids[own], counts[own] = key_ids[number], key_counts[number]
-            at = self.previous
-            self.context = np.where(at >= 0, ids[at], -1)
-            self.context_count = np.where(at >= 0, counts[at], 0)
+            known = np.flatnonzero(self.context >= 0)
+            self.p[known] *= m / (self.context_count[known] + m)
+            del known
+            self.p[own] += probability(code)[number]
+            if last and not answers:
+                return
+            # the context of a token is the k-gram that ends before it
+            self.context.fill(-1)
+            self.context_count.fill(0)
+            behind = own + 1
+            inside = np.flatnonzero(behind < len(self.tokens))
+            behind, number = behind[inside], number[inside]
+            self.context[behind], self.context_count[behind] = key_ids[number], key_counts[number]
+            self.context[doc_starts], self.context_count[doc_starts] = -1, 0
 
     def shard_of_words(self) -> np.ndarray:
         return (self.words >> np.uint64(64 - self.bits())).astype(np.int64) if self.bits() else np.zeros(len(self.words), np.int64)
@@ -165,28 +173,30 @@ class Resolved:
     def bits(self) -> int:
         return int(math.log2(self.model.shards))
 
-    def keys(self):
-        """The distinct (shard, context, word) of the tokens that this level asks for."""
-        self.asked = np.flatnonzero((self.context >= 0) & (self.word_id >= 0))
-        context, word = self.context[self.asked], self.word_id[self.asked]
-        spread = np.maximum(1, self.context_count[self.asked] // HOT_COUNT)
-        part = mix(word.astype(np.uint64)) % spread.astype(np.uint64)
-        shard = ((mix(context.astype(np.uint64)) + part) % np.uint64(self.model.shards)).astype(np.int64)
-        key = context * max(1, self.model.types) + word
+    def numbered(self):
+        """(tokens that this level asks for, the number of each one's distinct (shard, context, word)). Sets the distinct ones'
+        first tokens and shards."""
+        asked = np.flatnonzero((self.context >= 0) & (self.word_id >= 0))
+        if len(asked) < 1 << 31:
+            asked = asked.astype(np.int32)
+        key = joint(self.context[asked], self.word_id[asked], self.model.types)
         order = np.argsort(key)
-        sorted_key = key[order]
+        key = key[order]
         new = np.ones(len(key), bool)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        first = order[new]
+        new[1:] = key[1:] != key[:-1]
+        own = asked[order]
+        del key, order, asked
         # the distinct keys by shard; tokens then by the number of their key
-        by_shard = np.argsort(shard[first], kind="stable")
-        place = np.empty(len(first), np.int64)
-        place[by_shard] = np.arange(len(first))
-        self.order, self.number = order, place[np.cumsum(new) - 1]
-        first = first[by_shard]
-        self.key_shard, self.key_context, self.key_word = shard[first], context[first], word[first]
-        self.key_context_count = self.context_count[self.asked][first]
-        self.key_count = np.bincount(self.number, self.train[self.asked][order], len(first)).astype(np.int64)
+        first = own[new]
+        context, word = self.context[first], self.word_id[first]
+        spread = np.maximum(1, self.context_count[first] // HOT_COUNT)
+        part = mix(word.astype(np.uint64)) % spread.astype(np.uint64)
+        shard = ((mix(context.astype(np.uint64)) + part) % np.uint64(self.model.shards)).astype(np.int32)
+        by_shard = np.argsort(shard, kind="stable")
+        place = np.empty(len(first), np.int32)
+        place[by_shard] = np.arange(len(first), dtype=np.int32)
+        self.first, self.shard = first[by_shard], shard[by_shard]
+        return own, place[np.cumsum(new) - 1]
 
     def joined(self, parts: list):
         """(counts, places) of the words from the shards' answers in order."""
@@ -222,9 +232,11 @@ class Resolved:
             for s, a, b in runs(shard):
                 yield s, self.words[a:b].tobytes(), b"", pack_varints(counts[a:b]), b""
             return
-        self.keys()
-        for s, a, b in runs(self.key_shard):
-            context, word = self.key_context[a:b], self.key_word[a:b]
+        own, number = self.numbered()
+        key_count = np.bincount(number, self.train[own], len(self.first)).astype(np.int64)
+        del own, number
+        for s, a, b in runs(self.shard):
+            context, word = self.context[self.first[a:b]], self.word_id[self.first[a:b]].astype(np.int64)
             new = np.ones(b - a, bool)
             new[1:] = context[1:] != context[:-1]
             first = np.flatnonzero(new)
@@ -232,7 +244,7 @@ class Resolved:
             gap[first] = word[first]
             sizes = np.diff(np.append(first, b - a))
             head = pack_varints(np.diff(context[first], prepend=0))
-            yield s, pack_varints(np.array([len(head), len(first)])) + head + pack_varints(sizes), pack_varints(gap), pack_varints(self.key_count[a:b]), pack_varints(self.key_context_count[a:b][first])
+            yield s, pack_varints(np.array([len(head), len(first)])) + head + pack_varints(sizes), pack_varints(gap), pack_varints(key_count[a:b]), pack_varints(self.context_count[self.first[a:b]][first])
 
 
 def runs(shard: np.ndarray):
@@ -342,15 +354,19 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
     """A higher level's shard: built from the training counts, then asked for every segment's keys."""
     rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
     asked = [read_query(r) for r in rows]
-    key = np.concatenate([np.repeat(c, s) * words + w for c, s, w, _, _ in asked])
+    context, word = np.concatenate([np.repeat(c, s) for c, s, _, _, _ in asked]), np.concatenate([w for _, _, w, _, _ in asked])
     count = np.concatenate([n for _, _, _, n, _ in asked])
-    context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])
+    key = joint(context, word, words)
     order = np.flatnonzero(count > 0)
     order = order[np.argsort(key[order])]
-    key, count, context_count = key[order], count[order], context_count[order]
+    key, count = key[order], count[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
     total = np.add.reduceat(count, first) if len(first) else count
-    raw = TrieShard.build(key[first] // words, key[first] % words, total / (context_count[first] + weight), words)
+    own = order[first]
+    context, word = context[own], word[own]
+    context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])[own]
+    del key, order, own, count
+    raw = TrieShard.build(context, word, total / (context_count + weight), words)
     trie = TrieShard(raw)
     answers = []
     for r, (context, sizes, word, _, _) in zip(rows, asked):
@@ -411,14 +427,14 @@ def with_answers(segments: DataFrame, given: DataFrame | None) -> DataFrame:
     return segments.join(lists.hint("shuffle_merge"), "segment", "left").withColumn("answers", F.coalesce("answers", F.expr(f"cast(array() as {kind})")))
 
 
-def resolved_rows(batches, model: Words, weights: dict, levels: int):
+def resolved_rows(batches, model: Words, weights: dict, levels: int, last: bool = False):
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             answers: dict[int, list] = {level: [] for level in range(1, levels + 1)}
             for a in row.pop("answers"):
                 answers[a["level"]].append((a["shard"], a["counts"], a["places"], a["codes"]))
-            yield row, Resolved(row, answers, model, weights)
+            yield row, Resolved(row, answers, model, weights, last)
 
 
 def level_answers(segments: DataFrame, given: DataFrame | None, model: Words, level: int, weights: dict, levels: int, keep: bool) -> DataFrame:
@@ -447,14 +463,14 @@ def final_scores(segments: DataFrame, given: DataFrame, model: Words, weights: d
     levels = max(model.shifts)
 
     def scored(batches):
-        for row, own in resolved_rows(batches, model, weights, levels):
+        for row, own in resolved_rows(batches, model, weights, levels, True):
             first = np.cumsum(own.doc_tokens) - own.doc_tokens
-            base = np.log10((own.count + 1) / (model.n + model.types + 1))
+            base = np.log10((own.counts + 1) / (model.n + model.types + 1))[own.tokens]
             columns = [
                 pa.array(row["doc_ids"], pa.int64()),
                 pa.array(row["held"], pa.bool_()),
                 pa.array(own.doc_tokens),
-                pa.array(np.add.reduceat((own.count > 0).astype(np.int64), first)),
+                pa.array(np.add.reduceat((own.counts > 0)[own.tokens].astype(np.int64), first)),
                 pa.array(np.full(len(first), model.n)),
                 pa.array(np.add.reduceat(base, first)),
                 pa.array(np.add.reduceat(np.log10(own.p), first)),

@@ -1,4 +1,7 @@
-"""Small tables with the awkward rows."""
+"""Small tables with the awkward rows, and formulas that several tests hold results against."""
+
+import collections
+import math
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,3 +38,31 @@ def awkward(spark):
 
 def none(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def trigram_scores(rows, weights):
+    """log10 scores of (held out, tokens with the end) rows, by the docstring of ngram_trie: every context seen in
+    training counts, and a word without a count backs off like any other."""
+    grams = [collections.Counter() for _ in range(3)]
+    after = [collections.Counter() for _ in range(3)]
+    padded = [(held, [None, *x]) for held, x in rows]
+    for held, y in padded:
+        for k in range(1, len(y) if not held else 0):
+            for order in range(min(3, k + 1)):
+                grams[order][tuple(y[k - order : k + 1])] += 1
+                after[order][tuple(y[k - order : k])] += 1
+    n, types = sum(grams[0].values()), len(grams[0])
+    once, twice = (sum(c == k for c in grams[0].values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    out = []
+    for _, y in padded:
+        score = 0.0
+        for k in range(1, len(y)):
+            c = grams[0][(y[k],)]
+            p = (c - d) / n if c else d * types / n
+            for order in range(1, min(3, k + 1)):
+                m, context = weights[order + 1], tuple(y[k - order : k])
+                p = (grams[order][tuple(y[k - order : k + 1])] + m * p) / (after[order][context] + m)
+            score += math.log10(p)
+        out.append(score)
+    return out

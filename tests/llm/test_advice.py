@@ -1,7 +1,6 @@
 """Cases that earlier versions of the dealt operators cut."""
 
 import collections
-import math
 import zlib
 
 import numpy as np
@@ -10,35 +9,13 @@ import pytest
 from groundwell.llm import kd_shards, ngram_trie
 from groundwell.llm.kd_shards import metadata_shards
 from groundwell.llm.sentence_rules import license_digest, license_scan
+from tests.llm.frames import trigram_scores
 
 
 def scores_by_formula(texts, weights):
-    """doc_id to (log10 score, tokens), by the docstring of ngram_trie: every context seen in training counts,
-    and a word without a count backs off like any other."""
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
-    grams = [collections.Counter() for _ in range(3)]
-    after = [collections.Counter() for _ in range(3)]
-    padded = {i: [None, *text.split(), None] for i, text in texts}
-    for i, y in padded.items():
-        for k in range(1, len(y) if not held[i] else 0):
-            for order in range(min(3, k + 1)):
-                grams[order][tuple(y[k - order : k + 1])] += 1
-                after[order][tuple(y[k - order : k])] += 1
-    n, types = sum(grams[0].values()), len(grams[0])
-    once, twice = (sum(c == k for c in grams[0].values()) for k in (1, 2))
-    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    out = {}
-    for i, y in padded.items():
-        score = 0.0
-        for k in range(1, len(y)):
-            c = grams[0][(y[k],)]
-            p = (c - d) / n if c else d * types / n
-            for order in range(1, min(3, k + 1)):
-                m, context = weights[order + 1], tuple(y[k - order : k])
-                p = (grams[order][tuple(y[k - order : k + 1])] + m * p) / (after[order][context] + m)
-            score += math.log10(p)
-        out[i] = (score, len(y) - 1)
-    return out
+    """doc_id to (log10 score, tokens)."""
+    rows = [(zlib.crc32(str(i).encode()) % 7 == 2, [*text.split(), None]) for i, text in texts]
+    return {i: (score, len(x)) for (i, _), (_, x), score in zip(texts, rows, trigram_scores(rows, weights))}
 
 
 def folds(n):
@@ -182,3 +159,12 @@ def test_sources_of_one_prefix_part(spark, monkeypatch, most):
     assert len(got) == 1600 and in_order == sorted(in_order)
     assert set(collections.Counter(in_order)) == set(range(8))
     assert metadata_shards(docs.withColumn("source", docs["source"].substr(99, 1)), 8).count() == 1600
+
+
+def test_keys_of_huge_contexts_stay_apart():
+    """Products beyond 63 bits: contexts are renumbered in their order."""
+    context, word = np.array([5 * 10**10, 1, 5 * 10**10, 3 * 10**10]), np.array([7, 10**9 - 1, 8, 7])
+    key = ngram_trie.joint(context, word, 10**9)
+    assert np.argsort(key).tolist() == [1, 3, 0, 2] and len(set(key.tolist())) == 4 and (key >= 0).all()
+    assert ngram_trie.joint(np.array([2, 3]), np.array([1, 0]), 4).tolist() == [9, 12]
+    assert ngram_trie.joint(np.zeros(0, np.int64), np.zeros(0, np.int64), 4).tolist() == []

@@ -27,7 +27,7 @@ from groundwell.llm.sentence_rules import license_digest, license_scan, match_ru
 from groundwell.llm.vantage_points import fit_tree, linked, near_groups, route, stars
 from groundwell.llm.weak_labels import BAD, GOOD, fit_labellers, pattern_of, score_quality
 from tests.conftest import SMALL
-from tests.llm.frames import awkward, lowered, none
+from tests.llm.frames import awkward, lowered, none, trigram_scores
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -153,28 +153,13 @@ def test_language_model(spark, monkeypatch):
         scores[r["doc_id"]].append(r["score"])
     texts = [(r["doc_id"], re.findall("[^\x20\x09-\x0D]+", lowered(r["text"])) + [None]) for r in docs.collect()]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
-    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, x in texts:
-        if not held[i]:
-            y = [None, *x]
-            c1.update(x)
-            c2.update(zip(y, y[1:]))
-            c3.update(zip(y, y[1:], y[2:]))
+    c1 = collections.Counter(t for i, x in texts if not held[i] for t in x)
     n, v = sum(c1.values()), len(c1)
-    once, twice = (sum(x == k for x in c1.values()) for k in (1, 2))
-    d, m = min(0.9, max(0.1, once / (once + 2 * twice))), ngram_trie.WEIGHTS
     wanted = collections.Counter()
     for i, x in texts:
         base = sum(math.log10((c1[t] + 1) / (n + v + 1)) for t in x)
         wanted[(i, held[i], len(x), sum(c1[t] > 0 for t in x), n, round(base, 4))] += 1
-        y, score = [None, *x], 0.0
-        for k in range(1, len(y)):
-            p = (c1[y[k]] - d) / n if c1[y[k]] else d * v / n
-            if c1[y[k]] and c1[y[k - 1]]:
-                p = (c2[y[k - 1], y[k]] + m[2] * p) / (c1[y[k - 1]] + m[2])
-                if k > 1 and c2[y[k - 2], y[k - 1]] >= 2:
-                    p = (c3[y[k - 2], y[k - 1], y[k]] + m[3] * p) / (c2[y[k - 2], y[k - 1]] + m[3])
-            score += math.log10(p)
+    for (i, x), score in zip(texts, trigram_scores([(held[i], x) for i, x in texts], ngram_trie.WEIGHTS)):
         assert min(abs(s - score) for s in scores[i]) <= 0.016 * len(x)
     assert got == wanted
     assert ngram_trie.score_documents(none(spark)).count() == 0
