@@ -483,5 +483,9 @@ ORACLE = {
 ORACLE |= {
     "retrieval_on_disk": ORACLE["batch_retrieval"],
     "retrieval_every_cell": ORACLE["batch_retrieval"],
+    "retrieval_codes": ORACLE["batch_retrieval"],
+    "retrieval_bounded_cells": ORACLE["batch_retrieval"],
+    "topk_codes": ORACLE["topk_by_category"],
+    "topk_bounded_cells": ORACLE["topk_by_category"],
     "answers_on_disk": ORACLE["public_answers"],
 }

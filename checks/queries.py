@@ -26,12 +26,14 @@ from groundwell.operators.answers import (
     normalize_answers,
     public_answers,
 )
+from groundwell.operators.cell_bounds import bounded_top_k, cell_bounds
 from groundwell.operators.cells import approx_top_k, assign_cells, train_centroids
 from groundwell.operators.chunking import (
     check_chunks,
     chunk_fixed_width,
     documents_without_chunks,
 )
+from groundwell.operators.codes import certified_top_k, code_rows
 from groundwell.operators.context import (
     answer_without_evidence,
     build_prompts,
@@ -48,9 +50,9 @@ from groundwell.operators.embedding import (
 )
 from groundwell.operators.reports import grounding_report, search_usage
 from groundwell.operators.similarity import top_k, top_k_single
-from groundwell.plans.answer import answer_questions, retrieve
+from groundwell.plans.answer import HIT_KEYS, answer_questions, retrieve
 from groundwell.plans.ingest import ingest, ingest_summary, prepare
-from groundwell.session import work_path
+from groundwell.session import staged, work_path
 from groundwell.sources.documents import list_documents, read_documents, read_table, spread
 from groundwell.sources.store import (
     append_chunks,
@@ -332,6 +334,23 @@ def topk_grid(spark, sf_dir) -> DataFrame:
     return found.select(*HIT_VIEW)
 
 
+def topk_codes(spark, sf_dir) -> DataFrame:
+    """The same questions by way of one-byte codes, candidates ranked by their vectors."""
+    store, asked = frames.vector_store(spark, sf_dir), _filtered_questions(spark, sf_dir)
+    return certified_top_k(store, staged(code_rows(store), "codes"), asked).select(*HIT_VIEW)
+
+
+def topk_bounded_cells(spark, sf_dir) -> DataFrame:
+    """The same questions over cells, each question's visit ended by the cells' bounds."""
+    store, asked = frames.vector_store(spark, sf_dir), _filtered_questions(spark, sf_dir)
+    centroids, path = train_centroids(store, 16), work_path(spark, "cells")
+    celled = assign_cells(store, centroids)
+    write_cells(celled, path)
+    stored = read_cells(spark, path, celled.schema)
+    found = bounded_top_k(stored, asked, centroids, staged(cell_bounds(stored, centroids), "bounds"))
+    return found.select(*HIT_VIEW)
+
+
 def topk_single_query(spark, sf_dir) -> DataFrame:
     """One question, the first vector, against its own category."""
     store = frames.vector_store(spark, sf_dir).withColumn("chunk_text", F.lit(None).cast("string"))
@@ -394,6 +413,25 @@ def retrieval_every_cell(spark, sf_dir) -> DataFrame:
     return retrieve(stored, frames.searches(spark, sf_dir), settings).hits
 
 
+def retrieval_codes(spark, sf_dir) -> DataFrame:
+    """The same hits from a saved store by way of its code table."""
+    store = frames.saved_store(spark, sf_dir)
+    codes = staged(code_rows(store, (*HIT_KEYS, "bucket")), "codes")
+    return retrieve(store, frames.searches(spark, sf_dir), SEARCH._replace(codes=codes)).hits
+
+
+def retrieval_bounded_cells(spark, sf_dir) -> DataFrame:
+    """The same hits from the cells of a saved store, visits ended by the cells' bounds."""
+    store, path = frames.saved_store(spark, sf_dir), work_path(spark, "cells")
+    centroids = train_centroids(store, 8)
+    celled = assign_cells(store, centroids)
+    write_cells(celled, path)
+    stored = read_cells(spark, path, celled.schema)
+    bounds = staged(cell_bounds(stored, centroids), "bounds")
+    settings = SEARCH._replace(centroids=centroids, bounds=bounds)
+    return retrieve(stored, frames.searches(spark, sf_dir), settings).hits
+
+
 def _gathered(spark, sf_dir) -> DataFrame:
     found = retrieve(frames.store(spark, sf_dir), frames.searches(spark, sf_dir), SEARCH)
     return with_hits(found.questions, found.hits)
@@ -540,6 +578,10 @@ QUERIES = {
     "topk_by_category": topk_by_category,
     "topk_grid": topk_grid,
     "topk_single": topk_single_query,
+    "topk_codes": topk_codes,
+    "topk_bounded_cells": topk_bounded_cells,
+    "retrieval_codes": retrieval_codes,
+    "retrieval_bounded_cells": retrieval_bounded_cells,
     "topk_with_floor": topk_with_floor,
     "topk_approx": topk_approx,
     "topk_approx_every_cell": topk_approx_every_cell,

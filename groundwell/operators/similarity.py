@@ -188,13 +188,13 @@ class QuestionBlock:
         )
 
 
-def question_blocks(table: pa.Table, keys: int) -> list[QuestionBlock]:
+def question_blocks(table: pa.Table, keys: int, kind: type = QuestionBlock) -> list[QuestionBlock]:
     """One block per vector width, so that a question meets the rows of its own width whatever
     other questions share its pass."""
     widths = table.column("vector").combine_chunks().value_lengths()
     known = [width for width in pc.unique(widths).to_pylist() if width]
     parts = [table.filter(pc.equal(widths, width)) for width in known]
-    return [QuestionBlock(part, keys) for part in parts or [table.slice(0, 0)]]
+    return [kind(part, keys) for part in parts or [table.slice(0, 0)]]
 
 
 def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
@@ -247,8 +247,9 @@ def _row_bytes(asked: DataFrame) -> Column:
     return sum(sizes, F.lit(64) + F.coalesce(F.octet_length("category"), F.lit(0)))
 
 
-def merge_candidates(candidates: DataFrame, keys, most: int) -> DataFrame:
-    """TOP-1/TOP-2: merges partial lists to `rank` 1..top_k per question.
+def merge_candidates(candidates: DataFrame, keys, most: int, scored: bool = False) -> DataFrame:
+    """TOP-1/TOP-2: merges partial lists to `rank` 1..top_k per question; `scored` keeps top_k and the score, so that
+    the lists can be merged with others.
 
     Ordered by the score at nine decimals, ties by record id. The first cut works on slices of a
     question's rows; the constant bound lets Spark prune before each shuffle.
@@ -267,16 +268,46 @@ def merge_candidates(candidates: DataFrame, keys, most: int) -> DataFrame:
             "rank",
             *keys,
             F.round(similarity(F.lit(1.0) - F.col("score")), ROUND_OUT).alias("similarity"),
+            *(("top_k", "score") if scored else ()),
         )
     )
 
 
+def list_schema(questions: DataFrame, keys) -> T.StructType:
+    """Rows that a scan task hands on."""
+    fields = [("query_id", questions.schema["query_id"].dataType), ("top_k", T.IntegerType())]
+    fields += [(key, T.LongType()) for key in keys] + [("score", T.DoubleType())]
+    return T.StructType([T.StructField(*field) for field in fields])
+
+
+def in_passes(asked: DataFrame, pass_questions: int, search) -> DataFrame:
+    """Measures the questions, deals them into passes and runs search(questions, their Arrow table, the largest top_k),
+    which returns (found rows, the broadcast), for each."""
+    n, held, most = asked.agg(
+        F.count("*"), F.coalesce(F.sum(_row_bytes(asked)), F.lit(0)), F.max("top_k")
+    ).first()
+    most = most or DEFAULT_TOP_K
+    passes = max(1, -(-n // pass_questions), -(-held // PASS_BYTES))
+    if passes == 1:
+        return search(asked, asked.toArrow(), most)[0]
+    dealt = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    dealt = staged(dealt, "asked")
+    path = work_path(asked.sparkSession, "passes")
+    for number in range(passes):
+        part = dealt.where(F.col("pass") == number).drop("pass")
+        found, shared = search(part, part.toArrow(), most)
+        found.write.parquet(f"{path}/pass={number}")
+        shared.destroy()
+    return asked.sparkSession.read.schema(found.schema).parquet(path).select(*found.columns)
+
+
 def top_k(
     store: DataFrame,
     questions: DataFrame,
     keys=("record_id",),
     tasks: int | None = None,
     pass_questions: int = PASS_QUESTIONS,
+    scored: bool = False,
 ) -> DataFrame:
     """JN-1, TOP-1, TOP-2, FLT-5, FLT-6: (query_id, rank, *keys, similarity).
 
@@ -288,29 +319,16 @@ def top_k(
     `pass_questions`: about how many questions one scan of the store takes. The questions are
     measured first; where they need several passes, these run one after another, each writes its
     lists to the work folder and gives its broadcast back.
+    `scored`: adds the columns top_k and score.
     """
     asked = with_defaults(questions)
-    fields = [("query_id", questions.schema["query_id"].dataType), ("top_k", T.IntegerType())]
-    fields += [(key, T.LongType()) for key in keys] + [("score", T.DoubleType())]
-    schema = T.StructType([T.StructField(*field) for field in fields])
-    n, held, most = asked.agg(
-        F.count("*"), F.coalesce(F.sum(_row_bytes(asked)), F.lit(0)), F.max("top_k")
-    ).first()
-    most = most or DEFAULT_TOP_K
-    passes = max(1, -(-n // pass_questions), -(-held // PASS_BYTES))
-    if passes == 1:
-        part, _ = _scan(store, asked.toArrow(), keys, schema, tasks)
-        return merge_candidates(part, keys, most)
-    dealt = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
-    dealt = staged(dealt, "asked")
-    path = work_path(store.sparkSession, "passes")
-    for number in range(passes):
-        block = dealt.where(F.col("pass") == number).drop("pass").toArrow()
+    schema = list_schema(questions, keys)
+
+    def search(_, block, most):
         part, shared = _scan(store, block, keys, schema, tasks)
-        found = merge_candidates(part, keys, most)
-        found.write.parquet(f"{path}/pass={number}")
-        shared.destroy()
-    return store.sparkSession.read.schema(found.schema).parquet(path).select(*found.columns)
+        return merge_candidates(part, keys, most, scored), shared
+
+    return in_passes(asked, pass_questions, search)
 
 
 def top_k_single(

@@ -13,7 +13,9 @@ from groundwell.operators.answers import (
     generate_with,
     normalize_answers,
 )
+from groundwell.operators.cell_bounds import bounded_top_k
 from groundwell.operators.cells import approx_top_k
+from groundwell.operators.codes import certified_top_k
 from groundwell.operators.context import (
     answer_without_evidence,
     build_prompts,
@@ -37,8 +39,10 @@ HIT_KEYS = ("record_id", "doc_id", "chunk_index")
 class SearchSettings(NamedTuple):
     """The embedder must be the one the store was built with.
 
-    With `centroids` the search is approximate over the store's `cell` column. `generator` None is
-    the built-in extractive one.
+    With `centroids` the search is approximate over the store's `cell` column, and with their cell_bounds as
+    `bounds` exact. With `codes`, the store's
+    code_rows by the keys of a hit, it is exact by way of these. `generator` None is the built-in extractive
+    one.
     """
 
     embedder: Callable | None = None
@@ -47,6 +51,8 @@ class SearchSettings(NamedTuple):
     centroids: DataFrame | None = None
     breadth: int = SEARCH_BREADTH
     population: DataFrame | None = None
+    bounds: DataFrame | None = None
+    codes: DataFrame | None = None
     scan_tasks: int | None = None
     max_context_chars: int = MAX_CONTEXT_CHARS
     generator: Callable | None = None
@@ -89,8 +95,14 @@ def retrieve(
     accepted, refused = split_admitted(check_requests(requests))
     embedded = staged(embed_questions(accepted, settings), "questions")
     asked, unusable = split_admitted(embedded)
-    if settings.centroids is None:
+    if settings.codes is not None:
+        hits = certified_top_k(store, settings.codes, asked, keys, settings.scan_tasks)
+    elif settings.centroids is None:
         hits = top_k(store, asked, keys, settings.scan_tasks)
+    elif settings.bounds is not None:
+        hits = bounded_top_k(
+            store, asked, settings.centroids, settings.bounds, keys, settings.scan_tasks
+        )
     else:
         hits = approx_top_k(
             store,
