@@ -355,22 +355,29 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
     rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
     asked = [read_query(r) for r in rows]
     context, word = np.concatenate([np.repeat(c, s) for c, s, _, _, _ in asked]), np.concatenate([w for _, _, w, _, _ in asked])
-    count = np.concatenate([n for _, _, _, n, _ in asked])
     key = joint(context, word, words)
-    order = np.flatnonzero(count > 0)
-    order = order[np.argsort(key[order])]
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
-    total = np.add.reduceat(count, first) if len(first) else count
-    own = order[first]
-    context, word = context[own], word[own]
-    context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])[own]
-    del key, order, own, count
-    raw = TrieShard.build(context, word, total / (context_count + weight), words)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(len(key), np.int32 if len(key) < 1 << 31 else np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    total = np.add.reduceat(np.concatenate([n for _, _, _, n, _ in asked])[order], np.flatnonzero(new)) if len(key) else key
+    del key, order, new
+    # the distinct keys of all segments, of which those with a count are in the trie
+    context, word = context[first], word[first]
+    context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])[first]
+    own = np.flatnonzero(total > 0)
+    total = total[own]
+    raw = TrieShard.build(context[own], word[own], total / (context_count[own] + weight), words)
     trie = TrieShard(raw)
-    answers = []
-    for r, (context, sizes, word, _, _) in zip(rows, asked):
-        place = trie.find(context, sizes, word)
+    names, begin = np.unique(context, return_index=True)
+    places = trie.find(names, np.diff(np.append(begin, len(context))), word)
+    answers, at = [], 0
+    for r, (_, _, own, _, _) in zip(rows, asked):
+        place = places[number[at : at + len(own)]]
+        at += len(own)
         hit = np.flatnonzero(place >= 0)
         codes = np.full(len(place), UNSEEN, np.uint16)
         codes[hit] = trie.codes[place[hit]]
