@@ -66,6 +66,27 @@ STORE = T.StructType(
     ]
 )
 
+# Its files, with the number of the save that wrote a row; the keys that saves retire; the saves that count.
+STORE_FILES = T.StructType([*STORE.fields[:-1], T.StructField("save", T.LongType()), STORE.fields[-1]])
+
+RETIRED = T.StructType(
+    [
+        T.StructField("category", T.StringType()),
+        T.StructField("text_key", T.StringType()),
+        T.StructField("save", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+
+COMMITS = T.StructType(
+    [
+        T.StructField("save", T.LongType()),
+        T.StructField("inserted", T.LongType()),
+        T.StructField("replaced", T.LongType()),
+        T.StructField("buckets", T.ArrayType(T.IntegerType())),
+    ]
+)
+
 REJECTS = T.StructType(
     [
         T.StructField("stage", T.StringType()),

@@ -5,8 +5,16 @@ category is read from a few neighbouring buckets, while even a category that hol
 store is spread over many of them; rows that may replace each other always share a bucket. Files
 are rebalanced by size on the way in, so a hot bucket becomes several files and a small one stays
 a single file, and rows are sorted by category for Parquet's own statistics.
+
+Saves are merged on read and rewrite no file. A save appends its rows under its number to the store, the keys of the rows
+it replaces to `<path>-retired`, and at last one row to `<path>-commits`. A reader takes the rows of committed saves
+that no later committed save has retired. A save that breaks off is in no commit, so nobody sees any of it. `compact` writes
+the live rows of buckets anew under a number below which these buckets hold nothing more; `vacuum` deletes the
+files left over. One writer at a time.
 """
 
+import secrets
+
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -15,8 +23,8 @@ from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import l2_norm
 from groundwell.operators.cells import cell_population
-from groundwell.schemas import STORE
-from groundwell.session import broadcast_if_small
+from groundwell.schemas import COMMITS, RETIRED, STORE, STORE_FILES
+from groundwell.session import broadcast_if_small, staged
 
 MATCH = ["category", "text_key"]
 STORE_KEY = ("record_id", "doc_id", "chunk_index")
@@ -67,39 +75,103 @@ def store_rows(chunks: DataFrame, layout: Layout = Layout(), extra=()) -> DataFr
     )
 
 
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of the store; one that was never written reads as empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def retired_path(path: str) -> str:
+    return f"{path.rstrip('/')}-retired"
+
+
+def commits_path(path: str) -> str:
+    return f"{path.rstrip('/')}-commits"
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """(save, inserted, replaced, buckets) per committed save or compaction; `buckets` are those a compaction renewed."""
+    return _table(spark, commits_path(path), COMMITS)
+
+
+def renewed_buckets(log: list) -> dict[int, int]:
+    """Bucket -> the number of its last compaction; at most one entry per bucket of the layout."""
+    found: dict[int, int] = {}
+    for r in log:
+        for bucket in r["buckets"] or []:
+            found[bucket] = max(found.get(bucket, 0), r["save"])
+    return found
+
+
 def read_store(
     spark: SparkSession, path: str, category: str | None = None, layout: Layout = Layout()
 ) -> DataFrame:
-    """SRC-4: the store with its fixed schema; a category prunes buckets and is pushed down.
+    """SRC-4: the live rows with their fixed schema; a category prunes buckets and is pushed down.
 
-    A blank category is no filter. A store that was never written reads as empty.
+    A blank category is no filter. A store that was never written reads as empty. The commits are read first,
+    so that a save during the read is seen whole or not at all. Retired keys are joined by the size of their files: as
+    a broadcast while they are small, and `compact` keeps them so.
     """
-    try:
-        store = spark.read.schema(STORE).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        store = spark.createDataFrame([], STORE)
+    log = read_commits(spark, path).collect()  # one small row a save
+    retired = _table(spark, retired_path(path), RETIRED)
+    rows = _table(spark, path, STORE_FILES)
+    rows = rows.withColumn("save", F.coalesce("save", F.lit(0)))
     if category is not None and category.strip():
         name = category.strip()
-        store = store.where(layout.holds(name) & (F.col("category") == name))
-    return store
-
-
-def _write(rows: DataFrame, path: str, mode: str) -> None:
+        own = layout.holds(name) & (F.col("category") == name)
+        rows, retired = rows.where(own), retired.where(own)
+    return live_rows(rows, retired, log).select(*STORE.names)
+
+
+def live_rows(rows: DataFrame, retired: DataFrame, log: list) -> DataFrame:
+    """The rows of committed saves, without those that a later one retired or a compaction renewed. Rows appended outside a save
+    have the number 0 and count as committed."""
+    if not log:
+        return rows.where("save = 0")
+    spark = rows.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(0,), *((r["save"],) for r in log)], "save long"))
+    live = rows.join(seen, "save", "left_semi")
+    renewed = renewed_buckets(log)
+    if renewed:
+        since = spark.createDataFrame(list(renewed.items()), "bucket int, since long")
+        live = live.join(F.broadcast(since), "bucket", "left").where("since IS NULL OR save >= since").drop("since")
+    if all(not r["replaced"] for r in log):
+        return live
+    gone = retired.join(seen, "save", "left_semi").alias("gone")
+    own = live.alias("own")
+    same = [F.col(f"own.{c}") == F.col(f"gone.{c}") for c in ("bucket", *MATCH)]
+    return own.join(gone, [*same, F.col("gone.save") > F.col("own.save")], "left_anti")
+
+
+def next_save(log: list) -> int:
+    """A number above all committed ones. Its lower half is random: the rows of a broken save never
+    come to light under the number of a later one."""
+    last = max((r["save"] for r in log), default=0)
+    return ((last >> 31) + 1 << 31) + secrets.randbelow(1 << 31)
+
+
+def _commit(spark: SparkSession, path: str, save: int, inserted: int, replaced: int, buckets=None) -> None:
+    row = spark.createDataFrame([(save, inserted, replaced, buckets)], COMMITS)
+    row.coalesce(1).write.mode("append").parquet(commits_path(path))
+
+
+def _write(rows: DataFrame, path: str) -> None:
     (
         rows.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "category")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("bucket")
         .parquet(path)
     )
 
 
-def append_chunks(rows: DataFrame, path: str) -> None:
-    """SNK-1: appends store rows."""
-    _write(rows, path, "append")
+def append_chunks(rows: DataFrame, path: str, save: int = 0) -> None:
+    """SNK-1: appends store rows; those of a save are seen once it is committed."""
+    _write(rows.withColumn("save", F.lit(save).cast("long")), path)
 
 
 def keys_of(incoming: DataFrame, *more: str) -> DataFrame:
@@ -155,7 +227,8 @@ def save_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     ends = incoming.agg(F.percentile_approx("doc_id", shares)).first()[0] or []
     bounds = F.array(*(F.lit(end) for end in sorted(set(ends)))).cast("array<bigint>")
     part = F.size(F.filter(bounds, lambda end: end < F.col("doc_id")))
-    brought = brought.withColumn("part", part)
+    # staged: read by both sides of the join below
+    brought = staged(brought.withColumn("part", part), "brought")
     in_part = Window.partitionBy(*MATCH, "part").orderBy("doc_id")
     stored = replaced_rows(store, incoming).groupBy(*MATCH).agg(F.count("*").alias("n"))
     slices = (
@@ -190,28 +263,81 @@ def replace_and_insert(
 ) -> SaveResult:
     """SNK-2 on disk. `incoming` holds store rows and is read several times: pass a staged table.
 
-    Buckets where something is replaced are rewritten whole; everything else is appended, so a
-    batch of new documents rewrites nothing. What is collected is one count per bucket. One writer
-    at a time. Running the same batch again gives the same store, which is also how an interrupted
-    run is completed. `sizes` are the bucket_sizes of the batch, where they are known.
+    Rewrites nothing: the rows are appended, the keys of what they replace are noted, and one commit makes both
+    count. Only the batch's buckets are read, and of them keys alone. Running the same batch again gives the
+    same store, which is also how an interrupted run is completed. `sizes` are the bucket_sizes of
+    the batch, where they are known.
     """
     sizes = bucket_sizes(incoming) if sizes is None else sizes
     if not sizes:
         return SaveResult(0, 0)
+    save = next_save(read_commits(spark, path).collect())
     arriving = last_requests(incoming)
     keys = keys_of(incoming, "bucket")
     store = read_store(spark, path, layout=layout).where(F.col("bucket").isin(list(sizes)))
     replaced = store.select("bucket", *MATCH).join(keys, ["bucket", *MATCH], "left_semi")
-    touched = {r["bucket"]: r["count"] for r in replaced.groupBy("bucket").count().collect()}
-    in_touched = F.col("bucket").isin(list(touched))
+    retired = staged(replaced.groupBy("bucket", *MATCH).agg(F.count("*").alias("n")), "retired")
+    dropped = retired.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = sum(sizes.values())
     overtaken = 0 if arriving is incoming else total - arriving.count()
-    if touched:
-        kept = store.where(in_touched).join(keys, ["bucket", *MATCH], "left_anti")
-        _write(kept.select(*store.columns).unionByName(arriving.where(in_touched)), path, "overwrite")
-    if sizes.keys() - touched.keys():
-        _write(arriving.where(~in_touched), path, "append")
-    return SaveResult(total, sum(touched.values()) + overtaken)
+    if dropped:
+        _write(retired.select("bucket", *MATCH, F.lit(save).cast("long").alias("save")), retired_path(path))
+    append_chunks(arriving, path, save)
+    _commit(spark, path, save, total, dropped + overtaken)
+    return SaveResult(total, dropped + overtaken)
+
+
+def dead_shares(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, stored, live): what compaction would drop, without reading more than keys. Rows that a compaction has
+    renewed are not counted; they are for `vacuum`."""
+    rows = _table(spark, path, STORE_FILES).withColumn("save", F.coalesce("save", F.lit(0)))
+    log = [{"save": r["save"], "buckets": r["buckets"], "replaced": 0} for r in read_commits(spark, path).collect()]
+    stored = live_rows(rows, rows, log).groupBy("bucket").agg(F.count("*").alias("stored"))
+    live = read_store(spark, path).groupBy("bucket").agg(F.count("*").alias("live"))
+    return stored.join(live, "bucket", "left").select("bucket", "stored", F.coalesce("live", F.lit(0)).alias("live"))
+
+
+def compact(spark: SparkSession, path: str, dead: float = 0.2, buckets: list[int] | None = None) -> list[int]:
+    """Writes the live rows of buckets anew, by default of those in which more than the share `dead` of the stored rows is
+    no longer live, and returns these buckets. Readers see the same rows before, during and after; the old files stay
+    until `vacuum`."""
+    if buckets is None:
+        shares = dead_shares(spark, path).where(F.col("live") < F.col("stored") * F.lit(1 - dead))
+        buckets = [r["bucket"] for r in shares.select("bucket").collect()]  # at most one per bucket
+    if not buckets:
+        return []
+    save = next_save(read_commits(spark, path).collect())
+    append_chunks(read_store(spark, path).where(F.col("bucket").isin(buckets)), path, save)
+    _commit(spark, path, save, 0, 0, sorted(buckets))
+    return sorted(buckets)
+
+
+def left_over_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) names of store files none of whose rows can be live again: from before their bucket's compaction, or of saves
+    that broke off before the last commit."""
+    log = read_commits(spark, path).collect()
+    last = max((r["save"] for r in log), default=0)
+    since = spark.createDataFrame(list(renewed_buckets(log).items()), "bucket int, since long")
+    seen = spark.createDataFrame([(0, True), *((r["save"], True) for r in log)], "save long, committed boolean")
+    rows = _table(spark, path, STORE_FILES)
+    if not log:
+        return rows.select(F.lit("").alias("file")).limit(0)
+    rows = rows.select("bucket", F.coalesce("save", F.lit(0)).alias("save"), F.col("_metadata.file_path").alias("file"))
+    # a file holds rows of one save and one bucket
+    files = rows.groupBy("file").agg(F.max("save").alias("save"), F.max("bucket").alias("bucket"))
+    files = files.join(F.broadcast(since), "bucket", "left").join(F.broadcast(seen), "save", "left")
+    broken = F.col("committed").isNull() & (F.shiftright("save", 31) <= last >> 31)
+    return files.where((F.col("save") < F.col("since")) | broken).select("file")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Deletes the left-over files; no reader may still be at work on them. Returns their number."""
+    names = [r["file"] for r in left_over_files(spark, path).collect()]
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, False)
+    return len(names)
 
 
 def store_audit(store: DataFrame) -> DataFrame:

@@ -4,18 +4,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.schemas import STORE
+from groundwell.sources import store as S
 from groundwell.sources.store import (
     Layout,
     SaveResult,
     append_chunks,
+    compact,
+    dead_shares,
     last_requests,
+    left_over_files,
     merged_store,
+    read_commits,
     read_store,
     replace_and_insert,
     replaced_rows,
     save_counts,
     store_audit,
     store_rows,
+    vacuum,
 )
 from tests.conftest import plan_of
 
@@ -171,3 +177,79 @@ def test_one_outlying_id_leaves_the_slices_even(spark, tmp_path):
     incoming = rows_of(spark, [(doc, "a", ["same"]) for doc in docs])
     counts = save_counts(rows_of(spark, []), incoming).collect()
     assert {r["doc_id"]: r["chunks_replaced"] for r in counts} == {d: int(d != 1) for d in docs}
+
+
+def files_of(path):
+    """Every file of the store and the tables beside it, with its bytes."""
+    return {f: f.read_bytes() for f in path.parent.rglob("*.parquet")}
+
+
+def test_sending_a_document_again_rewrites_no_file(spark, tmp_path):
+    path = tmp_path / "store"
+    replace_and_insert(spark, str(path), rows_of(spark, [(1, "a", list("pqrs")), (2, "b", list("pq"))]), LAYOUT)
+    before = files_of(path)
+    assert replace_and_insert(spark, str(path), rows_of(spark, [(1, "a", list("pqrs"))]), LAYOUT) == SaveResult(4, 4)
+    after = files_of(path)
+    assert before.items() < after.items()
+    assert content(read_store(spark, str(path), layout=LAYOUT)) == [("a", t, 1) for t in "pqrs"] + [("b", t, 2) for t in "pq"]
+
+
+@pytest.mark.parametrize("step", ["append_chunks", "_commit"])
+def test_a_broken_save_changes_no_read(spark, tmp_path, monkeypatch, step):
+    """It stops before its rows are written, or with rows and retired keys written and no commit."""
+    path = str(tmp_path / "store")
+    replace_and_insert(spark, path, rows_of(spark, [(1, "a", ["p", "q"])]), LAYOUT)
+    before = content(read_store(spark, path, layout=LAYOUT))
+
+    def broken(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(S, step, broken)
+        with pytest.raises(RuntimeError):
+            replace_and_insert(spark, path, rows_of(spark, [(2, "a", ["p", "z"])]), LAYOUT)
+    assert content(read_store(spark, path, layout=LAYOUT)) == before
+    assert read_commits(spark, path).count() == 1
+    assert replace_and_insert(spark, path, rows_of(spark, [(2, "a", ["p", "z"])]), LAYOUT) == SaveResult(2, 1)
+    assert content(read_store(spark, path, layout=LAYOUT)) == [("a", "p", 2), ("a", "q", 1), ("a", "z", 2)]
+    left = left_over_files(spark, path).count()
+    assert left == (0 if step == "append_chunks" else vacuum(spark, path)) and (step == "append_chunks" or left > 0)
+    assert content(read_store(spark, path, layout=LAYOUT)) == [("a", "p", 2), ("a", "q", 1), ("a", "z", 2)]
+
+
+def test_compaction_keeps_every_live_row(spark, tmp_path):
+    path, model = str(tmp_path / "store"), OneByOne()
+    append_chunks(rows_of(spark, [(0, "x", ["a", "old"])]), path)
+    model.save(0, "x", ["a", "old"])
+    for batch in batches(5):
+        replace_and_insert(spark, path, rows_of(spark, batch), LAYOUT)
+        for doc, category, texts in batch:
+            model.save(doc, category, texts)
+    shares = {r["bucket"]: (r["stored"], r["live"]) for r in dead_shares(spark, path).collect()}
+    assert sum(live for _, live in shares.values()) == len(model.rows) < sum(n for n, _ in shares.values())
+    renewed = compact(spark, path, 0.0)
+    assert renewed == sorted(b for b, (n, live) in shares.items() if live < n)
+    assert content(read_store(spark, path, layout=LAYOUT)) == model.content()
+    assert vacuum(spark, path) > 0 and left_over_files(spark, path).count() == 0
+    assert content(read_store(spark, path, layout=LAYOUT)) == model.content()
+    assert {b: v for b, v in shares.items() if b not in renewed and v[0] != v[1]} == {}
+    assert all(r["stored"] == r["live"] for r in dead_shares(spark, path).collect())
+    assert compact(spark, path) == []
+    # saves go on after it
+    batch = [(10**6, "hot", ["a", "new"]), (10**6 + 1, "x", ["old"])]
+    replace_and_insert(spark, path, rows_of(spark, batch), LAYOUT)
+    for doc, category, texts in batch:
+        model.save(doc, category, texts)
+    assert content(read_store(spark, path, layout=LAYOUT)) == model.content()
+
+
+def test_retired_keys_are_read_by_bucket_too(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for _ in range(2):
+        replace_and_insert(spark, path, rows_of(spark, [(i, f"c{i % 7}", [f"t{i}"]) for i in range(40)]), LAYOUT)
+    scan = read_store(spark, path, "c3", LAYOUT).select("record_id")
+    assert scan.count() == 6
+    plan = plan_of(scan)
+    assert plan.count("bucket") and "embedding" not in plan and "SortMergeJoin" not in plan
+    filters = [part.split("], ")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert len([f for f in filters if "bucket" in f]) >= 2
