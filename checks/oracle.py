@@ -221,7 +221,7 @@ visits AS MATERIALIZED (
   SELECT z.query_id, z.cell FROM sizes z JOIN centroids c USING (cell)
   QUALIFY sum(z.n) OVER (PARTITION BY z.query_id ORDER BY
     round(list_cosine_similarity(z.vector::DOUBLE[], c.centroid::DOUBLE[]), 9) DESC, z.cell) - z.n
-    < greatest(100, z.top_k))"""
+    < greatest((SELECT ceil(count(*) * 0.7) FROM s), z.top_k))"""
 
 TEXT_VECTORS = ",\n".join(
     [
@@ -484,6 +484,8 @@ ORACLE |= {
     "retrieval_on_disk": ORACLE["batch_retrieval"],
     "retrieval_every_cell": ORACLE["batch_retrieval"],
     "retrieval_codes": ORACLE["batch_retrieval"],
+    "retrieval_in_categories": ORACLE["batch_retrieval"]
+    + " WHERE query_id IN (SELECT query_id FROM requests WHERE trim(category) <> '')",
     "retrieval_bounded_cells": ORACLE["batch_retrieval"],
     "topk_codes": ORACLE["topk_by_category"],
     "topk_bounded_cells": ORACLE["topk_by_category"],

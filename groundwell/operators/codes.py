@@ -29,6 +29,7 @@ from groundwell.operators.similarity import (
     in_passes,
     list_schema,
     merge_candidates,
+    of_categories,
     question_blocks,
     unit_rows,
     with_defaults,
@@ -208,6 +209,7 @@ def certified_top_k(
     keys=("record_id",),
     tasks: int | None = None,
     pass_questions: int = PASS_QUESTIONS,
+    buckets=None,
 ) -> DataFrame:
     """TOP-3: the rows of similarity.top_k, found by way of the store's code table (code_rows with the same keys).
 
@@ -220,7 +222,7 @@ def certified_top_k(
     scores = T.StructType(lists.fields[:-1]).add("min_similarity", "double").add("score", "double")
 
     def search(part, block, most):
-        found, shared = scan_codes(codes, block, keys, ends, tasks)
+        found, shared = scan_codes(of_categories(codes, block, buckets), block, keys, ends, tasks)
         left = staged(survivors(found, keys, most), "survivors")
         rows = store.select(*(F.col(k).cast("long").alias(k) for k in keys), "embedding")
         if "bucket" in keys:

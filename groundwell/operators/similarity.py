@@ -41,6 +41,8 @@ BLOCK_QUESTIONS = 512
 MERGE_SLICES = 64
 # Pairs that wait before the lists are cut; ties and low floors cannot hold more than a block above.
 PENDING_PAIRS = 1_000_000
+# So many category names are pushed to the scan as they are, more of them as their range.
+LITERAL_NAMES = 16
 
 
 def with_defaults(questions: DataFrame) -> DataFrame:
@@ -214,14 +216,37 @@ def _meet_batch(block: QuestionBlock, batch: pa.RecordBatch, keys) -> None:
     block.meet(matrix, key_columns, values("category"), values("cell"))
 
 
-def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks):
+def of_categories(store: DataFrame, block: pa.Table, buckets=None) -> DataFrame:
+    """The store's rows of the categories asked for, where every question of the pass names one.
+
+    Names are joined as a broadcast, which the pass bounds; the scan gets a few of them as literals and many as their
+    range. With `buckets`, the array of buckets that may hold a category, the store is also joined to these: Spark then
+    prunes its directories at run time, however many categories there are.
+    """
+    if not block.num_rows or block.column("category").null_count:
+        return store
+    spark, names = store.sparkSession, pc.unique(block.column("category"))
+    if len(names) <= LITERAL_NAMES:
+        store = store.where(F.col("category").isin(names.to_pylist()))
+    else:
+        ends = pc.min_max(names).as_py()
+        store = store.where(F.col("category").between(ends["min"], ends["max"]))
+    named = spark.createDataFrame(pa.table({"category": names}))
+    if len(names) > LITERAL_NAMES:
+        store = store.join(F.broadcast(named), "category", "left_semi")
+    if buckets is None or "bucket" not in store.columns:
+        return store
+    # a table with a filter on it is what Spark's dynamic partition pruning looks for
+    held = staged(named.select(F.explode(buckets(F.col("category"))).alias("bucket")).distinct(), "buckets")
+    return store.join(F.broadcast(held.where("bucket >= 0")), "bucket", "left_semi")
+
+
+def _scan(store: DataFrame, block: pa.Table, keys, schema: T.StructType, tasks, buckets=None):
     """(partial top-k per task, the broadcast) of the questions of one pass."""
     names = list(keys) + ["embedding"]
     if block.column("category").null_count < block.num_rows:
         names.append("category")
-    if not block.column("category").null_count:
-        named = pc.unique(block.column("category")).to_pylist()
-        store = store.where(F.col("category").isin(named))
+    store = of_categories(store, block, buckets)
     if "cells" in block.column_names:
         names.append("cell")
         probed = pc.unique(block.column("cells").combine_chunks().flatten()).to_pylist()
@@ -308,6 +333,7 @@ def top_k(
     tasks: int | None = None,
     pass_questions: int = PASS_QUESTIONS,
     scored: bool = False,
+    buckets=None,
 ) -> DataFrame:
     """JN-1, TOP-1, TOP-2, FLT-5, FLT-6: (query_id, rank, *keys, similarity).
 
@@ -320,12 +346,13 @@ def top_k(
     measured first; where they need several passes, these run one after another, each writes its
     lists to the work folder and gives its broadcast back.
     `scored`: adds the columns top_k and score.
+    `buckets`: the store layout's buckets_of, for a store with a `bucket` column.
     """
     asked = with_defaults(questions)
     schema = list_schema(questions, keys)
 
     def search(_, block, most):
-        part, shared = _scan(store, block, keys, schema, tasks)
+        part, shared = _scan(store, block, keys, schema, tasks, buckets)
         return merge_candidates(part, keys, most, scored), shared
 
     return in_passes(asked, pass_questions, search)

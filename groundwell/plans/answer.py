@@ -32,6 +32,7 @@ from groundwell.schemas import (
     SEARCH_BREADTH,
 )
 from groundwell.session import staged
+from groundwell.sources.store import Layout
 
 HIT_KEYS = ("record_id", "doc_id", "chunk_index")
 
@@ -41,7 +42,8 @@ class SearchSettings(NamedTuple):
 
     With `centroids` the search is approximate over the store's `cell` column, and with their cell_bounds as
     `bounds` exact. With `codes`, the store's
-    code_rows by the keys of a hit, it is exact by way of these. `generator` None is the built-in extractive
+    code_rows by the keys of a hit, it is exact by way of these. With the store's `layout`, questions that all name a category
+    read its buckets only. `generator` None is the built-in extractive
     one.
     """
 
@@ -53,6 +55,7 @@ class SearchSettings(NamedTuple):
     population: DataFrame | None = None
     bounds: DataFrame | None = None
     codes: DataFrame | None = None
+    layout: Layout | None = None
     scan_tasks: int | None = None
     max_context_chars: int = MAX_CONTEXT_CHARS
     generator: Callable | None = None
@@ -92,13 +95,16 @@ def retrieve(
     With centroids, `settings.population` spares the count of the store's cells.
     """
     keys = HIT_KEYS + (("bucket",) if "bucket" in store.columns else ())
+    buckets = settings.layout.buckets_of if settings.layout is not None else None
     accepted, refused = split_admitted(check_requests(requests))
     embedded = staged(embed_questions(accepted, settings), "questions")
     asked, unusable = split_admitted(embedded)
     if settings.codes is not None:
-        hits = certified_top_k(store, settings.codes, asked, keys, settings.scan_tasks)
+        hits = certified_top_k(
+            store, settings.codes, asked, keys, settings.scan_tasks, buckets=buckets
+        )
     elif settings.centroids is None:
-        hits = top_k(store, asked, keys, settings.scan_tasks)
+        hits = top_k(store, asked, keys, settings.scan_tasks, buckets=buckets)
     elif settings.bounds is not None:
         hits = bounded_top_k(
             store, asked, settings.centroids, settings.bounds, keys, settings.scan_tasks

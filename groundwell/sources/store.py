@@ -45,6 +45,11 @@ class Layout(NamedTuple):
         text_slot = F.pmod(F.xxhash64(text_key), F.lit(self.text_slots)).cast("int")
         return self.category_slot(category) * self.text_slots + text_slot
 
+    def buckets_of(self, category: Column) -> Column:
+        """The buckets that may hold rows of a category, as an array."""
+        first = self.category_slot(category) * self.text_slots
+        return F.sequence(first, first + (self.text_slots - 1))
+
     def holds(self, category: str) -> Column:
         """Condition on the buckets of one category (a partition filter)."""
         first = self.category_slot(F.lit(category)) * self.text_slots
