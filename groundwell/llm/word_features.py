@@ -112,3 +112,18 @@ def linear_scores(documents: DataFrame, features: np.ndarray, weights: np.ndarra
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scored, "doc_id long, score double")
+
+
+def rows_below(documents: DataFrame, features: np.ndarray, weights: np.ndarray, bias: float, most: float) -> DataFrame:
+    """The rows of `documents`, all their columns, whose score (linear_scores) is below `most`; narrow."""
+
+    def kept(batches):
+        picked = Picked(features)
+        for batch in batches:
+            for i, j, buffer, starts in text_slices(batch, "text"):
+                text, feature = picked.present(buffer, starts)
+                margin = bias + np.bincount(text, weights[feature], j - i)
+                score = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+                yield batch.slice(i, j - i).filter(pa.array(score < most))
+
+    return documents.mapInArrow(kept, documents.schema)
