@@ -1,7 +1,12 @@
 """Documents to packed training sequences, stage by stage.
 
 Every stage takes all rows its predecessor kept and decides per row. Where ids repeat or are null, rows get
-a number in the order of the ids first, so that decisions meet rows and not ids.
+a number in the order of the ids first, so that decisions meet rows and not ids; rows of one id are told apart by
+their place in the input and spread over the sort's ranges like any others. What a stage drops is anti-joined as a
+measured broadcast, so that texts are shuffled only where the dropped rows are too many for one.
+
+Defined results: null and empty texts pass the classifier and are copies of one another; repeated rows are copies; empty tables
+give no rows; columns of any name are carried along.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,23 +18,36 @@ from groundwell.llm.positional_index import decontaminate
 from groundwell.llm.positive_unlabelled import train
 from groundwell.llm.queries import tokenizer_path
 from groundwell.llm.vantage_points import near_groups
-from groundwell.llm.word_features import linear_scores
-from groundwell.session import staged
+from groundwell.llm.word_features import rows_below
+from groundwell.session import broadcast_if_small, staged
 
 # SQL cannot express the trained classifier; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def rows_where(docs: DataFrame, decide) -> DataFrame:
-    """The rows of docs for which decide(rows with a doc_id of their own) gives doc_id in `keep`."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes for no column to have it."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number of their own in the order of the ids, null ids first."""
     unsure = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
     if unsure.isEmpty():
-        rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
-    else:
-        ordered = docs.orderBy(F.col("doc_id").asc_nulls_first())
-        rows = staged(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    kept = decide(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    place = free_name(docs, "__place")
+    ordered = docs.withColumn(place, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_first(), place)
+    return staged(ordered.withColumn(row, F.monotonically_increasing_id()).drop(place), "rows")
+
+
+def rows_without(docs: DataFrame, dropped) -> DataFrame:
+    """The rows of docs, without those whose ids dropped(rows with a doc_id of their own) returns."""
+    row = free_name(docs, "__row")
+    rows = numbered(docs, row)
+    gone = dropped(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row))
+    return rows.join(broadcast_if_small(staged(gone, "dropped")), row, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,23 +55,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    return rows_where(docs, lambda rows: linear_scores(rows, *model[:3]).filter("score < 0.5"))
+    return rows_below(docs, *model[:3], 0.5)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return rows_where(docs, lambda rows: exact_groups(rows).filter("kept"))
+    return rows_without(docs, lambda rows: exact_groups(rows).filter("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked fingerprints the row with the smallest doc_id stays."""
-    return rows_where(docs, lambda rows: near_groups(rows).filter("doc_id = component_id"))
+    return rows_without(docs, lambda rows: near_groups(rows).filter("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return rows_where(docs, lambda rows: decontaminate(rows, benchmark).filter("NOT contaminated"))
+    return rows_without(docs, lambda rows: decontaminate(rows, benchmark).filter("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
