@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from groundwell.llm.arrays import NOT_SPACE, flat_words, hash_words, mix, pack_varints, text_slices, unpack_varints
 from groundwell.llm.elias_fano import EliasFano
 from groundwell.llm.ranks import training_fold
-from groundwell.session import staged
+from groundwell.session import staged, work_path
 
 SEGMENT_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
@@ -390,30 +390,31 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
     return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw if keep else None)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `staged`, in the smaller form."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def score_documents(documents: DataFrame, order: int = ORDER, weights: dict = WEIGHTS, folds: int = FOLDS, held: int = HELD, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document row. With
     `model_path` the shards' flat buffers are kept there, as (level, shard, trie)."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), training_fold(F.col("doc_id"), folds, held).alias("held"), F.col("text").cast("string").alias("text"))
-    run, parts, tables = uuid.uuid4().hex, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), []
-
-    def bucketed(frame: DataFrame, label: str) -> DataFrame:
-        """Kept by segment, so that what is read with the segments later is not shuffled again."""
-        tables.append(f"{label}_{run}")
-        frame.write.format("parquet").option("compression", "zstd").bucketBy(parts, "segment").saveAsTable(tables[-1])
-        return spark.table(tables[-1])
-
+    name = f"segments_{uuid.uuid4().hex}"
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.mapInArrow(segment_rows, SEGMENTS).write.format("parquet").option("compression", "zstd").bucketBy(parts, "segment").saveAsTable(name)
+    segments = spark.table(name)
     # a segment is some tens of megabytes with its answers: one a batch
     batch_rows = spark.conf.get(BATCH_ROWS)
     spark.conf.set(BATCH_ROWS, 1)
     try:
-        segments = bucketed(rows.mapInArrow(segment_rows, SEGMENTS), "segments")
         size = segments.agg(F.coalesce(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
         model = Words(1 << max(0, math.ceil(math.log2(max(1, size * 6 / SHARD_BYTES)))))
-        given = []
+        given = None
         for level in range(1, order + 1):
-            answered = level_answers(segments, given, model, level, weights, order, model_path is not None)
-            answered = bucketed(answered.repartition(parts, "segment"), f"level{level}")
+            answered = kept(level_answers(segments, given, model, level, weights, order, model_path is not None), f"level{level}")
             if model_path is not None:
                 tries = answered.filter("stats IS NOT NULL").select("level", "shard", "trie")
                 tries.write.mode("overwrite" if level == 1 else "append").parquet(model_path)
@@ -423,20 +424,21 @@ def score_documents(documents: DataFrame, order: int = ORDER, weights: dict = WE
             if level == 1:
                 model.types, model.n, once, twice = (sum(s[k] for s in stats.values()) for k in range(4))
                 model.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            given.append(answered.filter("segment IS NOT NULL").select("segment", "level", "shard", "counts", "places", "codes"))
+            own = answered.filter("segment IS NOT NULL").select("segment", "level", "shard", "counts", "places", "codes")
+            given = own if given is None else given.unionByName(own)
         return staged(final_scores(segments, given, model, weights), "scores")
     finally:
         spark.conf.set(BATCH_ROWS, batch_rows)
-        for name in tables:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def with_answers(segments: DataFrame, given: list[DataFrame]) -> DataFrame:
-    """Each segment's row with its answers, a column a level, bucket by bucket."""
-    for level, own in enumerate(given, 1):
-        lists = own.groupBy("segment").agg(F.collect_list(F.struct("level", "shard", "counts", "places", "codes")).alias(f"answers{level}"))
-        segments = segments.join(lists.hint("shuffle_merge"), "segment", "left")
-    return segments
+def with_answers(segments: DataFrame, given: DataFrame | None) -> DataFrame:
+    """Each segment's row with its answers; the answers go to the segments' buckets."""
+    kind = "array<struct<level:int,shard:int,counts:binary,places:binary,codes:binary>>"
+    if given is None:
+        return segments.withColumn("answers", F.expr(f"cast(array() as {kind})"))
+    lists = given.groupBy("segment").agg(F.collect_list(F.struct("level", "shard", "counts", "places", "codes")).alias("answers"))
+    return segments.join(lists.hint("shuffle_merge"), "segment", "left").withColumn("answers", F.coalesce("answers", F.expr(f"cast(array() as {kind})")))
 
 
 def resolved_rows(batches, model: Words, weights: dict, levels: int, last: bool = False):
@@ -444,13 +446,12 @@ def resolved_rows(batches, model: Words, weights: dict, levels: int, last: bool
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             answers: dict[int, list] = {level: [] for level in range(1, levels + 1)}
-            for level in answers:
-                for a in row.pop(f"answers{level}") or []:
-                    answers[level].append((a["shard"], a["counts"], a["places"], a["codes"]))
+            for a in row.pop("answers"):
+                answers[a["level"]].append((a["shard"], a["counts"], a["places"], a["codes"]))
             yield row, Resolved(row, answers, model, weights, last)
 
 
-def level_answers(segments: DataFrame, given: list[DataFrame], model: Words, level: int, weights: dict, levels: int, keep: bool) -> DataFrame:
+def level_answers(segments: DataFrame, given: DataFrame | None, model: Words, level: int, weights: dict, levels: int, keep: bool) -> DataFrame:
     """Queries of one level from all segments to the shards, and the shards' answers."""
     schema = "shard int, segment long, contexts binary, words binary, counts binary, context_counts binary"
 
@@ -472,7 +473,7 @@ def level_answers(segments: DataFrame, given: list[DataFrame], model: Words, lev
     return queries.groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
-def final_scores(segments: DataFrame, given: list[DataFrame], model: Words, weights: dict) -> DataFrame:
+def final_scores(segments: DataFrame, given: DataFrame, model: Words, weights: dict) -> DataFrame:
     levels = max(model.shifts)
 
     def scored(batches):
