@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwell.functions.vectors import l2_norm
+from groundwell.operators.model_calls import Calls
 from groundwell.schemas import EMBED_BATCH_SIZE, EMBEDDING_WIDTH, VECTOR
 
 # Fixed value: what separates words.
@@ -81,34 +82,39 @@ def embed_with(
     The key columns travel with the text, so pairing does not depend on order. A call that returns
     another number of vectors than it got texts, or vectors of another width, gives those rows a
     null embedding and an `error_code` in place of vectors paired by guess. A call that raises costs
-    its own rows only: they get `embedding.unavailable`.
+    its own rows only: they get `embedding.unavailable`, and what was raised in `error_cause`. A model that fails
+    from a task's first call on, over and over in the same way, ends the job (model_calls).
     """
-    schema = T.StructType(list(texts.schema.fields)).add("embedding", VECTOR).add("error_code", "string")
-
-    def call(batch: list) -> tuple[list, list]:
-        try:
-            vectors = embedder(batch)
-        except Exception:
-            return [None] * len(batch), ["embedding.unavailable"] * len(batch)
+    schema = T.StructType(list(texts.schema.fields)).add("embedding", VECTOR)
+    schema = schema.add("error_code", "string").add("error_cause", "string")
+
+    def call(calls: Calls, batch: list) -> tuple[list, list, list]:
+        vectors, cause = calls(batch)
+        nothing = [None] * len(batch)
+        if cause is not None:
+            return nothing, ["embedding.unavailable"] * len(batch), [cause] * len(batch)
         if len(vectors) != len(batch):
-            return [None] * len(batch), ["embedding.batch_count_mismatch"] * len(batch)
+            return nothing, ["embedding.batch_count_mismatch"] * len(batch), nothing
         fits = [v is not None and len(v) == width for v in vectors]
         floats = [
             np.asarray(v, dtype=np.float32).tolist() if ok else None for v, ok in zip(vectors, fits)
         ]
-        return floats, [None if ok else "embedding.wrong_dimensions" for ok in fits]
+        return floats, [None if ok else "embedding.wrong_dimensions" for ok in fits], nothing
 
     def embed(batches):
+        calls = Calls(embedder)
         for batch in batches:
             inputs = batch.column(text).to_pylist()
-            vectors, codes = [], []
+            vectors, codes, causes = [], [], []
             for start in range(0, len(inputs), batch_size):
-                got, code = call(inputs[start : start + batch_size])
+                got, code, cause = call(calls, inputs[start : start + batch_size])
                 vectors += got
                 codes += code
+                causes += cause
+            made = [pa.array(vectors, pa.list_(pa.float32())), pa.array(codes, pa.string()), pa.array(causes, pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(codes, pa.string())],
-                names=[*batch.schema.names, "embedding", "error_code"],
+                [*batch.columns, *made],
+                names=[*batch.schema.names, "embedding", "error_code", "error_cause"],
             )
 
     return texts.mapInArrow(embed, schema)

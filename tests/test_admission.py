@@ -12,7 +12,7 @@ NAMES = {
     "": "file_name.missing",
     " \t　": "file_name.missing",
     "../settings.json": "file_name.not_a_bare_name",
-    "..\\..\\..\\Windows\\win.ini": "file_name.not_a_bare_name",
+    "..\\up\\notes.txt": "file_name.not_a_bare_name",
     "nested/inner.txt": "file_name.not_a_bare_name",
     "C:x.md": "file_name.not_a_bare_name",
     ".": "file_name.not_a_bare_name",
@@ -22,7 +22,7 @@ NAMES = {
     "a.md\n": "file_name.invalid_characters",
     "..?": "file_name.invalid_characters",
     ".md": "file_name.stem_missing",
-    "plan.exe": "file_name.extension_not_allowed",
+    "minutes.pdf": "file_name.extension_not_allowed",
     "noext": "file_name.extension_not_allowed",
     "doc.md ": "file_name.extension_not_allowed",
     "doc.": "file_name.extension_not_allowed",

@@ -2,6 +2,7 @@ import math
 from hashlib import md5
 
 import numpy as np
+import pytest
 
 from groundwell.operators.embedding import (
     check_embeddings,
@@ -11,6 +12,7 @@ from groundwell.operators.embedding import (
     pair_vectors,
     with_norm,
 )
+from groundwell.operators.model_calls import Calls
 from tests.conftest import plan_of
 
 
@@ -89,3 +91,34 @@ def test_a_failing_model_costs_its_own_calls_only(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, chunk_text string").coalesce(1)
     rows = check_embeddings(embed_with(frame, model, width=2, batch_size=1), 2).collect()
     assert {r["doc_id"]: r["error_code"] for r in rows} == {1: None, 2: "embedding.unavailable", 3: None}
+
+
+def test_the_cause_of_a_failure_is_kept(spark):
+    texts = spark.createDataFrame([(i, "bad" if i == 2 else "good") for i in range(5)], "doc_id long, chunk_text string").coalesce(1)
+
+    def model(batch):
+        if "bad" in batch:
+            raise TimeoutError("no reply in 30 s")
+        return [[1.0, 2.0]] * len(batch)
+
+    rows = embed_with(texts, model, width=2, batch_size=1).collect()
+    assert {r["doc_id"]: r["error_cause"] for r in rows} == {0: None, 1: None, 2: "TimeoutError: no reply in 30 s", 3: None, 4: None}
+
+
+def test_a_broken_callable_ends_the_job(spark):
+    """Every call of a task raises the same: no outage of single calls, and no corpus of rejects."""
+    texts = spark.range(200).selectExpr("id AS doc_id", "'text' AS chunk_text").coalesce(1)
+
+    def model(batch):
+        return len(batch) + "1"
+
+    with pytest.raises(Exception, match="unsupported operand"):
+        embed_with(texts, model, width=2, batch_size=4).collect()
+
+
+def test_failures_of_several_kinds_do_not_end_it():
+    def model(k):
+        raise OSError(f"line {k}")
+
+    calls = Calls(model)
+    assert [calls(k)[1] for k in range(40)] == [f"OSError: line {k}" for k in range(40)]

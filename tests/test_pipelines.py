@@ -28,7 +28,7 @@ def corpus(spark):
             (3, "../up.md", None, "x"),
             (4, "blank.md", None, " \n"),
             (5, "huge.md", None, "y" * 5000),
-            (6, "plan.exe", None, "x"),
+            (6, "minutes.pdf", None, "x"),
         ],
         CORPUS,
     )
