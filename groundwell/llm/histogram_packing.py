@@ -318,7 +318,8 @@ def pack(documents: DataFrame, tokenizer: str, limit: int = SEQUENCE) -> DataFra
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return pieces.join(ranked, ["uid", "piece"]).mapInArrow(placed, PACKED)
+    # a merge join at every size: ranks small enough to be broadcast would make small inputs run otherwise than large ones
+    return pieces.join(ranked.hint("shuffle_merge"), ["uid", "piece"]).mapInArrow(placed, PACKED)
 
 
 def packing_digest(packed: DataFrame) -> DataFrame:

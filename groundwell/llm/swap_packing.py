@@ -128,7 +128,7 @@ def pack(documents: DataFrame, tokenizer: str, limit: int = SEQUENCE) -> DataFra
     pieces = staged(token_pieces(documents, tokenizer, limit), "pieces")
     short = pieces.filter("sequence_id IS NULL")
     places = placed_pieces(short, limit)
-    placed = short.drop("sequence_id").join(places, ["uid", "piece"]).withColumnRenamed("sequence", "sequence_id")
+    placed = short.drop("sequence_id").join(places.hint("shuffle_merge"), ["uid", "piece"]).withColumnRenamed("sequence", "sequence_id")
     full = pieces.filter("sequence_id IS NOT NULL").withColumn("offset", F.lit(0).cast("long"))
     columns = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "sequence_id", "offset", "ids"]
 
