@@ -1,5 +1,9 @@
 """The given tables in the roles the operators expect. Every frame covers its whole table."""
 
+import os
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,10 +141,35 @@ def document_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder with one .txt file per document (its text and a line break)."""
     path = work_path(spark, "folder")
     texts = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    texts.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    scheme = re.match("[a-zA-Z0-9]+:", path) or spark._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if str(scheme if isinstance(scheme, str) else scheme[0]).startswith("file:"):
+        write_files(texts, re.sub("^file:/+", "/", path))
+    else:
+        texts.select("text").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file per row in a folder of a file system that all tasks see. Spark's own writer starts a chmod process for each
+    file there. A repeated task writes the same files again."""
+    os.makedirs(path)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for text in batch.column("text"):
+                with open(f"{path}/part-{part:05d}-{n:09d}.txt", "wb") as file:
+                    file.write((text.as_py() or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
+
+    ordered = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
+    ordered = ordered.sortWithinPartitions("doc_id", "text").select("text")
+    ordered.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("record_id"), F.col("label").cast("string").alias("category"), "embedding"

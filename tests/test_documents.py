@@ -1,5 +1,6 @@
 import pytest
 
+from groundwell.sources import documents
 from groundwell.sources.documents import list_documents, listing_count, read_documents, spread
 from tests.conftest import plan_of
 
@@ -94,3 +95,23 @@ def test_spread_leaves_large_tables_alone(spark):
     assert spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == cores
     many = spark.range(100, numPartitions=cores + 3)
     assert spread(many, "id") is many
+
+
+def test_many_files_take_few_tasks(spark, folder, monkeypatch):
+    listed = documents.folder(spark, folder)
+    found = spark.read.format("binaryFile").load(folder).rdd.getNumPartitions()
+    assert listed.rdd.getNumPartitions() == found > 1
+    monkeypatch.setattr(documents, "FOLDER_TASKS_PER_CORE", 0)
+    few = documents.folder(spark, folder)
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_a_file_per_row(spark, tmp_path):
+    """What Spark's writer leaves with one record a file, without a checksum file beside each."""
+    from checks.frames import write_files
+
+    texts = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (2, None), (3, ""), (4, "é")], "doc_id long, text string")
+    path = tmp_path / "files"
+    write_files(texts.repartition(3), str(path))
+    assert sorted(f.read_bytes() for f in path.iterdir()) == sorted(t.encode() for t in ("a\nb\n", "a\nb\n", "\n", "\n", "é\n"))
