@@ -111,3 +111,11 @@ def test_code_table_is_narrow(spark):
     assert "Exchange" not in plan
     coded = code_rows(store)
     assert coded.where(F.length("code") != 64).count() == 0 and "embedding" not in coded.columns
+
+
+def test_no_vectors_go_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_PAIRS", 0)
+    store, asked = table(spark, SMALL)
+    found = certified_top_k(store, staged(code_rows(store), "codes"), asked)
+    assert "Broadcast" not in plan_of(found)
+    assert rows(found) == rows(top_k(store, asked))

@@ -228,3 +228,40 @@ def test_named_categories_reach_the_scan(spark, tmp_path):
     found = S.top_k(spark.read.parquet(path), asked)
     assert [r["record_id"] for r in found.collect()] == [3, 8]
     assert "EqualTo(category,3)" in found._jdf.queryExecution().toString().replace("In(category, [3])", "EqualTo(category,3)")
+
+
+def test_more_questions_make_fewer_lists_each(spark, skewed, monkeypatch):
+    """Groups of questions share the tasks, so that a question has lists of two tasks and not of twelve."""
+    monkeypatch.setattr(S, "GROUP_QUESTIONS", 20)
+    rows, asked = skewed
+    store, questions = spark.createDataFrame(rows, STORE).repartition(12), spark.createDataFrame(asked, QUESTIONS)
+    block = S.with_defaults(questions).toArrow()
+    found, _ = S._scan(store, block, ("record_id",), S.list_schema(questions, ("record_id",)), 12)
+    parts = found.select("query_id", F.spark_partition_id().alias("part"))
+    lists = parts.groupBy("query_id").agg(F.countDistinct("part").alias("n"))
+    assert found.rdd.getNumPartitions() == 12 and lists.agg(F.max("n")).first()[0] <= 2
+    assert ranked(top_k(store, questions, tasks=12)) == brute_force(rows, asked)
+    named = [a for a in asked if a[3] is not None]
+    assert ranked(top_k(store, spark.createDataFrame(named, QUESTIONS))) == brute_force(rows, named)
+
+
+def test_close_scores_keep_their_order():
+    """Scores that single precision cannot tell apart."""
+    import pyarrow as pa
+
+    table = pa.table(
+        {
+            "query_id": pa.array([1], pa.int64()),
+            "vector": [[1.0, 0.0]],
+            "top_k": pa.array([3], pa.int32()),
+            "min_similarity": [0.0],
+            "category": pa.array([None], pa.string()),
+        }
+    )
+    angle = 0.5 + np.random.default_rng(0).permutation(30_000) * 1e-8
+    block = S.QuestionBlock(table, 1)
+    for start in range(0, 30_000, 10_000):
+        part = angle[start : start + 10_000]
+        block.meet(np.stack([np.cos(part), np.sin(part)], 1), np.arange(start, start + 10_000)[:, None])
+    best = sorted(zip((-np.round(np.cos(angle), 9)).tolist(), range(30_000)))[:3]
+    assert block.results(("record_id",)).column("record_id").to_pylist() == [n for _, n in best]
