@@ -253,3 +253,15 @@ def test_retired_keys_are_read_by_bucket_too(spark, tmp_path):
     assert plan.count("bucket") and "embedding" not in plan and "SortMergeJoin" not in plan
     filters = [part.split("], ")[0] for part in plan.split("PartitionFilters: [")[1:]]
     assert len([f for f in filters if "bucket" in f]) >= 2
+
+
+def test_passages_and_store_are_zstd_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from groundwell.plans.ingest import IngestSettings, ingest
+
+    corpus = spark.createDataFrame([(1, "a.md", "c", "some words")], "doc_id long, file_name string, category string, text string")
+    path = tmp_path / "zstd"
+    ingest(corpus, str(path), IngestSettings())
+    files = list(path.rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
