@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +268,28 @@ def test_close_scores_keep_their_order():
         block.meet(np.stack([np.cos(part), np.sin(part)], 1), np.arange(start, start + 10_000)[:, None])
     best = sorted(zip((-np.round(np.cos(angle), 9)).tolist(), range(30_000)))[:3]
     assert block.results(("record_id",)).column("record_id").to_pylist() == [n for _, n in best]
+
+
+def test_a_full_pass_reads_the_store_four_times():
+    """Each group of questions is a scan of the store, whose rows are read and brought to unit length again."""
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=12))
+    assert S.scan_shape(SimpleNamespace(num_rows=S.PASS_QUESTIONS), spark, None) == (4, 12)
+
+
+def test_only_questions_with_scores_in_reach_are_compared(monkeypatch):
+    """Questions whose bars no score of a block reaches take no part in the comparison of its scores."""
+    rng = np.random.default_rng(1)
+    table = pa.table({
+        "query_id": [1, 2], "vector": [[1.0, 0.0], [0.0, 1.0]], "top_k": pa.array([1, 1], pa.int32()),
+        "category": pa.array([None, None], pa.string()), "min_similarity": [0.0, 0.0],
+    })
+    block = S.QuestionBlock(table, 1)
+    block.bar[:], block.barred[:] = [0.9, -np.inf], True
+    rows = np.stack([rng.random(50) * 0.1, np.ones(50)], 1)
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    compared = []
+    kept = np.flatnonzero
+    monkeypatch.setattr(S.np, "flatnonzero", lambda x: compared.append(np.shape(x)) or kept(x))
+    block._keep((block.narrow @ rows.T.astype(np.float32)), rows, np.arange(50)[:, None], np.arange(2))
+    assert (1, 50) in compared and (2, 50) not in compared
+    assert set(block.pending[0][0]) == {1} and len(block.pending[0][0]) == 50
