@@ -119,3 +119,16 @@ def test_no_vectors_go_through_the_driver(spark, monkeypatch):
     found = certified_top_k(store, staged(code_rows(store), "codes"), asked)
     assert "Broadcast" not in plan_of(found)
     assert rows(found) == rows(top_k(store, asked))
+
+
+def test_the_codes_are_scanned_once(spark, monkeypatch):
+    """Bars and survivors are both taken from the scan's rows, which are files by then."""
+    seen = []
+    real = C.survivors
+    monkeypatch.setattr(C, "survivors", lambda found, keys, most: seen.append(plan_of(found)) or real(found, keys, most))
+    rows = [(k, "a", [float(k % 3), 1.0]) for k in range(20)]
+    store = spark.createDataFrame(rows, "record_id long, category string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, vector array<float>")
+    found = C.certified_top_k(store, C.code_rows(store), asked)
+    assert [r["record_id"] for r in found.orderBy("rank").collect()][:3] == [1, 4, 7]
+    assert len(seen) == 1 and "MapInArrow" not in seen[0] and "parquet" in seen[0]
