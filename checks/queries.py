@@ -1,6 +1,7 @@
 """The registered queries: operators and pipelines over the given tables."""
 
 import re
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -212,12 +213,17 @@ def embed_hashed_query(spark, sf_dir) -> DataFrame:
     ).select("doc_id", "position", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _place(word: str) -> int:
+    return int(md5(word.encode()).hexdigest()[:8], 16) % WIDTH
+
+
 def hashing_model(texts) -> np.ndarray:
     """A stand-in for a user's model: the same vectors as the built-in embedder."""
     out = np.zeros((len(texts), WIDTH))
     for row, text in enumerate(texts):
-        for word in re.findall(r"[^\W_]+", text.lower()):
-            out[row, int(md5(word.encode()).hexdigest()[:8], 16) % WIDTH] += 1
+        places = [_place(word) for word in re.findall(r"[^\W_]+", text.lower())]
+        out[row] = np.bincount(np.array(places, np.int64), minlength=WIDTH)
     norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return np.divide(out, norms, out=out, where=norms > 0).astype(np.float32)
 

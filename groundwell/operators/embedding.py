@@ -88,30 +88,33 @@ def embed_with(
     schema = T.StructType(list(texts.schema.fields)).add("embedding", VECTOR)
     schema = schema.add("error_code", "string").add("error_cause", "string")
 
-    def call(calls: Calls, batch: list) -> tuple[list, list, list]:
+    def call(calls: Calls, batch: list, out: np.ndarray) -> tuple[list, list, list]:
+        """(which rows of `out` got a vector, codes, causes) of one call."""
         vectors, cause = calls(batch)
-        nothing = [None] * len(batch)
+        nothing, missing = [None] * len(batch), [False] * len(batch)
         if cause is not None:
-            return nothing, ["embedding.unavailable"] * len(batch), [cause] * len(batch)
+            return missing, ["embedding.unavailable"] * len(batch), [cause] * len(batch)
         if len(vectors) != len(batch):
-            return nothing, ["embedding.batch_count_mismatch"] * len(batch), nothing
+            return missing, ["embedding.batch_count_mismatch"] * len(batch), nothing
         fits = [v is not None and len(v) == width for v in vectors]
-        floats = [
-            np.asarray(v, dtype=np.float32).tolist() if ok else None for v, ok in zip(vectors, fits)
-        ]
-        return floats, [None if ok else "embedding.wrong_dimensions" for ok in fits], nothing
+        for row, ok in enumerate(fits):
+            if ok:
+                out[row] = np.asarray(vectors[row], dtype=np.float32)
+        return fits, [None if ok else "embedding.wrong_dimensions" for ok in fits], nothing
 
     def embed(batches):
         calls = Calls(embedder)
         for batch in batches:
             inputs = batch.column(text).to_pylist()
-            vectors, codes, causes = [], [], []
+            vectors = np.zeros((len(inputs), width), np.float32)
+            valid, codes, causes = [], [], []
             for start in range(0, len(inputs), batch_size):
-                got, code, cause = call(calls, inputs[start : start + batch_size])
-                vectors += got
+                some = slice(start, start + batch_size)
+                fits, code, cause = call(calls, inputs[some], vectors[some])
+                valid += fits
                 codes += code
                 causes += cause
-            made = [pa.array(vectors, pa.list_(pa.float32())), pa.array(codes, pa.string()), pa.array(causes, pa.string())]
+            made = [vector_array(vectors, valid), pa.array(codes, pa.string()), pa.array(causes, pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *made],
                 names=[*batch.schema.names, "embedding", "error_code", "error_cause"],

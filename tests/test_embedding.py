@@ -122,3 +122,23 @@ def test_failures_of_several_kinds_do_not_end_it():
 
     calls = Calls(model)
     assert [calls(k)[1] for k in range(40)] == [f"OSError: line {k}" for k in range(40)]
+
+
+def test_the_stand_in_model_hashes_a_word_once(monkeypatch):
+    from checks import queries
+
+    texts = ["Once upon a time, once more", "", "a time"]
+    first = queries.hashing_model(texts)
+    monkeypatch.setattr(queries, "md5", None)
+    again = queries.hashing_model(texts)
+    assert (first == again).all() and not first[1].any() and first.dtype == np.float32
+
+
+def test_vectors_of_a_model_come_as_they_are(spark):
+    """Rows of one call with and without a vector, in the order of the texts; a float that is none stays one."""
+    made = {"a": [1.5, -2.0], "b": None, "c": [1.0], "d": np.array([float("inf"), 0.25]), "e": (0.1, 3)}
+    frame = spark.createDataFrame([(t,) for t in made], "chunk_text string").coalesce(1)
+    rows = embed_with(frame, lambda texts: [made[t] for t in texts], width=2, batch_size=3).collect()
+    fits = [1.5, -2.0], None, None, [float("inf"), 0.25], [float(np.float32(0.1)), 3.0]
+    assert [r["embedding"] for r in rows] == list(fits)
+    assert [r["error_code"] for r in rows] == [None, *["embedding.wrong_dimensions"] * 2, None, None]
