@@ -14,14 +14,14 @@ one token; repeated rows are packed each; an empty table gives no rows.
 """
 
 import bisect
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.arrays import ranges, text_slices
+from groundwell.llm.arrays import NOT_SPACE, hash_words, ranges, text_slices, words_in
+from groundwell.llm.chunk_encoder import equal_spans
 from groundwell.llm.ranks import slices_for, with_group_ranks
 from groundwell.session import staged
 
@@ -29,6 +29,7 @@ SEQUENCE = 4096
 END_TOKEN = 2
 MOST_PADDING = 0.002
 CACHED_WORDS = 1_200_000
+CACHED_BYTES = 64
 
 PIECES = "uid long, piece int, doc_id long, start long, length int, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -66,7 +67,8 @@ class Encoder:
 
     For tokenizers that drop white space and never join tokens across it, so that a text's ids are its
     words' ids in order. New words are encoded a thousand at a time, parted by a separator. Holds at most
-    CACHED_WORDS words.
+    CACHED_WORDS words of at most CACHED_BYTES bytes, or those of one slice where it has more, in flat arrays: an
+    open-addressed table of 64-bit hashes, and the words' bytes, which are compared.
     """
 
     def __init__(self, path: str):
@@ -77,14 +79,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.clear()
 
     def clear(self):
-        self.number: dict[bytes, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int32)
-        self.ids = np.zeros(1 << 18, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.filled = 0
+        self.table = np.full(1 << 13, -1, np.int32)  # hash -> number of a word, at most half full
+        self.names = np.zeros(1 << 12, np.uint64)
+        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)  # the words' ids
+        self.at, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)  # the words' bytes
+        self.ids, self.data = np.zeros(1 << 14, self.kind), np.zeros(1 << 16, np.uint8)
+        self.held = self.ids_used = self.data_used = 0
 
     def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of words, none of which has the separator's character."""
@@ -97,43 +101,107 @@ class Encoder:
         ends = np.flatnonzero(flat == self.separator[0])
         return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
-    def learn(self, words: list[bytes]):
-        plain = [w for w in words if b"\x01" not in w]
-        self.add(plain, *self.lists([w.decode() for w in plain]))
-        for w in words:
-            if b"\x01" in w:
-                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                self.add([w], np.array(ids), np.array([len(ids)]))
-
-    def add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray):
-        n, m = len(self.number), len(words)
-        while n + m > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while self.filled + len(flat) > len(self.ids):
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids side by side, how many of each word)."""
+        marked = [k for k, w in enumerate(words) if b"\x01" in w]
+        if not marked:
+            return self.lists([w.decode() for w in words]) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found = [None] * len(words)
+        for k in marked:
+            found[k] = np.array(self.tokenizer.encode(words[k].decode(), add_special_tokens=False).ids, np.int64)
+        plain = [k for k, x in enumerate(found) if x is None]
+        flat, size = self.encoded([words[k] for k in plain])
+        for k, ids in zip(plain, np.split(flat, np.cumsum(size)[:-1])):
+            found[k] = ids
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The number of the word held under each hash, -1 where there is none."""
+        mask = np.uint64(len(self.table) - 1)
+        place, found = (names & mask).astype(np.int64), np.full(len(names), -1, np.int64)
+        active = np.arange(len(names))
+        while active.size:
+            held = self.table[place[active]]
+            taken = held >= 0
+            active, held = active[taken], held[taken]
+            same = self.names[held] == names[active]
+            found[active[same]] = held[same]
+            active = active[~same]
+            place[active] = (place[active] + 1) & int(mask)
+        return found
+
+    def enter(self, numbers: np.ndarray):
+        """Puts words into the table, each at the first free place from its hash on."""
+        mask = len(self.table) - 1
+        place = (self.names[numbers] & np.uint64(mask)).astype(np.int64)
+        while numbers.size:
+            free = self.table[place] < 0
+            self.table[place[free]] = numbers[free]
+            left = self.table[place] != numbers
+            numbers, place = numbers[left], (place[left] + 1) & mask
+
+    def hold(self, names, buffer, at, length, ids, size):
+        n, m, total = self.held, len(names), int(length.sum())
+        while n + m > len(self.names):
+            self.names, self.first, self.size, self.at, self.length = (
+                np.resize(x, 2 * len(x)) for x in (self.names, self.first, self.size, self.at, self.length)
+            )
+        while self.ids_used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.first[n : n + m] = self.filled + np.cumsum(size) - size
-        self.size[n : n + m] = size
-        self.filled += len(flat)
-        self.number.update(zip(words, range(n, n + m)))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        counts = np.array([len(w) for w in split])
-        words = [w for s in split for w in s]
-        slot = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        missed = np.flatnonzero(slot < 0)
-        if missed.size:
-            new = list({words[k] for k in missed.tolist()})
-            if len(self.number) + len(new) > CACHED_WORDS:
-                self.clear()
-                new, missed = list(set(words)), np.arange(len(words))
-            self.learn(new)
-            slot[missed] = np.fromiter((self.number[words[k]] for k in missed.tolist()), np.int64, len(missed))
-        size = self.size[slot].astype(np.int64)
-        ids = self.ids[ranges(self.first[slot], size)] if len(slot) else self.ids[:0]
-        word_ends = np.concatenate(([0], np.cumsum(size)))
-        return np.split(ids, word_ends[np.cumsum(counts)[:-1]])
+        while self.data_used + total + 8 > len(self.data):
+            self.data = np.resize(self.data, 2 * len(self.data))
+        self.names[n : n + m] = names
+        self.ids[self.ids_used : self.ids_used + len(ids)] = ids
+        self.data[self.data_used : self.data_used + total] = buffer[ranges(at, length)]
+        self.first[n : n + m], self.size[n : n + m] = self.ids_used + np.cumsum(size) - size, size
+        self.at[n : n + m], self.length[n : n + m] = self.data_used + np.cumsum(length) - length, length
+        self.held, self.ids_used, self.data_used = n + m, self.ids_used + len(ids), self.data_used + total
+        if 2 * self.held > len(self.table):
+            while 2 * self.held > len(self.table):
+                self.table = np.full(2 * len(self.table), -1, np.int32)
+            self.enter(np.arange(self.held))
+        else:
+            self.enter(np.arange(n, n + m))
+
+    def slots(self, buffer: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The number of each word, which new ones get here; -2 for words too long to be held and others of one hash."""
+        names = hash_words(buffer, at, length)
+        slot = self.find(names)
+        known = np.flatnonzero(slot >= 0)
+        held = slot[known]
+        right = equal_spans(buffer, at[known], length[known], self.data, self.at[held], self.length[held].astype(np.int64))
+        slot[known[~right]] = -2
+        slot[length > CACHED_BYTES] = -2
+        missed = np.flatnonzero(slot == -1)
+        if not missed.size:
+            return slot
+        new, one, number = np.unique(names[missed], return_index=True, return_inverse=True)
+        one = missed[one]
+        if self.held and self.held + len(new) > CACHED_WORDS:
+            self.clear()
+            return self.slots(buffer, at, length)
+        same = equal_spans(buffer, at[missed], length[missed], buffer, at[one][number], length[one][number])
+        words = [buffer[a : a + n].tobytes() for a, n in zip(at[one].tolist(), length[one].tolist())]
+        slot[missed] = np.where(same, self.held + number, -2)
+        self.hold(new, buffer, at[one], length[one], *self.encoded(words))
+        return slot
+
+    def encode(self, buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice side by side, the texts' bounds in them)."""
+        at, length = words_in(buffer, int(starts[-1]), NOT_SPACE)
+        slot = self.slots(buffer, at, length)
+        loose = np.flatnonzero(slot < 0)
+        slot[loose] = 0
+        first, size, ids = self.first[slot], self.size[slot].astype(np.int64), self.ids
+        if loose.size:
+            words = [buffer[a : a + n].tobytes() for a, n in zip(at[loose].tolist(), length[loose].tolist())]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            extra, own = self.encoded(list(number))
+            place = np.array([number[w] for w in words])
+            first[loose], size[loose] = (self.ids_used + np.cumsum(own) - own)[place], own[place]
+            ids = np.concatenate((self.ids[: self.ids_used], extra.astype(self.kind)))
+        ends = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(at, starts)]
+        return ids[ranges(first, size)], ends
 
 
 def encoder(path: str) -> Encoder:
@@ -154,11 +222,10 @@ def token_pieces(documents: DataFrame, tokenizer: str, limit: int = SEQUENCE) ->
         for batch in batches:
             for i, j, buffer, starts in text_slices(batch, "text", 1 << 20):
                 spaced, places = parted(buffer)
-                raw, at = spaced.tobytes(), places[starts].tolist()
-                texts = [raw[a : b - 1] for a, b in zip(at[:-1], at[1:])]
+                flat, ends = own.encode(spaced, places[starts])
                 rows = []
-                for doc_id, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), own.encode(texts)):
-                    ids = np.append(ids, ids.dtype.type(END_TOKEN))
+                for k, doc_id in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
+                    ids = np.append(flat[ends[k] : ends[k + 1]], flat.dtype.type(END_TOKEN))
                     for piece, start in enumerate(range(0, len(ids), limit)):
                         part = ids[start : start + limit]
                         rows.append((uid, piece, doc_id, start, len(part), len(ids), part.tobytes()))
