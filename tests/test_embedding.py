@@ -2,6 +2,8 @@ import math
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from groundwell.operators.embedding import (
@@ -11,6 +13,7 @@ from groundwell.operators.embedding import (
     embed_with,
     pair_vectors,
     with_norm,
+    words_of,
 )
 from groundwell.operators.model_calls import Calls
 from tests.conftest import plan_of
@@ -31,6 +34,17 @@ def test_hashed_vectors(spark):
     assert max(rows[4]) == 1.0
 
 
+def test_words_are_runs_of_letters_and_digits():
+    """Words cut out of the texts' bytes are those that splitting at all other characters leaves."""
+    texts = [None, "", " ", "a", "b c", "ÄÖ ß", "x\u0301y", "١٢٣ abc", "日本語 テキスト", "😀 a😀b", "Ⅷ ½ ² İ ǅ", "é", "é", "\0a\0", "𝒜𝒷 𝟙-_ﬁ", None]
+    texts += ["".join(chr(c) for c in range(start, start + 97)) for start in range(1, 0xD000, 97)]
+    for given in (pa.array(texts), pa.array(texts).slice(3, 9), pa.array(texts, pa.large_string()), pa.array([None, ""])):
+        split = pc.split_pattern_regex(pc.utf8_lower(given), pattern=r"[^\p{L}\p{N}]+")
+        want = [(row, word) for row, words in enumerate(split.to_pylist()) for word in words or [] if word]
+        rows, words = words_of(given)
+        assert list(zip(rows.tolist(), words.to_pylist())) == want
+
+
 def test_hashed_needs_no_shuffle(spark):
     frame = spark.range(10).selectExpr("id", "'a b' as chunk_text")
     assert "Exchange" not in plan_of(embed_hashed(frame))
