@@ -248,6 +248,40 @@ def test_more_questions_make_fewer_lists_each(spark, skewed, monkeypatch):
     assert ranked(top_k(store, spark.createDataFrame(named, QUESTIONS))) == brute_force(rows, named)
 
 
+@pytest.mark.parametrize("celled", [False, True])
+def test_several_scans_read_vectors_as_bytes(spark, skewed, monkeypatch, celled):
+    """What several groups of questions scan is staged once, its vectors as bytes and its cells as directories."""
+    written = []
+
+    def staged(frame, name, by=(), **options):
+        written.append((name, frame.schema["embedding"].dataType.simpleString(), list(by)) if name == "scanned" else name)
+        return real(frame, name, by, **options)
+
+    real = S.staged
+    monkeypatch.setattr(S, "staged", staged)
+    monkeypatch.setattr(S, "GROUP_QUESTIONS", 20)
+    rows, asked = skewed
+    store, questions = spark.createDataFrame(rows, STORE), spark.createDataFrame(asked, QUESTIONS)
+    if celled:
+        store = store.withColumn("cell", (F.col("record_id") % 3).cast("int"))
+        questions = questions.withColumn("cells", F.array(F.lit(0), F.lit(1), F.lit(2)))
+    assert ranked(top_k(store, questions, pass_questions=30)) == brute_force(rows, asked)
+    assert [w for w in written if w[0] == "scanned"] == [("scanned", "binary", ["cell"] if celled else [])]
+
+
+def test_packed_vectors_come_back(spark):
+    store = spark.createDataFrame(HAND + [(9, "c", "none", []), (10, "c", "wide", [1.0, 2.0, 3.0])], STORE)
+    frame = S.packed(store.select("record_id", "embedding").coalesce(1)).toArrow()
+    back = S.unpacked(frame.column("embedding").combine_chunks())
+    given = [(i, vector or []) for i, _, _, vector in HAND] + [(9, []), (10, [1.0, 2.0, 3.0])]
+    assert np.array_equal(np.concatenate(back.to_pylist()), np.concatenate([v for _, v in given]), equal_nan=True)
+    assert list(map(len, back.to_pylist())) == [len(v) for _, v in given]
+    part = S.unpacked(frame.column("embedding").combine_chunks().slice(1, 2))
+    assert part.to_pylist() == [[0.0, 2.0], [-1.0, 0.0]]
+    wide = store.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert S.packed(wide) is wide
+
+
 def test_close_scores_keep_their_order():
     """Scores that single precision cannot tell apart."""
     import pyarrow as pa
