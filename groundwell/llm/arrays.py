@@ -130,31 +130,39 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def pack_varints(values: np.ndarray) -> bytes:
     """Non-negative integers, seven bits a byte, the last byte of each below 128."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        more = values >= np.uint64(1 << 7 * k) if 7 * k < 64 else np.zeros(len(values), bool)
-        if not more.any():
-            break
-        size += more
+    rest = values.astype(np.uint64)
+    own = np.flatnonzero(rest > np.uint64(127))
+    if not own.size:
+        return rest.astype(np.uint8).tobytes()
+    size, longer, high = np.ones(len(rest), np.int64), own, rest[own] >> np.uint64(7)
+    while longer.size:
+        size[longer] += 1
+        more = high > np.uint64(127)
+        longer, high = longer[more], high[more] >> np.uint64(7)
     at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        own = np.flatnonzero(size > k)
-        byte = (values[own] >> np.uint64(7 * k)) & np.uint64(127)
-        out[at[own] + k] = byte.astype(np.uint8) | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
+    out = np.zeros(int(at[-1] + size[-1]), np.uint8)
+    out[at] = (rest & np.uint64(127)).astype(np.uint8) | (size > 1).view(np.uint8) << np.uint8(7)
+    at, rest = at[own] + 1, rest[own] >> np.uint64(7)
+    while at.size:
+        more = rest > np.uint64(127)
+        out[at] = (rest & np.uint64(127)).astype(np.uint8) | more.view(np.uint8) << np.uint8(7)
+        at, rest = at[more] + 1, rest[more] >> np.uint64(7)
     return out.tobytes()
 
 
 def unpack_varints(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero(data < 128)
+    if len(ends) == len(data):
+        return data.astype(np.uint64)
     at = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if ends.size else ends
-    size = ends - at + 1
-    out = np.zeros(len(ends), np.uint64)
-    for k in range(int(size.max(initial=0))):
-        own = np.flatnonzero(size > k)
-        out[own] |= (data[at[own] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    out = (data[at] & np.uint8(127)).astype(np.uint64)
+    own = np.flatnonzero(ends > at)
+    at, ends, shift = at[own] + 1, ends[own], 7
+    while own.size:
+        out[own] |= (data[at] & np.uint8(127)).astype(np.uint64) << np.uint64(shift)
+        more = np.flatnonzero(ends > at)
+        own, at, ends, shift = own[more], at[more] + 1, ends[more], shift + 7
     return out
 
 

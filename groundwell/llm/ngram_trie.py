@@ -43,6 +43,8 @@ FOLDS, HELD = 7, 2
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STEP = 0.03
 UNSEEN = 0
+# Up to so many bits a context, a word and a token's place are sorted as one number.
+PACKED_BITS = 63
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SEGMENTS = "segment long, doc_ids array<long>, held array<boolean>, doc_tokens array<int>, words binary, tokens binary, counts binary"
@@ -122,50 +124,56 @@ def joint(context: np.ndarray, word: np.ndarray, types: int) -> np.ndarray:
     return context * max(1, types) + word
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in values in order."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 class Resolved:
-    """A segment with the answers of the levels so far: per token the probability and, unless these were `last`, the context."""
+    """A segment with the answers of the levels so far: per token the context and, if these were `last`, the probability.
+
+    A context is kept as its number in the segment, of the word or k-gram there; these have the order of the shards' ids."""
 
     def __init__(self, row: dict, answers: dict, model: Words, weights: dict, last: bool = False):
         self.row, self.model = row, model
         self.doc_tokens = np.array(row["doc_tokens"], np.int64)
-        held = np.array(row["held"], bool)
-        self.train = np.repeat(~held, self.doc_tokens)
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4")
+        self.tokens = np.frombuffer(row["tokens"], "<u4").view("<i4")
         if 1 not in answers:
             return
         shard = self.shard_of_words()
         self.counts, rank = self.joined(answers.pop(1))
-        ids = rank + np.array(model.shifts[1], np.int64)[shard]
-        ids = np.where(self.counts > 0, ids, -1).astype(np.int32 if model.types < 1 << 31 else np.int64)
-        self.word_id = ids[self.tokens]
-        self.p = model.unigram(self.counts)[self.tokens]
+        self.word_id = np.where(self.counts > 0, rank + np.array(model.shifts[1], np.int64)[shard], -1)
+        self.known = (self.counts > 0)[self.tokens]
+        if last:
+            self.p = model.unigram(self.counts)[self.tokens]
         # what stands before each token: the word before it, or the end token at a text's start
         doc_starts = np.cumsum(self.doc_tokens) - self.doc_tokens
-        before = np.concatenate((np.zeros(1, np.uint32), self.tokens[:-1]))
+        before = np.concatenate((np.zeros(1, np.int32), self.tokens[:-1]))
         before[doc_starts] = len(self.words) - 1
-        self.context = ids[before].astype(np.int64)
-        self.context_count = self.counts[before]
-        del before, ids
+        self.ids, self.id_counts = self.word_id, self.counts
+        self.context = np.where(self.counts > 0, np.arange(len(self.words), dtype=np.int32), np.int32(-1))[before]
+        del before
         for level in sorted(answers):
             own, number = self.numbered()
             code, key_ids, key_counts = self.contexts_of(answers.pop(level), np.array(model.shifts[level], np.int64))
-            m = weights[level]
-            # an unknown word has no key, its context is known all the same
-            known = np.flatnonzero(self.context >= 0)
-            self.p[known] *= m / (self.context_count[known] + m)
-            del known
-            self.p[own] += probability(code)[number]
-            if last and not answers:
-                return
+            if last:
+                # an unknown word has no key, its context is known all the same
+                m = weights[level]
+                share = np.append(m / (self.id_counts + m), 1.0)
+                self.p *= share[self.context]
+                self.p[own] += probability(code)[number]
+                if not answers:
+                    return
             # the context of a token is the k-gram that ends before it
-            self.context.fill(-1)
-            self.context_count.fill(0)
-            behind = own + 1
-            inside = np.flatnonzero(behind < len(self.tokens))
-            behind, number = behind[inside], number[inside]
-            self.context[behind], self.context_count[behind] = key_ids[number], key_counts[number]
-            self.context[doc_starts], self.context_count[doc_starts] = -1, 0
+            following = np.where(key_ids >= 0, np.arange(len(key_ids), dtype=np.int32), np.int32(-1))[number]
+            behind = np.full(len(self.tokens) + 1, -1, np.int32)
+            behind[own + 1] = following
+            self.context = behind[:-1]
+            self.context[doc_starts] = -1
+            self.ids, self.id_counts = key_ids, key_counts
 
     def shard_of_words(self) -> np.ndarray:
         return (self.words >> np.uint64(64 - self.bits())).astype(np.int64) if self.bits() else np.zeros(len(self.words), np.int64)
@@ -174,29 +182,46 @@ class Resolved:
         return int(math.log2(self.model.shards))
 
     def numbered(self):
-        """(tokens that this level asks for, the number of each one's distinct (shard, context, word)). Sets the distinct ones'
-        first tokens and shards."""
-        asked = np.flatnonzero((self.context >= 0) & (self.word_id >= 0))
+        """(tokens that this level asks for, the number of each one's distinct (shard, context, word)), by context and word. Sets the
+        distinct ones' shards, contexts, words and first places in it."""
+        asked = np.flatnonzero(self.known & (self.context >= 0))
         if len(asked) < 1 << 31:
             asked = asked.astype(np.int32)
-        key = joint(self.context[asked], self.word_id[asked], self.model.types)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        own = asked[order]
-        del key, order, asked
+        context, word = self.context[asked], self.tokens[asked]
+        word_bits, place_bits = len(self.words).bit_length(), len(self.tokens).bit_length()
+        if len(self.ids).bit_length() + word_bits + place_bits <= PACKED_BITS:
+            # key and token in one number, sorted by value
+            packed = context.astype(np.int64)
+            packed <<= word_bits
+            packed |= word
+            packed <<= place_bits
+            packed |= asked
+            packed.sort()
+            own = (packed & ((1 << place_bits) - 1)).astype(asked.dtype)
+            packed >>= place_bits
+            begin = changes(packed)
+            key = packed[begin]
+            del packed
+            context, word = key >> word_bits, key & ((1 << word_bits) - 1)
+        else:
+            order = np.lexsort((word, context))
+            own, context, word = asked[order], context[order], word[order]
+            begin = np.union1d(changes(context), changes(word))
+            context, word = context[begin], word[begin]
+        del asked
         # the distinct keys by shard; tokens then by the number of their key
-        first = own[new]
-        context, word = self.context[first], self.word_id[first]
-        spread = np.maximum(1, self.context_count[first] // HOT_COUNT)
-        part = mix(word.astype(np.uint64)) % spread.astype(np.uint64)
-        shard = ((mix(context.astype(np.uint64)) + part) % np.uint64(self.model.shards)).astype(np.int32)
+        context_count = self.id_counts[context]
+        context, word = self.ids[context], self.word_id[word]
+        part = mix(context.astype(np.uint64))
+        hot = np.flatnonzero(context_count >= 2 * HOT_COUNT)
+        part[hot] += mix(word[hot].astype(np.uint64)) % (context_count[hot] // HOT_COUNT).astype(np.uint64)
+        shard = (part & np.uint64(self.model.shards - 1)).astype(np.uint16 if self.model.shards <= 1 << 16 else np.int32)
         by_shard = np.argsort(shard, kind="stable")
-        place = np.empty(len(first), np.int32)
-        place[by_shard] = np.arange(len(first), dtype=np.int32)
-        self.first, self.shard = first[by_shard], shard[by_shard]
-        return own, place[np.cumsum(new) - 1]
+        place = np.empty(len(context), np.int32)
+        place[by_shard] = np.arange(len(context), dtype=np.int32)
+        self.shard, self.key_context, self.key_word = shard[by_shard], context[by_shard], word[by_shard]
+        self.begin, self.context_count = begin[by_shard], context_count[by_shard]
+        return own, np.repeat(place, np.diff(np.append(begin, len(own))))
 
     def joined(self, parts: list):
         """(counts, places) of the words from the shards' answers in order."""
@@ -233,23 +258,22 @@ class Resolved:
                 yield s, self.words[a:b].tobytes(), b"", pack_varints(counts[a:b]), b""
             return
         own, number = self.numbered()
-        key_count = np.bincount(number, self.train[own], len(self.first)).astype(np.int64)
-        del own, number
+        train = np.repeat(~np.array(self.row["held"], bool), self.doc_tokens)
+        key_count = np.bincount(number[train[own]], minlength=len(self.shard))
+        del own, number, train
         for s, a, b in runs(self.shard):
-            context, word = self.context[self.first[a:b]], self.word_id[self.first[a:b]].astype(np.int64)
-            new = np.ones(b - a, bool)
-            new[1:] = context[1:] != context[:-1]
-            first = np.flatnonzero(new)
+            context, word = self.key_context[a:b], self.key_word[a:b]
+            first = changes(context)
             gap = np.diff(word, prepend=0)
             gap[first] = word[first]
             sizes = np.diff(np.append(first, b - a))
             head = pack_varints(np.diff(context[first], prepend=0))
-            yield s, pack_varints(np.array([len(head), len(first)])) + head + pack_varints(sizes), pack_varints(gap), pack_varints(key_count[a:b]), pack_varints(self.context_count[self.first[a:b]][first])
+            yield s, pack_varints(np.array([len(head), len(first)])) + head + pack_varints(sizes), pack_varints(gap), pack_varints(key_count[a:b]), pack_varints(self.context_count[a:b][first])
 
 
 def runs(shard: np.ndarray):
     if len(shard):
-        first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        first = changes(shard)
         for a, b in zip(first.tolist(), np.append(first[1:], len(shard)).tolist()):
             yield int(shard[a]), a, b
 
@@ -318,7 +342,8 @@ class TrieShard:
     @staticmethod
     def build(context, word, p, words: int) -> bytes:
         """From (context, word) pairs in order with their probabilities."""
-        names, first = np.unique(context, return_index=True)
+        first = changes(context)
+        names = context[first]
         number = np.repeat(np.arange(len(names)), np.diff(np.append(first, len(context))))
         parts = [
             EliasFano.encode(names, int(names[-1]) + 1 if len(names) else 1),
@@ -355,38 +380,39 @@ def gram_shard(table: pa.Table, level: int, weight: float, words: int, last: boo
     rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
     asked = [read_query(r) for r in rows]
     context, word = np.concatenate([np.repeat(c, s) for c, s, _, _, _ in asked]), np.concatenate([w for _, _, w, _, _ in asked])
-    key = joint(context, word, words)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    number = np.empty(len(key), np.int32 if len(key) < 1 << 31 else np.int64)
-    number[order] = np.cumsum(new) - 1
-    first = order[new]
-    total = np.add.reduceat(np.concatenate([n for _, _, _, n, _ in asked])[order], np.flatnonzero(new)) if len(key) else key
-    del key, order, new
+    sent, key = np.concatenate([n for _, _, _, n, _ in asked]), joint(context, word, words)
     # the distinct keys of all segments, of which those with a count are in the trie
+    distinct = np.sort(key)
+    distinct = distinct[changes(distinct)]
+    number = np.searchsorted(distinct, key).astype(np.int32 if len(key) < 1 << 31 else np.int64)
+    first = np.empty(len(distinct), number.dtype)
+    first[number] = np.arange(len(key), dtype=number.dtype)
+    total = np.bincount(number, sent, len(distinct)).astype(np.int64)
+    del key, distinct, sent
     context, word = context[first], word[first]
     context_count = np.concatenate([np.repeat(cc, s) for _, s, _, _, cc in asked])[first]
+    del first
     own = np.flatnonzero(total > 0)
     total = total[own]
     raw = TrieShard.build(context[own], word[own], total / (context_count[own] + weight), words)
     trie = TrieShard(raw)
-    names, begin = np.unique(context, return_index=True)
-    places = trie.find(names, np.diff(np.append(begin, len(context))), word)
+    begin = changes(context)
+    places = trie.find(context[begin], np.diff(np.append(begin, len(context))), word)
+    there = np.flatnonzero(places >= 0)
+    codes = np.full(len(places), UNSEEN, np.uint16)
+    codes[there] = trie.codes[places[there]]
     answers, at = [], 0
     for r, (_, _, own, _, _) in zip(rows, asked):
-        place = places[number[at : at + len(own)]]
+        k = number[at : at + len(own)]
         at += len(own)
-        hit = np.flatnonzero(place >= 0)
-        codes = np.full(len(place), UNSEEN, np.uint16)
-        codes[hit] = trie.codes[place[hit]]
         counts = gaps = b""
         if not last:
             # contexts of the next level, those with a code; keys come in the order of the trie, so places only grow
-            counts = pack_varints(total[place[hit]])
-            gaps = pack_varints(np.diff(place[hit], prepend=0))
-        answers.append((r["segment"], counts, gaps, pack_codes(codes)))
+            place = places[k]
+            place = place[place >= 0]
+            counts = pack_varints(total[place])
+            gaps = pack_varints(np.diff(place, prepend=0))
+        answers.append((r["segment"], counts, gaps, pack_codes(codes[k])))
     return answers_frame(rows[0]["shard"], level, answers, [len(total)], raw if keep else None)
 
 
