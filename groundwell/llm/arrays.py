@@ -29,6 +29,9 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
 
+# The lower of each two neighbours of 8, 16 or 32 bits.
+_LOW_HALVES = {1: np.uint64(0x00FF00FF00FF00FF), 2: np.uint64(0x0000FFFF0000FFFF), 4: np.uint64(0x00000000FFFFFFFF)}
+
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """Yields (first row, last row + 1, buffer, starts) for runs of rows of at most `most` bytes.
@@ -156,13 +159,19 @@ def unpack_varints(raw: bytes) -> np.ndarray:
     if len(ends) == len(data):
         return data.astype(np.uint64)
     at = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if ends.size else ends
-    out = (data[at] & np.uint8(127)).astype(np.uint64)
-    own = np.flatnonzero(ends > at)
-    at, ends, shift = at[own] + 1, ends[own], 7
-    while own.size:
-        out[own] |= (data[at] & np.uint8(127)).astype(np.uint64) << np.uint64(shift)
-        more = np.flatnonzero(ends > at)
-        own, at, ends, shift = own[more], at[more] + 1, ends[more], shift + 7
+    size = ends - at + 1
+    # eight bytes at once, whose groups of seven bits are moved together in pairs
+    out = lanes(np.concatenate((data, np.zeros(8, np.uint8))))[at]
+    out &= LANE_MASK[np.minimum(size, 8)]
+    out &= np.uint64(0x7F7F7F7F7F7F7F7F)
+    for gap, half in _LOW_HALVES.items():
+        low = out & half
+        out ^= low
+        out >>= np.uint64(gap)
+        out |= low
+    for k in range(8, int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        out[own] |= (data[at[own] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
     return out
 
 
