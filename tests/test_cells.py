@@ -126,3 +126,10 @@ def test_breadth_counts_the_category_only(spark, frames):
         own = sum(sizes.get((r["category"], c), 0) for c in r["cells"])
         total = sum(n for (cat, _), n in sizes.items() if cat == r["category"])
         assert own >= min(max(30, r["top_k"]), total)
+
+
+def test_cells_are_zstd_files(spark, frames, tmp_path):
+    store, _ = frames
+    write_cells(assign_cells(store, train_centroids(store, 3)), str(tmp_path / "cells"))
+    files = list((tmp_path / "cells").glob("cell=*/*.parquet"))
+    assert files and all(file.name.endswith(".zstd.parquet") for file in files)

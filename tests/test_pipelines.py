@@ -1,9 +1,12 @@
+import glob
+
 import numpy as np
 import pytest
 
 from groundwell.operators.cells import assign_cells, train_centroids
 from groundwell.plans.answer import SearchSettings, answer_questions, retrieve
 from groundwell.plans.ingest import IngestSettings, check_corpus, ingest
+from groundwell.session import work_path
 from groundwell.sources.documents import read_documents
 from groundwell.sources.store import Layout, read_store, store_audit
 from groundwell.streaming.ingest import start_ingest, watch_folder, watch_table
@@ -57,6 +60,15 @@ def test_ingest_twice(spark, corpus, tmp_path):
     assert overall["row_count"] == overall["vector_count"] == size
 
 
+def test_saved_passages_leave_the_work_folder(spark, corpus, tmp_path):
+    folders = work_path(spark, "passages").removeprefix("file:").rsplit("-", 1)[0] + "-*"
+    before, path = set(glob.glob(folders)), str(tmp_path / "store")
+    first, again = (ingest(corpus, path, SETTINGS) for _ in range(2))
+    assert set(glob.glob(folders)) == before
+    assert first.rejects.count() == again.rejects.count() == 3
+    assert first.summary.count() == again.summary.count() == 3
+
+
 def test_embedding_failure_refuses_the_whole_document(spark, corpus, tmp_path):
     def model(texts):
         return [[1.0, 2.0] if "vests" not in t else [1.0] for t in texts]
