@@ -327,3 +327,33 @@ def test_only_questions_with_scores_in_reach_are_compared(monkeypatch):
     block._keep((block.narrow @ rows.T.astype(np.float32)), rows, np.arange(50)[:, None], np.arange(2))
     assert (1, 50) in compared and (2, 50) not in compared
     assert set(block.pending[0][0]) == {1} and len(block.pending[0][0]) == 50
+
+
+def test_only_parts_with_scores_in_reach_are_compared(monkeypatch):
+    """Of a long block of scores only the part around the one in reach is compared; the rows found are the same."""
+    table = pa.table({
+        "query_id": [1, 2], "vector": [[1.0, 0.0], [0.0, 1.0]], "top_k": pa.array([1, 1], pa.int32()),
+        "category": pa.array([None, None], pa.string()), "min_similarity": [0.0, 0.0],
+    })
+    angle = np.full(2048, 0.8)
+    angle[1300] = 0.1
+    rows = np.stack([np.cos(angle), np.sin(angle)], 1)
+    block = S.QuestionBlock(table, 1)
+    block.bar[:], block.barred[:] = 0.9, True
+    compared = []
+    kept = np.flatnonzero
+    monkeypatch.setattr(S.np, "flatnonzero", lambda x: compared.append(np.shape(x)) or kept(x))
+    block._keep((block.narrow @ rows.T.astype(np.float32)), rows, np.arange(2048)[:, None], np.arange(2))
+    assert max(np.prod(shape) for shape in compared) < 2048
+    (found,) = block.pending
+    assert found[0].tolist() == [0] and found[2].tolist() == [[1300]]
+
+
+@pytest.mark.parametrize("rows", [1, 97, 128, 1808, 2048, 2053])
+def test_parts_hold_every_score_in_reach(rows):
+    scores = np.random.default_rng(rows).random((40, rows)).astype(np.float32)
+    bar = np.quantile(scores, 0.95, axis=1).astype(np.float32) + np.where(np.arange(40) % 2, 0.5, 0).astype(np.float32)
+    parts, place, number = S.parts_in_reach(scores, bar)
+    part, at = np.nonzero(parts >= bar[place, None])
+    found = list(zip(place[part].tolist(), (number[part] * parts.shape[1] + at).tolist()))
+    assert found == list(zip(*(x.tolist() for x in np.nonzero(scores >= bar[:, None]))))
